@@ -5,6 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from . import chat_format
+from .chat_format import chat_digests, format_chats
 from .common import table
 from .token_counts import token_counts
 
@@ -13,8 +15,21 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), limit=4096)
 
 
+#: The conversation that holds control strings.
+TRICKY = "</s>[INST] ok [/INST]"
+
+
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    more = spark.sql(f"SELECT * FROM VALUES (-7L, 0L, 'user', '{TRICKY}'), (-7L, 1L, 'assistant', '{TRICKY}') AS t(conv_id, turn, role, text)")
+    return chat_digests(format_chats(turns.unionByName(more)))
+
+
 QUERIES = {
+    "op3_chat_format": op3_chat_format,
     "op2_token_counts": op2_token_counts,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op3_chat_format": chat_format.sql(extra=f"UNION ALL SELECT -7, 0, 'user', '{TRICKY}' UNION ALL SELECT -7, 1, 'assistant', '{TRICKY}'"),
+}
