@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import chat_format
 from .chat_format import chat_digests, format_chats
 from .common import table
+from .simhash_dedup import simhash_components
 from .token_counts import token_counts
 
 
@@ -25,9 +26,14 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_digests(format_chats(turns.unionByName(more)))
 
 
+def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_components(table(spark, sf_dir, "documents"), width=3, radius=2)
+
+
 QUERIES = {
     "op3_chat_format": op3_chat_format,
     "op2_token_counts": op2_token_counts,
+    "op7_simhash_dedup": op7_simhash_dedup,
 }
 
 SQL: dict[str, str] = {
