@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format
+from . import chat_format, warc
 from .chat_format import chat_digests, format_chats
 from .common import table
 from .simhash_dedup import simhash_components
@@ -30,12 +30,18 @@ def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"), width=3, radius=2)
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.warc_round_trip(table(spark, sf_dir, "pages"), least_revisit_bytes=0)
+
+
 QUERIES = {
     "op3_chat_format": op3_chat_format,
     "op2_token_counts": op2_token_counts,
     "op7_simhash_dedup": op7_simhash_dedup,
+    "op10_warc": op10_warc,
 }
 
 SQL: dict[str, str] = {
     "op3_chat_format": chat_format.sql(extra=f"UNION ALL SELECT -7, 0, 'user', '{TRICKY}' UNION ALL SELECT -7, 1, 'assistant', '{TRICKY}'"),
+    "op10_warc": warc.SQL,
 }
