@@ -33,3 +33,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def blank(text) -> F.Column:
     """Null text counts as empty."""
     return F.coalesce(text, F.lit(""))
+
+
+#: Values that one row of a summed vector holds.
+WIDTH = 64
+
+
+def vector_rows(vector) -> "pa.RecordBatch":  # noqa: F821
+    """A task's share of a vector of fixed size, as rows for ``vector_sum``."""
+    import numpy as np
+    import pyarrow as pa
+
+    flat = np.asarray(vector, np.float64).ravel()
+    flat = np.pad(flat, (0, -len(flat) % WIDTH))
+    blocks = pa.ListArray.from_arrays(np.arange(0, len(flat) + 1, WIDTH, dtype=np.int32), flat)
+    return pa.RecordBatch.from_arrays([pa.array(np.arange(len(blocks), dtype=np.int32)), blocks], ["block", "v"])
+
+
+VECTOR_SCHEMA = "block int, v array<double>"
+
+
+def vector_sum(parts: DataFrame, size: int):
+    """The sum of all tasks' vectors of ``size`` values: Spark adds them block by block, the driver gets one vector."""
+    import numpy as np
+
+    sums = parts.groupBy("block").agg(*[F.sum(F.col("v")[i]).alias(f"s{i}") for i in range(WIDTH)])
+    out = np.zeros(size + (-size % WIDTH))
+    for row in sums.collect():
+        out[row[0] * WIDTH : (row[0] + 1) * WIDTH] = row[1:]
+    return out[:size]

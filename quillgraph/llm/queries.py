@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import chat_format, warc
 from .chat_format import chat_digests, format_chats
 from .common import table
+from .language_id import language_id
 from .simhash_dedup import simhash_components
 from .token_counts import token_counts
 
@@ -34,10 +35,15 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.warc_round_trip(table(spark, sf_dir, "pages"), least_revisit_bytes=0)
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op3_chat_format": op3_chat_format,
     "op2_token_counts": op2_token_counts,
     "op7_simhash_dedup": op7_simhash_dedup,
+    "op8_language_id": op8_language_id,
     "op10_warc": op10_warc,
 }
 
