@@ -9,6 +9,7 @@ from . import chat_format, warc
 from .chat_format import chat_digests, format_chats
 from .common import table
 from .language_id import language_id
+from .packing import pack
 from .simhash_dedup import simhash_components
 from .token_counts import token_counts
 
@@ -39,11 +40,16 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(table(spark, sf_dir, "documents"))
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), capacity=1024)
+
+
 QUERIES = {
     "op3_chat_format": op3_chat_format,
     "op2_token_counts": op2_token_counts,
     "op7_simhash_dedup": op7_simhash_dedup,
     "op8_language_id": op8_language_id,
+    "op9_packing": op9_packing,
     "op10_warc": op10_warc,
 }
 
