@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from . import chat_format, warc
+from .ann import nearest
 from .chat_format import chat_digests, format_chats
 from .common import table
 from .language_id import language_id
@@ -44,9 +45,15 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), capacity=1024)
 
 
+def op6_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return nearest(vectors, vectors.where("vec_id % 100 = 0"), k=10)
+
+
 QUERIES = {
     "op3_chat_format": op3_chat_format,
     "op2_token_counts": op2_token_counts,
+    "op6_ann": op6_ann,
     "op7_simhash_dedup": op7_simhash_dedup,
     "op8_language_id": op8_language_id,
     "op9_packing": op9_packing,
