@@ -10,6 +10,8 @@ from .ann import nearest
 from .chat_format import chat_digests, format_chats
 from .common import table
 from .language_id import language_id
+from .media import media_features, text_media
+from .mixing import mixing_rates
 from .packing import pack
 from .simhash_dedup import simhash_components
 from .token_counts import token_counts
@@ -50,9 +52,21 @@ def op6_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(vectors, vectors.where("vec_id % 100 = 0"), k=10)
 
 
+def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = text_media(table(spark, sf_dir, "documents"), width=64)
+    columns = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+    return media_features(stored, ["doc_id", "n_bytes"], side=32).select(columns)
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing_rates(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op3_chat_format": op3_chat_format,
     "op2_token_counts": op2_token_counts,
+    "op4_media": op4_media,
+    "op5_mixing": op5_mixing,
     "op6_ann": op6_ann,
     "op7_simhash_dedup": op7_simhash_dedup,
     "op8_language_id": op8_language_id,
