@@ -10,6 +10,7 @@ from .ann import nearest
 from .chat_format import chat_digests, format_chats
 from .common import table
 from .language_id import language_id
+from .lm_score import lm_scores
 from .media import media_features, text_media
 from .mixing import mixing_rates
 from .packing import pack
@@ -17,6 +18,10 @@ from .simhash_dedup import simhash_components
 from .token_counts import token_counts
 
 
+def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(table(spark, sf_dir, "documents"))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), limit=4096)
 
@@ -63,8 +68,9 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "op3_chat_format": op3_chat_format,
+    "op1_lm_score": op1_lm_score,
     "op2_token_counts": op2_token_counts,
+    "op3_chat_format": op3_chat_format,
     "op4_media": op4_media,
     "op5_mixing": op5_mixing,
     "op6_ann": op6_ann,
