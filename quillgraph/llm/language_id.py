@@ -227,3 +227,17 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
 
 def language_id(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     return identify(docs, train(docs, settings, id_col, text_col, lang_col), id_col, text_col)
+
+
+def keep_identified(docs: DataFrame, model: LanguageModel, least_score: float, text_col: str = "text") -> DataFrame:
+    """The rows, with all their columns, whose text is in a learned language with a score of ``least_score`` at least; no shuffle."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                langs, scores = shared.value.predict(part.column(part.schema.names.index(text_col)).to_pylist())
+                yield part.filter(pa.array([lang != UNDETERMINED and score >= least_score for lang, score in zip(langs, scores, strict=True)]))
+
+    return docs.mapInArrow(run, docs.schema)
