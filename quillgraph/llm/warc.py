@@ -14,9 +14,10 @@ bytes go back to the payload that holds it.
 Defined results: a null payload counts as empty; a null id is written without an id and read
 back as null; equal rows are alike (each is a response if its id is the smallest); any
 text, with version lines in it too, comes back whole; an empty table gives no rows; only the
-named columns are read. Headers hold no control characters: such characters of a URL
+named columns are read. Archives are gzip files, one task reads each; with ``compression="none"`` a file is
+read in splits. Headers hold no control characters: such characters of a URL
 are percent-encoded. Files end at ``records_per_file`` records, which bounds what a file's
-window sorts, and payload bytes travel in one shuffle.
+window sorts; payloads are shuffled once, to find equal ones, and never when they are read.
 """
 
 from __future__ import annotations
@@ -45,7 +46,8 @@ def write_warc(
     url_col: str = "url",
     payload_col: str = "html",
     least_revisit_bytes: int = 0,
-    records_per_file: int = 50_000,
+    records_per_file: int = 20_000,
+    compression: str = "gzip",
 ) -> None:
     """Write one record per row below ``path``; equal payloads of at least ``least_revisit_bytes`` are stored once."""
     rows = pages.select(
@@ -74,32 +76,67 @@ def write_warc(
         F.lit("\r\n"),
         body,
     )
-    rows.select(record.alias("value")).write.option("lineSep", END).option("maxRecordsPerFile", records_per_file).text(path)
+    rows.select(record.alias("value")).write.option("lineSep", END).option("maxRecordsPerFile", records_per_file).text(path, compression=compression)
 
 
-def candidates(spark: SparkSession, path: str) -> DataFrame:
-    """``file, at, size, successor, text``: the cuts of every file, where each starts, and where its successor must start.
-
-    ``successor`` is null for a cut that has no whole record header.
-    """
-    cuts = (
+def _cuts(spark: SparkSession, path: str) -> DataFrame:
+    """The files cut at version lines: ``file, block`` (the split that it was read in), ``row`` (order within it), ``value``."""
+    return (
         spark.read.option("lineSep", MAGIC)
         .text(path)
         .select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value")
         .withColumn("row", F.monotonically_increasing_id())
     )
-    before = Window.partitionBy("file").orderBy("block", "row").rowsBetween(Window.unboundedPreceding, -1)
-    # every cut but the first of a file follows a version line; the first is what precedes the first line: empty
-    size = F.octet_length("value").cast("long") + len(MAGIC)
-    head = F.locate(END, F.col("value"))
-    length = F.regexp_extract(F.substring_index("value", END, 1), r"(?m)^Content-Length: (\d+)\r?$", 1).try_cast("long")
-    prefix = F.octet_length(F.substring_index("value", END, 1)).cast("long") + 2 * len(END) + len(MAGIC)
-    return (
-        cuts.withColumn("size", size)
-        .withColumn("start", F.coalesce(F.sum("size").over(before), F.lit(0).cast("long")) - len(MAGIC))
-        .where("start >= 0")
-        .select("file", F.col("start").alias("at"), "size", F.when(head > 0, F.col("start") + prefix + length).alias("successor"), "value")
+
+
+def _record(value: Column) -> dict[str, Column]:
+    """What a cut says if it is a record: its header's fields, and size and digest of the bytes after it."""
+    head = F.substring_index(value, END, 1)
+    body = value.substr(F.length(head) + 1 + len(END), F.greatest(F.lit(0), F.length(value) - F.length(head) - 2 * len(END)))
+
+    def field(name: str) -> Column:
+        return F.nullif(F.regexp_extract(head, rf"(?m)^{name}: <?(.*?)>?\r?$", 1), F.lit(""))
+
+    return {
+        "record_type": field("WARC-Type"),
+        "record_id": F.nullif(F.regexp_replace(field("WARC-Record-ID"), "^urn:page:", ""), F.lit("")),
+        "refers_to": F.regexp_replace(field("WARC-Refers-To"), "^urn:page:", ""),
+        "digest": F.regexp_replace(field("WARC-Payload-Digest"), "^sha1:", ""),
+        "length": field("WARC-Payload-Length").try_cast("long"),
+        "payload_bytes": F.octet_length(body).cast("long"),
+        "payload_digest": base32_sha1(body),
+        "payload": body,
+    }
+
+
+FIELDS = ["record_type", "record_id", "refers_to", "digest", "length", "payload_bytes", "payload_digest"]
+
+
+def candidates(spark: SparkSession, path: str) -> DataFrame:
+    """One narrow row per cut: its place (``file, at, block, row``), where its successor must start, and its ``FIELDS``.
+
+    ``successor`` is null for a cut that has no whole record header. Payload bytes stay where they were read.
+    """
+    value = F.col("value")
+    length = F.regexp_extract(F.substring_index(value, END, 1), r"(?m)^Content-Length: (\d+)\r?$", 1).try_cast("long")
+    prefix = F.octet_length(F.substring_index(value, END, 1)).cast("long") + 2 * len(END) + len(MAGIC)
+    said = _record(value)
+    cuts = store(
+        _cuts(spark, path).select(
+            "file",
+            "block",
+            "row",
+            (F.octet_length(value).cast("long") + len(MAGIC)).alias("size"),
+            F.when(F.locate(END, value) > 0, prefix + length).alias("span"),
+            *[said[f].alias(f) for f in FIELDS],
+        ),
+        "warc-cuts",
     )
+    # every cut but the first of a file follows a version line; the first is what precedes the first line: empty
+    before = Window.partitionBy("file").orderBy("block", "row").rowsBetween(Window.unboundedPreceding, -1)
+    at = F.coalesce(F.sum("size").over(before), F.lit(0).cast("long")) - len(MAGIC)
+    placed = cuts.withColumn("at", at).where("at >= 0").withColumn("successor", F.col("at") + F.col("span"))
+    return store(placed.drop("size", "span"), "warc-candidates")
 
 
 def reachable(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
@@ -117,38 +154,50 @@ def reachable(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     raise RuntimeError(f"a chain of more than 2^{max_rounds} records")
 
 
-def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """Records of the archives below ``path``: ``file, at, record_type, record_id, refers_to, digest, length, payload``."""
-    cuts = store(candidates(spark, path), "warc-cuts")
-    edges = cuts.select("file", "at", "successor")
-    real = reachable(edges)
+def index_warc(spark: SparkSession, path: str) -> DataFrame:
+    """``file, at, row, block, pieces`` and ``FIELDS`` of every record of the archives below ``path``.
+
+    A record whose payload holds version lines was cut in several pieces; only those are read
+    again and put together. The digests are of the bytes that were read.
+    """
+    cuts = candidates(spark, path)
+    real = reachable(cuts.select("file", "at", "successor"))
     marked = cuts.join(real.withColumn("record", F.col("at")), ["file", "at"], "left")
-    place = Window.partitionBy("file").orderBy("at")
+    place = Window.partitionBy("file").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
     # a cut that is no record belongs to the last record before it, with its version line
-    owned = marked.withColumn("owner", F.last("record", ignorenulls=True).over(place.rowsBetween(Window.unboundedPreceding, 0)))
-    alone = owned.withColumn("whole", F.lead("record").over(place).isNotNull() | F.lead("at").over(place).isNull())
-    single = alone.where("record is not null and whole").select("file", F.col("record").alias("at"), "value")
-    pieces = alone.where("not (record is not null and whole)")
-    joined = pieces.groupBy("file", F.col("owner").alias("at")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "value"))), lambda x: x["value"]), MAGIC).alias("value"))
-    records = single.unionByName(joined)
-    head = F.substring_index("value", END, 1)
-
-    def field(name: str) -> Column:
-        return F.nullif(F.regexp_extract(F.col("head"), rf"(?m)^{name}: <?(.*?)>?\r?$", 1), F.lit(""))
-
-    body = F.col("value").substr(F.length("head") + 1 + len(END), F.length("value") - F.length("head") - 2 * len(END))
-    return records.withColumn("head", head).select(
-        "file",
-        "at",
-        field("WARC-Type").alias("record_type"),
-        F.nullif(F.regexp_replace(field("WARC-Record-ID"), "^urn:page:", ""), F.lit("")).alias("record_id"),
-        F.regexp_replace(field("WARC-Refers-To"), "^urn:page:", "").alias("refers_to"),
-        F.regexp_replace(field("WARC-Payload-Digest"), "^sha1:", "").alias("digest"),
-        field("WARC-Payload-Length").cast("long").alias("length"),
-        body.alias("payload"),
+    owned = marked.withColumn("owner", F.last("record", ignorenulls=True).over(place))
+    owned = store(owned.withColumn("pieces", F.count(F.lit(1)).over(Window.partitionBy("file", "owner"))), "warc-owned")
+    columns = ["file", "at", "block", "row", "pieces", *FIELDS]
+    whole = owned.where("pieces = 1").select(columns)
+    broken = owned.where("pieces > 1").select("file", "block", "row", "at", "owner", "pieces")
+    if broken.isEmpty():
+        return whole
+    texts = _joined(_cuts(spark, path).join(broken, ["file", "block", "row"]))
+    said = _record(F.col("value"))
+    return whole.unionByName(texts.select("file", F.col("owner").alias("at"), "block", "row", "pieces", *[said[f].alias(f) for f in FIELDS]))
+
+
+def _joined(cuts: DataFrame) -> DataFrame:
+    """Records cut in pieces, whole again."""
+    parts = F.array_sort(F.collect_list(F.struct("at", "value")))
+    return cuts.groupBy("file", "owner", "pieces").agg(
+        F.array_join(F.transform(parts, lambda x: x["value"]), MAGIC).alias("value"), F.min("block").alias("block"), F.min("row").alias("row")
     )
 
 
+def read_warc(spark: SparkSession, path: str) -> DataFrame:
+    """Records of the archives below ``path`` with their payloads: ``file, at, payload`` and ``FIELDS``."""
+    records = index_warc(spark, path).select("file", "at")
+    cuts = candidates(spark, path).select("file", "at", "block", "row")
+    place = Window.partitionBy("file").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    owned = cuts.join(records.withColumn("record", F.col("at")), ["file", "at"], "left").withColumn("owner", F.last("record", ignorenulls=True).over(place))
+    owned = owned.withColumn("pieces", F.count(F.lit(1)).over(Window.partitionBy("file", "owner")))
+    texts = _cuts(spark, path).join(owned, ["file", "block", "row"])
+    whole = texts.where("pieces = 1").select("file", "owner", "value").unionByName(_joined(texts.where("pieces > 1")).select("file", "owner", "value"))
+    said = _record(F.col("value"))
+    return whole.select("file", F.col("owner").alias("at"), *[said[f].alias(f) for f in [*FIELDS, "payload"]])
+
+
 def warc_round_trip(pages: DataFrame, path: str | None = None, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least_revisit_bytes: int = 0) -> DataFrame:
     """Write archives, read them back, and give each record's full payload by size and digest.
 
@@ -159,13 +208,13 @@ def warc_round_trip(pages: DataFrame, path: str | None = None, id_col: str = "pa
     path = path or f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     kind = dict(pages.dtypes)[id_col]
     write_warc(pages, path, id_col, url_col, payload_col, least_revisit_bytes)
-    records = read_warc(spark, path).select(
+    records = index_warc(spark, path).select(
         F.col("record_id").cast(kind).alias(id_col),
         "record_type",
         F.col("refers_to").cast(kind).alias("refers_to"),
         F.col("digest").alias("said"),
-        F.octet_length("payload").cast("long").alias("payload_bytes"),
-        base32_sha1(F.col("payload")).alias("payload_digest"),
+        "payload_bytes",
+        "payload_digest",
     )
     records = store(records, "warc-records")
     responses = records.where("record_type = 'response'")

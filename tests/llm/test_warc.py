@@ -42,7 +42,7 @@ def test_round_trip_rejects_version_lines_in_payloads(spark, small_splits):
 
 def test_payloads_come_back_whole(spark, small_splits, tmp_path):
     rows = pages()
-    write_warc(spark.createDataFrame(rows, SCHEMA).coalesce(1), str(tmp_path / "w"), least_revisit_bytes=10**9)
+    write_warc(spark.createDataFrame(rows, SCHEMA).coalesce(1), str(tmp_path / "w"), least_revisit_bytes=10**9, compression="none")
     got = read_warc(spark, str(tmp_path / "w")).collect()
     assert {int(r.record_id): r.payload for r in got} == {i: t or "" for i, _, t, _, _ in rows}
     assert all(r.digest == digest(r.payload) and r.length == len(r.payload.encode()) for r in got)
