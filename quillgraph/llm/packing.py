@@ -37,7 +37,8 @@ from .common import blank, store
 LETTER, DIGIT = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼-¾"
 CUT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTER}]+| ?[{DIGIT}]+| ?[^\s{LETTER}{DIGIT}]+|\s+(?!\S)|\s+")
 LATIN = re.compile("[\t\n\r\x20-\x7e¡-ɏ]*")
-REMEMBERED = 400_000
+#: Cuts whose ids a worker remembers, about 200 bytes each, before it starts again.
+REMEMBERED = 1_000_000
 
 
 class Encoder:
@@ -49,7 +50,7 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[str, list[int]] = {}
+        self.known: dict[str, bytes] = {}  # little-endian 32-bit ids
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         plain = [LATIN.fullmatch(t) and not any(s in t for s in self.special) for t in texts]
@@ -57,11 +58,11 @@ class Encoder:
         if len(self.known) > REMEMBERED:
             self.known.clear()
         fresh = list(set().union(*cuts) - self.known.keys()) if cuts else []
-        got = self.tokenizer.encode_batch(fresh, add_special_tokens=False)
-        self.known.update((w, e.ids) for w, e in zip(fresh, got, strict=True))
+        got = self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)
+        self.known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(fresh, got, strict=True))
         get = self.known.__getitem__
         return [
-            np.fromiter(chain.from_iterable(map(get, c)), np.uint32) if p else np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, np.uint32)
+            np.frombuffer(b"".join(map(get, c)), "<u4") if p else np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4")
             for t, c, p in zip(texts, cuts, plain, strict=True)
         ]
 
@@ -153,7 +154,8 @@ def pack(
     docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 0, dims: int = 4, bits: int = 12, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """Pieces: ``id_col, start, length, ids_crc32, doc_tokens, sequence_id, offset``."""
-    coded = encode_documents(docs, tokenizer, capacity, end_id, dims, bits, id_col, text_col)
+    # stored, as the range sort reads its input twice: for the ranges, and to deal it out
+    coded = store(encode_documents(docs, tokenizer, capacity, end_id, dims, bits, id_col, text_col), "packing-ids")
     salted = coded.withColumn("salt", F.xxhash64(id_col))
     placed = salted.repartitionByRange("key", "salt").sortWithinPartitions("key", "salt", id_col, "n", "tail")
     zero = F.lit(0).cast("long")
