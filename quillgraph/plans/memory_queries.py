@@ -110,8 +110,8 @@ SQL = {
     "query_reuse": f"""WITH RECURSIVE e AS (SELECT {_K} AS cui, epoch(date_trunc('second', ts))::BIGINT AS t FROM events),
  m AS (SELECT cui, min(t) AS since FROM e GROUP BY 1 UNION ALL SELECT m.cui, min(e.t) FROM m JOIN e ON e.cui = m.cui AND e.t > m.since + 36000 GROUP BY m.cui, m.since)
  SELECT cui, (SELECT count(*) FROM e WHERE e.cui = m.cui) - count(*) AS hits, count(*) AS misses FROM m GROUP BY cui""",
-    "concurrency_peak": """WITH x AS (SELECT event_type, epoch_us(ts) AS at, 1 AS d FROM events UNION ALL SELECT event_type, epoch_us(ts) + floor(value * 1000)::BIGINT * 1000000, -1 FROM events),
- a AS (SELECT event_type, sum(d) OVER (PARTITION BY event_type ORDER BY at, d ROWS UNBOUNDED PRECEDING) AS active FROM x) SELECT event_type, CAST(max(active) AS BIGINT) AS peak FROM a GROUP BY 1""",
+    "concurrency_peak": """WITH x AS (SELECT event_type, epoch_us(ts) AS t_, 1 AS d FROM events UNION ALL SELECT event_type, epoch_us(ts) + floor(value * 1000)::BIGINT * 1000000, -1 FROM events),
+ a AS (SELECT event_type, sum(d) OVER (PARTITION BY event_type ORDER BY t_, d ROWS UNBOUNDED PRECEDING) AS active FROM x) SELECT event_type, CAST(max(active) AS BIGINT) AS peak FROM a GROUP BY 1""",
     "session_list": "SELECT conv_id AS session_id, count(*) AS n, arg_min(text, turn) AS first_message FROM conversations GROUP BY 1",
     "session_messages": "SELECT conv_id AS session_id, count(*) AS n, md5(string_agg(role || ':' || text, '|' ORDER BY turn)) AS digest FROM conversations GROUP BY 1",
     "history_window": """WITH l AS (SELECT conv_id, turn, list(CASE WHEN role = 'user' THEN 'User: ' ELSE 'Assistant: ' END || text) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) AS h FROM conversations)
