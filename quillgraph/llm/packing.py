@@ -35,7 +35,7 @@ from .common import blank, store
 
 #: Cuts of the byte-level pre-tokenizer for Latin text, where letters, digits and spaces are these.
 LETTER, DIGIT = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼-¾"
-CUT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTER}]+| ?[{DIGIT}]+| ?[^\s{LETTER}{DIGIT}]+|\s+(?!\S)|\s+")
+CUT = re.compile(rf" ?[{LETTER}]+|'s|'t|'re|'ve|'m|'ll|'d| ?[{DIGIT}]+| ?[^\s{LETTER}{DIGIT}]+|\s+(?!\S)|\s+")
 LATIN = re.compile("[\t\n\r\x20-\x7e¡-ɏ]*")
 #: Cuts whose ids a worker remembers, about 200 bytes each, before it starts again.
 REMEMBERED = 1_000_000
@@ -57,7 +57,7 @@ class Encoder:
         cuts = [CUT.findall(t) if p else [] for t, p in zip(texts, plain, strict=True)]
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        fresh = list(set().union(*cuts) - self.known.keys()) if cuts else []
+        fresh = [w for w in set().union(*cuts) if w not in self.known]
         got = self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)
         self.known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(fresh, got, strict=True))
         get = self.known.__getitem__

@@ -133,7 +133,7 @@ class Counter:
         units = [self.merger.units(t) for t in texts]
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        fresh = list(set().union(*units) - self.known.keys()) if units else []
+        fresh = [u for u in set().union(*units) if u not in self.known]
         at = 0
         while at < len(fresh):
             end, held = at, 0
