@@ -35,6 +35,8 @@ def plain_rates(n, p, mixture):
         if (abs(y - target) <= mixture.tolerance * target).all():
             break
         r = np.maximum(0, r - p @ ((y - target) / np.maximum(base, target)))
+        if (abs((r * n) @ p - y) <= mixture.tolerance * target).all():
+            break
     return r, target
 
 
