@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQueryListener
 from pyspark.sql.streaming.query import StreamingQuery
 
 from ..operators.memory import KEEP
@@ -69,3 +69,23 @@ def intake(documents: DataFrame, process: Callable[[DataFrame], DataFrame], key:
         upsert(old, new, [key]).write.mode("overwrite").parquet(target)
 
     return documents.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+class Progress(StreamingQueryListener):
+    """Keeps a row for each batch of every stream: name, batch, rows in, milliseconds."""
+
+    def __init__(self):
+        self.rows: list[tuple[str | None, int, int, int]] = []
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        self.rows.append((p.name, p.batchId, p.numInputRows, p.batchDuration))
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
