@@ -277,3 +277,21 @@ def dose_sentences(text: Column) -> Column:
 
 def literal(text: str) -> str:
     return re.escape(text)
+
+
+def qa_source(sections: Column, full_text: Column, skip: list[str], least: int = 100) -> Column:
+    """Texts for questions: sections without a skipped word in their title and over ``least`` signs, else the cut full text."""
+
+    def good(s: Column) -> Column:
+        out = F.length(s["content"]) > least
+        for word in skip:
+            out = out & ~F.contains(F.lower(s["title"]), F.lit(word.lower()))
+        return out
+
+    kept = F.transform(F.filter(sections, good), lambda s: s["content"])
+    return F.when(F.size(kept) > 0, kept).otherwise(F.array(truncate_at_sentence(full_text)))
+
+
+def can_be_parsed(format_: Column, file_path: Column) -> Column:
+    """Text and XML always, PDF with a path; nothing else."""
+    return format_.isin("text", "xml") | ((format_ == "pdf") & file_path.isNotNull())

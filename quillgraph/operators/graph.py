@@ -204,3 +204,22 @@ def gap_pairs(edges: DataFrame, asked: DataFrame, tried: DataFrame, per_query: i
     open_ = paths(edges, pairs, most_hops).where(~F.col("connected")).select("a", "b")
     fresh = pairs.join(open_, ["a", "b"]).join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
     return best(fresh, ["query_id"], ["a", "b"], per_query).select("query_id", "a", "b")
+
+
+def with_communities(entities: DataFrame, membership: DataFrame) -> DataFrame:
+    """Entities with the communities that they are in. membership: community_id, cui."""
+    found = membership.groupBy("cui").agg(F.array_sort(F.collect_set("community_id")).alias("communities"))
+    return entities.join(found, "cui", "left").withColumn("communities", F.coalesce("communities", F.array().cast("array<string>")))
+
+
+def connecting_evidence(edges: DataFrame, pairs: DataFrame, k: int = 3) -> DataFrame:
+    """``a, b, chunk, score, rank``: the chunks that rank highest from both ends of each pair."""
+    seeds = pairs.select("a", "b", F.concat_ws("|", "a", "b").alias("query_id"))
+    both = seeds.select("query_id", F.col("a").alias("entity")).unionByName(seeds.select("query_id", F.col("b").alias("entity")))
+    return seeds.join(top_chunks(personalised_pagerank(edges, both), k), "query_id").drop("query_id")
+
+
+def intersections(left: DataFrame, right: DataFrame, by: str, value: str) -> DataFrame:
+    """``by, shared, either``: how many values two tables share, and have in all, by an outer join of their distinct values."""
+    a, b = left.select(by, value).distinct().withColumn("l_", F.lit(1)), right.select(by, value).distinct().withColumn("r_", F.lit(1))
+    return a.join(b, [by, value], "full").groupBy(by).agg(F.count_if(F.col("l_").isNotNull() & F.col("r_").isNotNull()).alias("shared"), F.count(F.lit(1)).alias("either"))

@@ -99,3 +99,22 @@ def history_window(messages: DataFrame, n: int = 5) -> DataFrame:
     line = F.concat(F.when(F.col("role") == "user", "User: ").otherwise("Assistant: "), F.col("content"))
     before = Window.partitionBy("session_id").orderBy("created_at").rowsBetween(-n, -1)
     return messages.withColumn("history", F.array_join(F.collect_list(line).over(before), "\n"))
+
+
+def memory_write(mentions: DataFrame, memories: DataFrame, new: DataFrame, now: Column, cap: int = 20, half_life_days: float = 30.0) -> tuple[DataFrame, DataFrame]:
+    """(mentions, memories) after new memories (user_id, qa_id, question, answer, cuis, ts): the weakest over the cap go, and memories without a mention."""
+    added = new.select("user_id", "qa_id", F.explode("cuis").alias("cui"), F.lit(1.0).alias("weight"), F.col("ts").alias("last_accessed"))
+    kept = memory_evict(mentions.unionByName(added), now, cap, half_life_days)
+    return kept, drop_orphans(memories.unionByName(new.select(memories.columns), allowMissingColumns=True), kept)
+
+
+def memory_reinforce(mentions: DataFrame, used: DataFrame) -> DataFrame:
+    """Mentions of used memories (user_id, qa_id, cui, ts), touched once more."""
+    touched = used.groupBy("user_id", "qa_id", "cui").agg(F.count(F.lit(1)).alias("n_"), F.max("ts").alias("t_"))
+    joined = mentions.join(touched, ["user_id", "qa_id", "cui"], "left")
+    weight = F.col("weight") * F.pow(F.lit(KEEP), F.coalesce("n_", F.lit(0))) + touch_weight(F.coalesce("n_", F.lit(0)))
+    return joined.withColumns({"weight": weight, "last_accessed": F.greatest("last_accessed", "t_")}).drop("n_", "t_")
+
+
+def token_usage(usage: DataFrame, by: list[str]) -> DataFrame:
+    return usage.groupBy(*by).agg(F.sum(F.col("prompt_tokens") + F.col("completion_tokens")).alias("tokens"))

@@ -86,3 +86,28 @@ def test_routing_and_answers(spark):
     assert text("糖尿病的诊断标准").query_type == "PATIENT_FAQ" and text("糖尿病的诊断标准", b=False).query_type == "CLINICAL_DECISION"
     answer = spark.range(1).select(r.stitch_citations(F.lit("Yes [1]."), F.array(F.lit(1), F.lit(2))).alias("a"), r.stitch_citations(F.lit(" "), F.array(F.lit(1))).alias("b")).first()
     assert answer.a == "Yes [1]. [2]" and answer.b == "No answer could be given."
+
+
+def test_memory_writes(spark):
+    from quillgraph.operators import memory as m
+
+    at = lambda d: f"timestamp '2024-01-{d:02d}'"
+    mentions = spark.sql(f"select * from values (1, 10, 'a', 1.0D, {at(1)}), (1, 11, 'a', 1.0D, {at(2)}) t(user_id, qa_id, cui, weight, last_accessed)")
+    memories = spark.sql("select * from values (1, 10, 'q', 'x'), (1, 11, 'q', 'x') t(user_id, qa_id, question, answer)")
+    new = spark.sql(f"select 1 user_id, 12 qa_id, 'q' question, 'y' answer, array('a', 'b') cuis, {at(3)} ts")
+    kept, left = m.memory_write(mentions, memories, new, F.expr(at(3)), cap=2)
+    assert sorted((x.qa_id, x.cui) for x in kept.collect()) == [(11, "a"), (12, "a"), (12, "b")] and sorted(x.qa_id for x in left.collect()) == [11, 12]
+    again = m.memory_reinforce(mentions, spark.sql(f"select 1 user_id, 10 qa_id, 'a' cui, {at(5)} ts"))
+    assert sorted((x.qa_id, round(x.weight, 6), x.last_accessed.day) for x in again.collect()) == [(10, 1.9, 5), (11, 1.0, 2)]
+
+
+def test_small_joins_and_lists(spark):
+    rows = spark.createDataFrame([(1, 1, 0, "q1", "a1"), (1, 2, 40, "q2", "a2")], "query_id int, rank int, days int, question string, answer string")
+    context = r.memory_context(rows).first().context
+    assert context.endswith("[today] User asked: q1\n[today] You answered: a1\n\n[1mo ago] User asked: q2\n[1mo ago] You answered: a2")
+    labels = spark.createDataFrame([(1, 0, "B"), (1, 1, "a"), (1, 2, "b"), (1, 3, "A")], "q int, pos int, label string")
+    assert r.distinct_labels(labels, "q").first().labels == ["B", "a"]
+    sets = g.intersections(labels.where("pos < 2"), labels.where("pos > 0"), "q", "label").first()
+    assert (sets.shared, sets.either) == (1, 4)
+    found = g.with_communities(spark.createDataFrame([("x",), ("y",)], "cui string"), spark.createDataFrame([("c", "x")], "community_id string, cui string"))
+    assert {x.cui: x.communities for x in found.collect()} == {"x": ["c"], "y": []}
