@@ -39,7 +39,7 @@ class Mixture:
     weights: dict[str, float]
     anchor: str
     growth: float = 1.2
-    buckets: int = 16_384
+    buckets: int = 16_384  # at most 2^15 - 22, as bucket numbers are kept in two bytes
     rounds: int = 40
     tolerance: float = 1e-4
 
@@ -71,7 +71,7 @@ def _buckets(words: Column, text: Column, size: int) -> Column:
     n = F.greatest(F.length(text), F.lit(1))
     share = lambda pattern: F.floor(10 * F.length(F.regexp_replace(text, pattern, "")) / n).cast("int")
     shape = F.array(F.lit(size) + share(r"[^A-ZÀ-Þ]+"), F.lit(size + 11) + share(r"[\p{L}\p{N}\s.,]+"))
-    return F.concat(F.array_distinct(F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(size)).cast("int"))), shape)
+    return F.concat(F.array_distinct(F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(size)).cast("short"))), shape.cast("array<short>"))
 
 
 def _constant(value) -> Column:
@@ -89,7 +89,7 @@ def with_posteriors(df: DataFrame, model: list[list[float]], buckets_col: str, p
     """Adds domain posteriors. model: for each domain, its log prior and then the log likelihood of each bucket."""
     def log_odds(prior: float, likelihood: list[float]) -> Column:
         table = _constant(likelihood)
-        return F.aggregate(buckets_col, F.lit(prior), lambda s, b: s + F.element_at(table, b + 1))
+        return F.aggregate(buckets_col, F.lit(prior), lambda s, b: s + F.element_at(table, b.cast("int") + 1))
 
     logs = [log_odds(prior, likelihood) for prior, *likelihood in model]
     raised = F.transform("logs_", lambda x: F.exp((x - F.array_max("logs_")) * SHARPNESS))
@@ -103,8 +103,9 @@ def fit_domains(features: DataFrame, labels: DataFrame, mixture: Mixture, id_col
     Parts are drawn towards those of all labelled documents, as if by ``PULL`` more documents,
     so that what a small domain has not shown says little.
     """
-    known = features.select(id_col, "buckets").join(labels, id_col)
-    counts = known.select("domain", F.explode(F.concat("buckets", F.array(F.lit(-1)))).alias("b")).groupBy("domain", "b").count().collect()
+    # both may be large: shuffled at any size
+    known = features.select(id_col, "buckets").join(labels.hint("shuffle_merge"), id_col)
+    counts = known.select("domain", F.explode(F.concat("buckets", F.array(F.lit(-1).cast("short")))).alias("b")).groupBy("domain", "b").count().collect()
     by = {d: [0] * (mixture.buckets + 23) for d in mixture.domains}
     for domain, b, n in counts:
         if domain in by:
@@ -197,5 +198,8 @@ def mix(docs: DataFrame, labels: DataFrame, mixture: Mixture = PRODUCTION, id_co
     rows = _features(docs.select(F.struct(*names).alias("row_"), F.col(text_col).alias("text_")), mixture, "text_")
     rate = _rate(F.col("p_"), fitted.steps)
     chance = F.pmod(F.xxhash64(f"row_.{id_col}", "text_"), F.lit(1 << 20)) / float(1 << 20)
-    copies = with_posteriors(rows, fitted.model, "buckets_", "p_").select("row_", F.floor(rate + chance).cast("int").alias("c_"))
-    return copies.where("c_ > 0").select("row_", F.explode(F.sequence(F.lit(1), "c_"))).select("row_.*")
+    # a row number keeps the filter on the copies above their computation; pushed below, it would repeat all of it for every step
+    copies = with_posteriors(rows, fitted.model, "buckets_", "p_").select(
+        "row_", F.floor(rate + chance).cast("int").alias("c_"), F.monotonically_increasing_id().alias("n_")
+    )
+    return copies.where("c_ > 0 and n_ >= 0").select("row_", F.explode(F.sequence(F.lit(1), "c_"))).select("row_.*")
