@@ -1,4 +1,4 @@
-"""Corpus pipeline: language ID, SimHash near-dedup, mixing to target weights, packing.
+"""Corpus pipeline: language ID, near-dedup, mixing to target weights, packing.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the one before kept. All
 but the last return the columns of documents; the last returns pieces of packed sequences.
@@ -14,7 +14,7 @@ from quillgraph.llm.common import store, table
 from quillgraph.llm.language_id import keep_identified, train
 from quillgraph.llm.mixing import PRODUCTION, mix
 from quillgraph.llm.packing import pack
-from quillgraph.llm.simhash_dedup import simhash_components
+from quillgraph.llm.shingle_dedup import shingle_sets, similar_components
 
 #: A calibrated probability below this says that the text is in no language that was learned; a guess among four has 0.25.
 LEAST_SCORE = 0.34
@@ -26,8 +26,11 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component stays: that with the smallest id, once."""
-    found = simhash_components(docs)
+    """One document of each component (texts with a Jaccard similarity of 0.8 or more, by five words) stays: that with the smallest id, once."""
+    sets = store(shingle_sets(docs, ["doc_id"]), "near-shingles")
+    group = F.coalesce("component", "sig")
+    rows = sets.select("doc_id", "sig").join(similar_components(sets), "sig", "left").select("doc_id", group.alias("group"))
+    found = rows.join(rows.groupBy("group").agg(F.min("doc_id").alias("component_id")), "group")
     first = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
     kept = _keep(docs, first)
     # repeated rows with a kept id: one of them; only ids that repeat are shuffled with their texts

@@ -1,0 +1,159 @@
+"""Near-duplicates by exact Jaccard similarity of five-word shingles, at least 0.8; components of what links reach.
+
+Words and shingle hashes are those of ``simhash_dedup`` (XXH64, seed 42). Equal sets of
+shingles are one node. A radius in 64-bit SimHash that covers 0.8 is about 20 bits: shards
+that miss no such pair have three equal bits, that is nearly all pairs. So candidates are
+found by the sets themselves. In any fixed order of shingles, two sets with similarity s
+share one of their first n - ceil(s n) + 1; the order here is by how frequent the
+shingle's bucket is in the corpus, rare ones first. The buckets' number is fixed, and as
+they only order the shingles, no pair is missed by them.
+
+Rounds of stars link sets that share a leading shingle to one of them. Then every pair of
+candidates that is still in two components is compared. A link counts only after both
+whole sets were intersected.
+
+Defined results: null or empty text has the empty set, equal to itself only; texts of up to
+five words are one shingle; very long texts are taken whole; an empty table gives no rows.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from .common import VECTOR_SCHEMA, blank, store, vector_rows, vector_sum
+from .components import connected_components
+from .simhash_dedup import SEED, shingle_hashes
+
+WIDTH = 5
+#: Buckets of shingles, counted to order them.
+BUCKET_BITS = 18
+#: Bits of the filter that keeps sets without a candidate out of shuffles.
+FILTER_BITS = 25
+STARS = 2
+#: Sets that a task remembers, to give each one's shingles once.
+REMEMBERED = 500_000
+
+
+def _flat(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """All values, and where each row's begin and end."""
+    offsets = column.offsets.to_numpy()
+    return column.flatten().to_numpy().view(np.uint64), offsets - offsets[0]
+
+
+def shingle_sets(docs: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
+    """Columns ``keep``, ``sig`` (hash of the set), ``shingles`` (sorted) of every row; no shuffle."""
+    rows = docs.select(*keep, blank(F.col(text_col)).alias("text_"))
+    zero = F.lit(0).cast("long")
+    schema = rows.select(*keep, zero.alias("sig"), F.array(zero).alias("shingles")).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                sets = [np.unique(shingle_hashes(t.as_py(), WIDTH)) for t in part.column(len(keep))]
+                sig = np.fromiter((xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets), np.uint64, len(sets))
+                ends = np.cumsum([0, *map(len, sets)], dtype=np.int32)
+                lists = pa.ListArray.from_arrays(ends, np.concatenate(sets).view(np.int64))
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(sig.view(np.int64)), lists], [*keep, "sig", "shingles"])
+
+    return rows.mapInArrow(run, schema)
+
+
+def _bucket_counts(sets: DataFrame) -> np.ndarray:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(1 << BUCKET_BITS)
+        for batch in batches:
+            values, _ = _flat(batch.column(0))
+            counts += np.bincount((values >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), minlength=len(counts))
+        yield vector_rows(counts)
+
+    return vector_sum(sets.select("shingles").mapInArrow(run, VECTOR_SCHEMA), 1 << BUCKET_BITS)
+
+
+def leading(sets: DataFrame) -> DataFrame:
+    """``key, sig, n, at``: the shingles of which two similar sets share one, and their places in the common order."""
+    shared = sets.sparkSession.sparkContext.broadcast(_bucket_counts(sets))  # of fixed size
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, seen = shared.value, set()
+        for batch in batches:
+            sigs = batch.column(0).to_numpy()
+            values, ends = _flat(batch.column(1))
+            weights = counts[(values >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)]
+            keys, rows = [np.zeros(0, np.uint64)], []
+            for i, sig in enumerate(sigs.tolist()):
+                a, b = int(ends[i]), int(ends[i + 1])
+                if a == b or sig in seen:
+                    continue
+                if len(seen) < REMEMBERED:
+                    seen.add(sig)
+                first = b - a + 1 + (-4 * (b - a)) // 5  # n - ceil(0.8 n) + 1
+                keys.append(values[a:b][np.lexsort((values[a:b], weights[a:b]))[:first]])
+                rows.append((sig, b - a, first))
+            sig, n, times = np.array(rows, np.int64).reshape(-1, 3).T
+            at = np.concatenate([np.arange(0), *map(np.arange, times)])
+            out = [np.concatenate(keys).view(np.int64), np.repeat(sig, times), np.repeat(n, times).astype(np.int32), at.astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], ["key", "sig", "n", "at"])
+
+    every = sets.select("sig", "shingles").mapInArrow(run, "key long, sig long, n int, at int")
+    same = Window.partitionBy("key")
+    once = every.repartition("key").dropDuplicates(["key", "sig"])
+    return once.withColumn("most", F.count(F.lit(1)).over(same)).where("most > 1").drop("most")
+
+
+#: Places in the common order leave room for as many common shingles as 0.8 takes (at a pair's first common shingle, they do).
+ROOM = "9L * least(x.n - x.at, y.n - y.at) >= 4L * (x.n + y.n)"
+
+
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of ``pairs(a, b)`` whose sets have a Jaccard similarity of 0.8 or more."""
+    pairs = store(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-pairs")
+    slot = F.col("sig").bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("sig"))
+    words = ids.select(F.shiftright(slot, 5).cast("int").alias("word"), F.expr("shiftleft(1L, int(sig & 31))").alias("bit"))
+    found = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    mask = np.zeros(1 << (FILTER_BITS - 5), np.int64)  # of fixed size
+    mask[found.column("word").to_numpy()] = found.column("bits").to_numpy()
+    shared = sets.sparkSession.sparkContext.broadcast(mask)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()
+        for batch in batches:
+            sig = batch.column(0).to_numpy()
+            place = sig & ((1 << FILTER_BITS) - 1)
+            take = (shared.value[place >> 5] >> (place & 31) & 1).astype(bool)
+            for i in np.flatnonzero(take).tolist():
+                take[i] = (s := int(sig[i])) not in seen
+                if len(seen) < REMEMBERED:
+                    seen.add(s)
+            yield batch.filter(pa.array(take))
+
+    wanted = sets.select("sig", "shingles")
+    wanted = store(wanted.mapInArrow(run, wanted.schema).dropDuplicates(["sig"]), "near-sets")
+    left, right = wanted.toDF("a", "sa"), wanted.toDF("b", "sb")
+    both = pairs.join(left, "a").join(right, "b").withColumn("common", F.size(F.array_intersect("sa", "sb")))
+    return both.where("9L * common >= 4L * (size(sa) + size(sb))").select("a", "b")
+
+
+def similar_components(sets: DataFrame) -> DataFrame:
+    """``sig, component`` of the sets of ``sets(sig, shingles)`` that are linked to another one."""
+    keys = store(leading(sets), "near-keys")
+    links = sets.sparkSession.createDataFrame([], "a long, b long")
+    for round_ in range(STARS + 1):
+        known = store(connected_components(links), "near-components").toDF("sig", "c")
+        named = store(keys.join(known, "sig", "left").withColumn("c", F.coalesce("c", "sig")), "near-named")
+        if round_ < STARS:
+            centre = F.min_by(F.struct("sig", "n", "at", "c"), F.xxhash64("sig", "key", F.lit(round_))).alias("y")
+            other, once = named.groupBy("key").agg(centre).select("key", "y.*"), ""
+        else:
+            other, once = named, "AND x.sig < y.sig"
+        pairs = named.alias("x").join(other.alias("y"), F.expr(f"x.key = y.key AND x.c <> y.c AND {ROOM} {once}"))
+        more = _verified(pairs.select(F.col("x.sig").alias("a"), F.col("y.sig").alias("b")), sets)
+        links = store(links.unionByName(more), "near-links")
+    return connected_components(links).toDF("sig", "component")

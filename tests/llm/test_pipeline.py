@@ -53,3 +53,45 @@ def test_repeated_rows_and_no_rows(spark, tmp_path):
     spark.createDataFrame([], LABELS).write.parquet(f"{tmp_path}/labels.parquet")
     for _, stage in pipeline.STAGES:
         assert stage(spark, none, str(tmp_path)).count() == 0
+
+
+def shingles(text):
+    words = text.lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+
+def jaccard_groups(texts):
+    """Index -> smallest index reachable over pairs with a similarity of 0.8 or more, all pairs compared."""
+    sets, root = [shingles(t) for t in texts], list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]) and root[i] != root[j]:
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    return root
+
+
+def edited_copies():
+    rng = random.Random(4)
+    fresh = lambda n: [f"w{rng.randrange(4000)}" for _ in range(n)]
+    common, texts = fresh(12), []
+    for _ in range(40):
+        base = fresh(rng.randint(20, 150))
+        texts.append(base)
+        for _ in range(rng.randint(0, 5)):
+            copy = list(rng.choice(texts[-3:]))
+            for _ in range(rng.randint(1, 4)):
+                copy[rng.randrange(len(copy))] = "edited"
+            texts.append(copy)
+        texts.append(common + fresh(rng.randint(1, 60)))
+    texts += [["one"], ["ONE"], ["one", "two"], common, [*common, "more"]]
+    rng.shuffle(texts)
+    return [" ".join(t) for t in texts]
+
+
+def test_edited_copies_against_brute_force_jaccard(spark):
+    texts = edited_copies()
+    want = jaccard_groups(texts)
+    assert 20 < len(texts) - len(set(want)) < len(texts) / 2
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], SCHEMA)
+    assert sorted(r.doc_id for r in pipeline.near_dedup_stage(spark, docs, "").collect()) == sorted(set(want))
