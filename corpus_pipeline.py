@@ -7,7 +7,7 @@ but the last return the columns of documents; the last returns pieces of packed
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgraph.llm.common import store, table
@@ -26,20 +26,19 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component (texts with a Jaccard similarity of 0.8 or more, by five words) stays: that with the smallest id, once."""
-    sets = store(shingle_sets(docs, ["doc_id"]), "near-shingles")
-    group = F.coalesce("component", "sig")
-    rows = sets.select("doc_id", "sig").join(similar_components(sets), "sig", "left").select("doc_id", group.alias("group"))
-    found = rows.join(rows.groupBy("group").agg(F.min("doc_id").alias("component_id")), "group")
-    first = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    kept = _keep(docs, first)
-    # repeated rows with a kept id: one of them; only ids that repeat are shuffled with their texts
-    again = store(docs.groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated-ids")
-    if again.isEmpty():
-        return kept
-    order = Window.partitionBy("doc_id").orderBy(*[c for c in docs.columns if c != "doc_id"])
-    one = _keep(kept, again).withColumn("row_", F.row_number().over(order)).where("row_ = 1").drop("row_")
-    return kept.join(again, "doc_id", "left_anti").unionByName(one)
+    """One row of each component (texts with a Jaccard similarity of 0.8 or more, by five words) stays.
+
+    It is the first by id (null ids last), then by the hash of its shingles, then by that of
+    the whole row; so a component without ids keeps one row, and one id with unlike texts one row for each.
+    """
+    marked = docs.withColumn("row_", F.xxhash64(*docs.columns, *[F.col(c).isNull() for c in docs.columns]))
+    sets = store(shingle_sets(marked, ["doc_id", "row_"]), "near-shingles")
+    group = F.coalesce("component", "sig").alias("group")
+    rows = sets.select("doc_id", "sig", "row_").join(similar_components(sets), "sig", "left").select(group, "doc_id", "sig", "row_")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "sig", "row_")).alias("x")
+    kept = store(rows.groupBy("group").agg(first).select("x.row_"), "near-kept")
+    # rows that are equal as a whole: one of them
+    return marked.join(kept, "row_", "left_semi").dropDuplicates(["row_"]).select(docs.columns)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,10 +50,6 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return pack(docs, public_tokenizers.path("byte_bpe_50k.json"), capacity=1024)
 
 
-def _keep(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    return docs.join(ids, "doc_id", "left_semi").select(docs.columns)
-
-
 STAGES = [
     ("language_id", language_stage),
     ("simhash_dedup", near_dedup_stage),

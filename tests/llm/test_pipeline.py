@@ -95,3 +95,12 @@ def test_edited_copies_against_brute_force_jaccard(spark):
     assert 20 < len(texts) - len(set(want)) < len(texts) / 2
     docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], SCHEMA)
     assert sorted(r.doc_id for r in pipeline.near_dedup_stage(spark, docs, "").collect()) == sorted(set(want))
+
+
+def test_components_without_ids_and_ids_with_unlike_texts(spark):
+    a, b, c = "the same words over and over here", "one more text that stands alone now", "and a third one with other words"
+    rows = [(None, a, "en", "s", 1), (None, a, "en", "t", 1), (None, a, "en", "s", 1), (None, None, "en", "s", 1), (None, None, None, "en", 1)]
+    rows += [(5, b, "en", "s", 1), (5, c, "en", "s", 1), (7, b, "en", "s", 1), (7, c, "en", "s", 1)]
+    got = pipeline.near_dedup_stage(spark, spark.createDataFrame(rows, SCHEMA), "").collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in got) == [(0, ""), (0, a), (5, c), (5, b)]
+    assert all(tuple(r) in rows for r in got)
