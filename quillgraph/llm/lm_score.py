@@ -8,7 +8,7 @@ tokens' conditional probabilities.
 Tokens are lower-cased words. The vocabulary is the most frequent words of all documents,
 sorted by frequency into classes; other words share hashed entries. Training passes read every
 document: in each, a task starts from the common weights, learns in numpy from the places that the
-pass masks (a hash of place and pass picks ``mask_share`` of them), and Spark averages the
+pass masks (a hash of row id, text and place deals one in ``mask_share`` to it), and Spark averages the
 tasks' weights by their number of places. So what is gathered grows with the corpus, and
 what the driver holds is one vocabulary and one set of weights of fixed size.
 
@@ -44,7 +44,7 @@ class Settings:
     hashed: int = 256
     reach: int = 2
     width: int = 16
-    rounds: int = 1
+    rounds: int = 3  # a multiple of mask_share, so that every place is masked equally often
     mask_share: int = 3  # one place in so many, in each round
     rate: float = 2.0
     batch: int = 2048
@@ -240,10 +240,10 @@ class MaskedModel:
     settings: Settings
 
 
-def train(docs: DataFrame, settings: Settings = Settings(), text_col: str = "text") -> MaskedModel:
+def train(docs: DataFrame, settings: Settings = Settings(), text_col: str = "text", id_col: str = "doc_id") -> MaskedModel:
     s = settings
-    texts = docs.select(blank(F.col(text_col)).alias("text"))
-    words, counts = vocabulary(texts, s)
+    texts = docs.select(blank(F.col(text_col)).alias("text"), F.xxhash64(id_col).alias("key"))
+    words, counts = vocabulary(texts.select("text"), s)
     flat = pack_weights(first_weights(counts, s), s)
     context = docs.sparkSession.sparkContext
     for round_ in range(s.rounds):
@@ -262,9 +262,9 @@ def train(docs: DataFrame, settings: Settings = Settings(), text_col: str = "tex
                 targets.clear()
 
             for batch in batches:
-                for text in batch.column(0):
+                for text, key in zip(*batch.columns, strict=True):
                     ids = ids_of(words_of(text.as_py()))
-                    places = _masked(len(ids), int(ids[:8].sum()), round_, s)
+                    places = _masked(len(ids), (int(ids[:8].sum()) + key.as_py()) % (1 << 64), round_, s)
                     around.append(windows(ids, places, s))
                     targets.append(ids[places])
                     held += len(places)
@@ -310,4 +310,4 @@ def score(docs: DataFrame, model: MaskedModel, id_col: str = "doc_id", text_col:
 
 
 def lm_scores(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    return score(docs, train(docs, settings, text_col), id_col, text_col)
+    return score(docs, train(docs, settings, text_col, id_col), id_col, text_col)

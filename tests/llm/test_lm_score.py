@@ -71,3 +71,15 @@ def test_gradient():
 
 def test_no_rows(spark):
     assert lm_scores(spark.createDataFrame([], SCHEMA), SMALL).count() == 0
+
+
+def test_rounds_mask_every_place_and_copies_differ(spark):
+    from quillgraph.llm import lm_score as module
+
+    s = Settings()
+    places = sorted(p for r in range(s.rounds) for p in module._masked(50, 7, r, s).tolist())
+    assert places == sorted(list(range(50)) * (s.rounds // s.mask_share))
+    text = "the cat sat on the mat and a dog ran " * 3
+    once = Settings(**(SMALL.__dict__ | {"rounds": 1}))
+    models = [train(spark.createDataFrame([(i, text, "", 0)], SCHEMA), once).weights for i in range(3)]
+    assert not np.array_equal(models[0], models[1]) or not np.array_equal(models[0], models[2])
