@@ -17,7 +17,8 @@ text, with version lines in it too, comes back whole; an empty table gives no ro
 named columns are read. Archives are gzip files, one task reads each; with ``compression="none"`` a file is
 read in splits. Headers hold no control characters: such characters of a URL
 are percent-encoded. Files end at ``records_per_file`` records, which bounds what a file's
-window sorts; payloads are shuffled once, to find equal ones, and never when they are read.
+window sorts; payloads are shuffled once, to find equal ones, and never when they are read, but for those that hold version lines.
+A round trip that reads another number of records than it wrote is an error.
 """
 
 from __future__ import annotations
@@ -56,7 +57,8 @@ def write_warc(
     first = (
         rows.where(F.col("n") >= least_revisit_bytes).groupBy("digest", "n").agg(F.min("key").alias("first"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
     ).select("digest", "n", "first")
-    rows = rows.join(first, ["digest", "n"], "left")
+    # both sides grow with the pages; a digest that many pages share is a skewed join's, which Spark splits
+    rows = rows.join(first.hint("shuffle_merge"), ["digest", "n"], "left")
     again = F.coalesce(F.col("first") < F.col("key"), F.col("key").isNull() & F.col("first").isNotNull())
 
     def line(name: str, value: Column) -> Column:
@@ -80,12 +82,16 @@ def write_warc(
 
 
 def _cuts(spark: SparkSession, path: str) -> DataFrame:
-    """The files cut at version lines: ``file, block`` (the split that it was read in), ``row`` (order within it), ``value``."""
+    """The files cut at version lines: ``file, value``, with the order within one read (``block, row``).
+
+    ``block`` and ``row`` follow how Spark deals out splits, and so hold for one read only. What is
+    read again is found by ``file, size`` and ``mark`` (a hash of the bytes): splits end at cuts, so every read has the same cuts.
+    """
     return (
         spark.read.option("lineSep", MAGIC)
         .text(path)
         .select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value")
-        .withColumn("row", F.monotonically_increasing_id())
+        .withColumns({"row": F.monotonically_increasing_id(), "size": F.octet_length("value").cast("long"), "mark": F.xxhash64("value")})
     )
 
 
@@ -113,7 +119,7 @@ FIELDS = ["record_type", "record_id", "refers_to", "digest", "length", "payload_
 
 
 def candidates(spark: SparkSession, path: str) -> DataFrame:
-    """One narrow row per cut: its place (``file, at, block, row``), where its successor must start, and its ``FIELDS``.
+    """One narrow row per cut: its place (``file, at``), its bytes' ``size`` and ``mark``, where its successor must start, and its ``FIELDS``.
 
     ``successor`` is null for a cut that has no whole record header. Payload bytes stay where they were read.
     """
@@ -121,81 +127,80 @@ def candidates(spark: SparkSession, path: str) -> DataFrame:
     length = F.regexp_extract(F.substring_index(value, END, 1), r"(?m)^Content-Length: (\d+)\r?$", 1).try_cast("long")
     prefix = F.octet_length(F.substring_index(value, END, 1)).cast("long") + 2 * len(END) + len(MAGIC)
     said = _record(value)
-    cuts = store(
-        _cuts(spark, path).select(
-            "file",
-            "block",
-            "row",
-            (F.octet_length(value).cast("long") + len(MAGIC)).alias("size"),
-            F.when(F.locate(END, value) > 0, prefix + length).alias("span"),
-            *[said[f].alias(f) for f in FIELDS],
-        ),
-        "warc-cuts",
-    )
+    span = F.when(F.locate(END, value) > 0, prefix + length).alias("span")
+    cuts = store(_cuts(spark, path).select("file", "block", "row", "size", "mark", span, *[said[f].alias(f) for f in FIELDS]), "warc-cuts")
     # every cut but the first of a file follows a version line; the first is what precedes the first line: empty
     before = Window.partitionBy("file").orderBy("block", "row").rowsBetween(Window.unboundedPreceding, -1)
-    at = F.coalesce(F.sum("size").over(before), F.lit(0).cast("long")) - len(MAGIC)
+    at = F.coalesce(F.sum(F.col("size") + len(MAGIC)).over(before), F.lit(0).cast("long")) - len(MAGIC)
     placed = cuts.withColumn("at", at).where("at >= 0").withColumn("successor", F.col("at") + F.col("span"))
-    return store(placed.drop("size", "span"), "warc-candidates")
+    return store(placed.drop("span", "block", "row"), "warc-candidates")
 
 
 def reachable(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
-    """``file, at`` of the candidates on the chain from offset 0, by pointer jumping: round k knows 2^k of them."""
+    """``file, at`` of the candidates on the chain from offset 0, by pointer jumping: round k knows 2^k of them.
+
+    Both sides of each join grow with the archives: they are shuffled by file and offset, never broadcast.
+    """
     jump = edges.where("successor is not null").select("file", "at", F.col("successor").alias("to"))
     known = edges.where("at = 0").select("file", "at")
+    size = known.count()
     for _ in range(max_rounds):
-        new = known.join(jump, ["file", "at"]).select("file", F.col("to").alias("at"))
-        size = known.count()
+        new = known.hint("shuffle_merge").join(jump, ["file", "at"]).select("file", F.col("to").alias("at"))
         known = store(known.unionByName(new).distinct(), "warc-known")
-        if known.count() == size:
-            return known.join(edges.select("file", "at"), ["file", "at"], "left_semi")
+        before, size = size, known.count()
+        if size == before:
+            return known.hint("shuffle_merge").join(edges.select("file", "at"), ["file", "at"], "left_semi")
         onward = jump.select("file", F.col("at").alias("to"), F.col("to").alias("beyond"))
-        jump = store(jump.join(onward, ["file", "to"]).select("file", "at", F.col("beyond").alias("to")), "warc-jump")
+        jump = store(jump.hint("shuffle_merge").join(onward, ["file", "to"]).select("file", "at", F.col("beyond").alias("to")), "warc-jump")
     raise RuntimeError(f"a chain of more than 2^{max_rounds} records")
 
 
-def index_warc(spark: SparkSession, path: str) -> DataFrame:
-    """``file, at, row, block, pieces`` and ``FIELDS`` of every record of the archives below ``path``.
+PLACE = ["file", "size", "mark"]
 
-    A record whose payload holds version lines was cut in several pieces; only those are read
-    again and put together. The digests are of the bytes that were read.
-    """
+
+def _owned(spark: SparkSession, path: str) -> DataFrame:
+    """Every cut with the record that it belongs to: ``file, at, owner, pieces, size, mark`` and ``FIELDS``. Stored."""
     cuts = candidates(spark, path)
     real = reachable(cuts.select("file", "at", "successor"))
-    marked = cuts.join(real.withColumn("record", F.col("at")), ["file", "at"], "left")
+    marked = cuts.hint("shuffle_merge").join(real.withColumn("record", F.col("at")), ["file", "at"], "left")
     place = Window.partitionBy("file").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
     # a cut that is no record belongs to the last record before it, with its version line
     owned = marked.withColumn("owner", F.last("record", ignorenulls=True).over(place))
-    owned = store(owned.withColumn("pieces", F.count(F.lit(1)).over(Window.partitionBy("file", "owner"))), "warc-owned")
-    columns = ["file", "at", "block", "row", "pieces", *FIELDS]
+    return store(owned.withColumn("pieces", F.count(F.lit(1)).over(Window.partitionBy("file", "owner"))), "warc-owned")
+
+
+def _texts(spark: SparkSession, path: str, owned: DataFrame) -> DataFrame:
+    """``file, owner, pieces, value`` of the records that ``owned`` names, read again; equal cuts of a file are one text."""
+    asked = owned.select("file", "at", "owner", "pieces", "size", "mark")
+    # equal bytes are one row however often a file has them, as each asked place finds them
+    found = _cuts(spark, path).select(*PLACE, "value").join(asked.select(*PLACE).distinct().hint("shuffle_hash"), PLACE, "left_semi").dropDuplicates(PLACE)
+    parts = F.array_sort(F.collect_list(F.struct("at", "value")))
+    joined = F.array_join(F.transform(parts, lambda x: x["value"]), MAGIC).alias("value")
+    return asked.hint("shuffle_merge").join(found, PLACE).groupBy("file", "owner", "pieces").agg(joined, F.count(F.lit(1)).alias("found")).where(
+        F.when(F.col("found") == F.col("pieces"), True).otherwise(F.raise_error(F.lit("an archive changed between two reads")).cast("boolean"))
+    ).drop("found")
+
+
+def index_warc(spark: SparkSession, path: str) -> DataFrame:
+    """``file, at, pieces`` and ``FIELDS`` of every record of the archives below ``path``.
+
+    A record whose payload holds version lines was cut in several pieces; only those are read
+    again and put together. The digests are of the bytes that were read.
+    """
+    owned = _owned(spark, path)
+    columns = ["file", "at", "pieces", *FIELDS]
     whole = owned.where("pieces = 1").select(columns)
-    broken = owned.where("pieces > 1").select("file", "block", "row", "at", "owner", "pieces")
+    broken = owned.where("pieces > 1")
     if broken.isEmpty():
         return whole
-    texts = _joined(_cuts(spark, path).join(broken, ["file", "block", "row"]))
     said = _record(F.col("value"))
-    return whole.unionByName(texts.select("file", F.col("owner").alias("at"), "block", "row", "pieces", *[said[f].alias(f) for f in FIELDS]))
-
-
-def _joined(cuts: DataFrame) -> DataFrame:
-    """Records cut in pieces, whole again."""
-    parts = F.array_sort(F.collect_list(F.struct("at", "value")))
-    return cuts.groupBy("file", "owner", "pieces").agg(
-        F.array_join(F.transform(parts, lambda x: x["value"]), MAGIC).alias("value"), F.min("block").alias("block"), F.min("row").alias("row")
-    )
+    return whole.unionByName(_texts(spark, path, broken).select("file", F.col("owner").alias("at"), "pieces", *[said[f].alias(f) for f in FIELDS]))
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """Records of the archives below ``path`` with their payloads: ``file, at, payload`` and ``FIELDS``."""
-    records = index_warc(spark, path).select("file", "at")
-    cuts = candidates(spark, path).select("file", "at", "block", "row")
-    place = Window.partitionBy("file").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    owned = cuts.join(records.withColumn("record", F.col("at")), ["file", "at"], "left").withColumn("owner", F.last("record", ignorenulls=True).over(place))
-    owned = owned.withColumn("pieces", F.count(F.lit(1)).over(Window.partitionBy("file", "owner")))
-    texts = _cuts(spark, path).join(owned, ["file", "block", "row"])
-    whole = texts.where("pieces = 1").select("file", "owner", "value").unionByName(_joined(texts.where("pieces > 1")).select("file", "owner", "value"))
     said = _record(F.col("value"))
-    return whole.select("file", F.col("owner").alias("at"), *[said[f].alias(f) for f in [*FIELDS, "payload"]])
+    return _texts(spark, path, _owned(spark, path)).select("file", F.col("owner").alias("at"), *[said[f].alias(f) for f in [*FIELDS, "payload"]])
 
 
 def warc_round_trip(pages: DataFrame, path: str | None = None, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least_revisit_bytes: int = 0) -> DataFrame:
@@ -217,9 +222,12 @@ def warc_round_trip(pages: DataFrame, path: str | None = None, id_col: str = "pa
         "payload_digest",
     )
     records = store(records, "warc-records")
+    written, read = pages.count(), records.count()
+    if written != read:
+        raise RuntimeError(f"{written} records were written, {read} were read back")
     responses = records.where("record_type = 'response'")
     targets = responses.select(F.col(id_col).alias("refers_to"), F.col("payload_digest").alias("said"), "payload_bytes", "payload_digest").distinct()
-    revisits = records.where("record_type = 'revisit'").drop("payload_bytes", "payload_digest").join(targets, ["refers_to", "said"])
+    revisits = records.where("record_type = 'revisit'").drop("payload_bytes", "payload_digest").join(targets.hint("shuffle_merge"), ["refers_to", "said"])
     columns = [id_col, "payload_bytes", "payload_digest", "record_type", "refers_to"]
     return responses.select(columns).unionByName(revisits.select(columns))
 

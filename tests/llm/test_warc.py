@@ -3,7 +3,8 @@ import hashlib
 
 import pytest
 
-from quillgraph.llm.warc import END, MAGIC, read_warc, warc_round_trip, write_warc
+from quillgraph.llm import warc
+from quillgraph.llm.warc import END, MAGIC, index_warc, read_warc, warc_round_trip, write_warc
 
 SCHEMA = "page_id long, url string, html string, payload string, n int"
 FAKE = MAGIC + "WARC-Type: response\r\nWARC-Record-ID: <urn:page:99>\r\nContent-Length: 5\r\n\r\nhello" + END
@@ -59,3 +60,24 @@ def test_null_ids_repeats_and_no_rows(spark):
     got = warc_round_trip(spark.createDataFrame(rows, SCHEMA)).collect()
     assert sorted((r.page_id or -1, r.record_type, r.refers_to) for r in got) == [(-1, "response", None), (-1, "revisit", 4), (4, "response", None), (4, "response", None)]
     assert warc_round_trip(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_splits_that_change_between_the_two_reads(spark, tmp_path):
+    """Executors come and go, and with them how files are packed into tasks; no record may hang on that."""
+    rows = [(i, "u", ("a " + FAKE + f"{i} ") * (i % 10 == 0) + f"page {i} " * 30, "", 0) for i in range(1000)]
+    write_warc(spark.createDataFrame(rows, SCHEMA).repartition(8), str(tmp_path / "w"), compression="none")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "5000")
+    lazy = index_warc(spark, str(tmp_path / "w"))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "70000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    got = {int(r.record_id): r for r in lazy.collect()}
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert len(got) == 1000 and all(got[i].payload_digest == digest(t) for i, _, t, _, _ in rows)
+
+
+def test_lost_records_are_an_error(spark, monkeypatch):
+    real = warc.index_warc
+    monkeypatch.setattr(warc, "index_warc", lambda *a: real(*a).limit(3))
+    with pytest.raises(RuntimeError, match="4 records were written, 3 were read"):
+        warc_round_trip(spark.createDataFrame([(i, "u", f"p{i}", "", 0) for i in range(4)], SCHEMA))
