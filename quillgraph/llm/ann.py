@@ -33,6 +33,8 @@ from pyspark.sql import functions as F
 from .common import store
 
 LEAF_ROWS = 64
+#: Parts of all hashes that a sample can be cut at.
+HASHES = 1 << 40
 
 
 def chi_square_cdf(x: float, m: int) -> float:
@@ -164,7 +166,9 @@ def nearest(
     rows = rows.where(F.size("v") == dim)
     asked = asked.where(F.size("v") == dim).groupBy(F.col("id").alias("query_id")).agg(F.min("v").alias("v"))
 
-    sample = rows.orderBy(F.xxhash64("id"), "v").limit(fit_rows).select("v").toPandas()
+    # a hash cut made from the count: each task gives its share, about fit_rows in all; the limit counts where equal rows are many
+    share = F.pmod(F.xxhash64("id", "v"), F.lit(HASHES)) < math.ceil(HASHES * min(1.0, fit_rows / total))
+    sample = rows.where(share).limit(2 * fit_rows).select("v").toPandas()
     depth = min(max(0, math.ceil(math.log2(max(1, total / shard_rows)))), int(math.log2(max(1, len(sample) // 16))) if len(sample) >= 16 else 0)
     splits = top_splits(np.stack(sample["v"]) @ matrix, depth)
 
