@@ -4,8 +4,9 @@ Decodes P1 to P6 and uncompressed BMP, resizes by area through integral images,
 writes small tiles as NPY bytes with a difference hash. Images are rows: Spark deals
 them out, nothing is shuffled, and long images are summed band by band.
 
-Defined results: null media, and bytes that are no such image, give null features and a false
-``decoded``; repeated rows give repeated rows; an empty table gives no rows; only the named
+Defined results: null media, and bytes that are no such image (too few bytes for the size that the
+header says, samples over its maximum, palette indices beyond the palette), give null features and a false
+``decoded``; no bytes at all make a task fail; repeated rows give repeated rows; an empty table gives no rows; only the named
 columns are read. For texts as payloads: null counts as empty, which is one row of spaces.
 """
 
@@ -25,7 +26,8 @@ from pyspark.sql import functions as F
 
 from .common import blank
 
-BAND = 4096
+#: Values of an image that are summed at once.
+BAND = 1 << 20
 NETPBM = re.compile(rb"P([1-6])" + rb"(?:\s|#[^\n]*\n)+(\d+)" * 2)
 NUMBER = re.compile(rb"(?:\s|#[^\n]*\n)+(\d+)")
 
@@ -62,59 +64,87 @@ def _decode_netpbm(media: bytes) -> np.ndarray | None:
             return None
         end, most = number.end(), int(number[1])
     shape = (height, width, 3)[: 2 + (channels == 3)]
-    if not (width and height and 0 < most < 65536):
+    size = width * height * channels
+    # every kind has a bit at least for each sample
+    if not (size and 0 < most < 65536 and size <= 8 * len(media)):
         return None
-    if kind == 1:  # digits may stand without space
-        digits = re.findall(rb"[01]", re.sub(rb"#[^\n]*", b"", media[end:]))[: width * height]
-        return (1 - np.array(digits).astype(np.uint8)).reshape(shape) * np.uint8(255)
-    if kind in (2, 3):
-        plain = np.array(re.sub(rb"#[^\n]*", b"", media[end:]).split()[: width * height * channels], dtype=np.int64)
-        return plain.astype(np.uint8 if most < 256 else np.uint16).reshape(shape)
+    if kind <= 3:
+        body = re.sub(rb"#[^\n]*", b"", media[end:])
+        if bitmap:  # digits may stand without space
+            plain = re.findall(rb"[01]", body)[:size]
+        else:
+            plain = body.split()[:size]
+        if len(plain) < size or any(not x.isdigit() or len(x.lstrip(b"0")) > 5 for x in plain):
+            return None
+        samples = np.array([int(x) for x in plain], np.int64)
+        if samples.max() > most:
+            return None
+        return ((1 - samples) * 255 if bitmap else samples).astype(np.uint8 if most < 256 else np.uint16).reshape(shape)
     end += 1  # one white space
     if kind == 4:
         line = -(-width // 8)
         bits = np.unpackbits(np.frombuffer(media, np.uint8, line * height, end).reshape(height, line), axis=1)[:, :width]
         return (1 - bits) * np.uint8(255)
-    samples = np.frombuffer(media, np.uint8 if most < 256 else ">u2", width * height * channels, end)
-    return samples.reshape(shape)
+    samples = np.frombuffer(media, np.uint8 if most < 256 else ">u2", size, end)
+    return samples.reshape(shape) if samples.max() <= most else None
 
 
 def _decode_bmp(media: bytes) -> np.ndarray | None:
     start, head, width, height, _, depth, packed = struct.unpack_from("<10xIIiiHHI", media)
     top_down, height = height < 0, abs(height)
-    if packed or head < 40 or depth not in (8, 24, 32) or width <= 0 or not height:
+    line = -(-max(width, 0) * depth // 32) * 4
+    if packed or head < 40 or depth not in (8, 24, 32) or width <= 0 or not height or start + line * height > len(media):
         return None
-    line = -(-width * depth // 32) * 4
     rows = np.frombuffer(media, np.uint8, line * height, start).reshape(height, line)
     rows = rows if top_down else rows[::-1]
     if depth == 8:
         colours = struct.unpack_from("<I", media, 46)[0] or 256
-        return np.frombuffer(media, np.uint8, 4 * colours, 14 + head).reshape(-1, 4)[:, 2::-1][rows[:, :width]]
+        if colours > 256 or 14 + head + 4 * colours > len(media) or (indices := rows[:, :width]).max() >= colours:
+            return None
+        return np.frombuffer(media, np.uint8, 4 * colours, 14 + head).reshape(-1, 4)[:, 2::-1][indices]
     return rows[:, : width * depth // 8].reshape(height, width, depth // 8)[:, :, 2::-1]
 
 
-def _shrink(image: np.ndarray, to: int) -> np.ndarray:
-    """Means over ``to`` equal spans of the first axis, from its integral image at the spans' edges (fractions of a row count in part)."""
-    size = len(image)
+def _spans(size: int, to: int) -> tuple[np.ndarray, np.ndarray]:
+    """Edges of ``to`` equal spans: whole places, and the part of the next one."""
     edges = np.arange(to + 1) * size / to
     whole = np.minimum(edges.astype(np.int64), size - 1)
-    part = (edges - whole).reshape(-1, *[1] * (image.ndim - 1))
-    sums = np.zeros((to + 1, *image.shape[1:]))
-    total = np.zeros(image.shape[1:])
-    for at in range(0, size, BAND):
-        band = np.cumsum(image[at : at + BAND], axis=0, dtype=np.float64)
-        here = (whole >= at) & (whole < at + len(band))
+    return whole, edges - whole
+
+
+def _sums_before(image: np.ndarray, to: int) -> np.ndarray:
+    """Sums of all rows before each of the edges of ``to`` equal spans; rows are read in bands."""
+    whole, part = _spans(len(image), to)
+    across = [1] * (image.ndim - 1)
+    sums, total = np.zeros((to + 1, *image.shape[1:])), np.zeros(image.shape[1:])
+    band = max(1, BAND // max(1, total.size))
+    for at in range(0, len(image), band):
+        rows = np.cumsum(image[at : at + band], axis=0, dtype=np.float64)
+        here = (whole >= at) & (whole < at + len(rows))
         k = whole[here] - at
-        before = np.where((k > 0).reshape(-1, *[1] * (image.ndim - 1)), band[k - 1], 0)
-        sums[here] = total + before
-        total = total + band[-1]
-    sums += part * image[whole]
-    return np.diff(sums, axis=0) * (to / size)
+        sums[here] = total + np.where((k > 0).reshape(-1, *across), rows[k - 1], 0)
+        total = total + rows[-1]
+    return sums + part.reshape(-1, *across) * image[whole]
+
+
+def _shrink(image: np.ndarray, to: int) -> np.ndarray:
+    """Means over ``to`` equal spans of the first axis."""
+    return np.diff(_sums_before(image, to), axis=0) * (to / len(image))
 
 
 def area_resize(image: np.ndarray, height: int, width: int) -> np.ndarray:
-    """Area means, larger or smaller."""
-    return np.swapaxes(_shrink(np.swapaxes(_shrink(image, height), 0, 1), width), 0, 1)
+    """Area means, larger or smaller, from the corners of each cell in the image's integral image.
+
+    Only the rows at cells' edges are held of the integral image, along the longer side.
+    """
+    if image.shape[1] > image.shape[0]:
+        return np.swapaxes(area_resize(np.swapaxes(image, 0, 1), width, height), 0, 1)
+    rows = np.cumsum(_sums_before(image, height), axis=1)
+    rows = np.concatenate([np.zeros_like(rows[:, :1]), rows], axis=1)
+    whole, part = _spans(image.shape[1], width)
+    left = rows[:, whole]
+    corners = left + part.reshape(-1, *[1] * (image.ndim - 2)) * (rows[:, whole + 1] - left)
+    return np.diff(np.diff(corners, axis=0), axis=1) * (height * width / (image.shape[0] * image.shape[1]))
 
 
 def npy_tile(image: np.ndarray, side: int) -> bytes:
@@ -162,10 +192,25 @@ def media_features(df: DataFrame, keep: list[str], media_col: str = "media", sid
     return rows.mapInArrow(run, schema)
 
 
-def text_media(docs: DataFrame, width: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col, n_bytes, media``: each whole text as the samples of a P6 image ``width`` pixels wide, filled up with spaces."""
-    line, text = 3 * width, blank(F.col(text_col))
-    n = F.octet_length(text)
-    rows = F.greatest(F.lit(1), F.ceil(n / line)).cast("int")
-    payload = F.concat(F.lit(f"P6\n{width} "), rows.cast("string"), F.lit("\n255\n"), text, F.repeat(F.lit(" "), rows * line - n))
-    return docs.select(F.col(id_col), n.cast("long").alias("n_bytes"), payload.cast("binary").alias("media"))
+ENCODERS = {"ppm": encode_ppm, "bmp": encode_bmp}
+
+
+def text_media(docs: DataFrame, width: int = 64, id_col: str = "doc_id", text_col: str = "text", kinds: tuple[str, ...] = ("ppm",)) -> DataFrame:
+    """``id_col, n_bytes, media``: each whole text as the samples of an image ``width`` pixels wide, filled up with spaces.
+
+    With several kinds (ppm, bmp) a hash of the text says which one stores it.
+    """
+    line = 3 * width
+    rows = docs.select(F.col(id_col), blank(F.col(text_col)).alias("text_"))
+    schema = rows.select(id_col, F.lit(0).cast("long").alias("n_bytes"), F.lit(b"").alias("media")).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                raw = [t.as_py().encode("utf-8", "surrogatepass") for t in part.column(1)]
+                filled = [r + b" " * (-len(r) % line if r else line) for r in raw]
+                media = [ENCODERS[kinds[zlib.crc32(f) % len(kinds)]](np.frombuffer(f, np.uint8).reshape(-1, width, 3)) for f in filled]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(r) for r in raw], pa.int64()), pa.array(media, pa.binary())], [id_col, "n_bytes", "media"])
+
+    return rows.mapInArrow(run, schema)

@@ -58,9 +58,9 @@ def op6_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stored = text_media(table(spark, sf_dir, "documents"), width=64)
-    columns = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-    return media_features(stored, ["doc_id", "n_bytes"], side=32).select(columns)
+    stored = text_media(table(spark, sf_dir, "documents"), width=64, kinds=("ppm", "bmp"))
+    columns = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "tile"]
+    return media_features(stored, ["doc_id", "n_bytes"], side=16).select(columns)
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
