@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that the one before kept. All
 but the last return the columns of documents; the last returns pieces of packed sequences.
+
+Defined results: a null or empty text, or one without a letter, goes in the first stage; very long texts are taken whole; rows
+with a null id stay rows of their own, and of two texts with one id each is kept or dropped by its text; of rows that are
+equal as a whole one stays; ties in a component go to the smaller id, then to hashes; an empty table stays empty;
+columns beyond those of documents are carried to the last stage, whatever their names (``row_``, ``text_`` and the like are the stages' own).
 """
 
 from __future__ import annotations
@@ -14,7 +19,7 @@ from quillgraph.llm.common import store, table
 from quillgraph.llm.language_id import keep_identified, train
 from quillgraph.llm.mixing import PRODUCTION, mix
 from quillgraph.llm.packing import pack
-from quillgraph.llm.shingle_dedup import shingle_sets, similar_components
+from quillgraph.llm.simhash_similar import shingle_sets, similar_components
 
 #: A calibrated probability below this says that the text is in no language that was learned; a guess among four has 0.25.
 LEAST_SCORE = 0.34
@@ -26,7 +31,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each component (texts with a Jaccard similarity of 0.8 or more, by five words) stays.
+    """One row of each component (SimHash BK-trees; texts with a Jaccard similarity of 0.8 or more, by five words) stays.
 
     It is the first by id (null ids last), then by the hash of its shingles, then by that of
     the whole row; so a component without ids keeps one row, and one id with unlike texts one row for each.

@@ -55,8 +55,12 @@ def shingle_hashes(text: str, width: int) -> np.ndarray:
 
 
 def fingerprint(text: str, width: int) -> int:
-    """Unsigned 64-bit SimHash; hashes are counted in blocks, so that memory stays small for any length."""
-    hashes = shingle_hashes(text, width)
+    """Unsigned 64-bit SimHash."""
+    return hashes_fingerprint(shingle_hashes(text, width))
+
+
+def hashes_fingerprint(hashes: np.ndarray) -> int:
+    """Hashes are counted in blocks, so that memory stays small for any number."""
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 65_536):
         part = hashes[at : at + 65_536].astype(">u8").view(np.uint8).reshape(-1, 8)

@@ -1,19 +1,22 @@
-"""Near-duplicates by exact Jaccard similarity of five-word shingles, at least 0.8; components of what links reach.
-
-Words and shingle hashes are those of ``simhash_dedup`` (XXH64, seed 42). Equal sets of
-shingles are one node. A radius in 64-bit SimHash that covers 0.8 is about 20 bits: shards
-that miss no such pair have three equal bits, that is nearly all pairs. So candidates are
-found by the sets themselves. In any fixed order of shingles, two sets with similarity s
-share one of their first n - ceil(s n) + 1; the order here is by how frequent the
-shingle's bucket is in the corpus, rare ones first. The buckets' number is fixed, and as
-they only order the shingles, no pair is missed by them.
-
-Rounds of stars link sets that share a leading shingle to one of them. Then every pair of
-candidates that is still in two components is compared. A link counts only after both
-whole sets were intersected.
+"""SimHash near-duplicates at a stated similarity: shingles of five words, Jaccard of 0.8 or more.
+
+Words, shingle hashes and fingerprints are those of ``simhash_dedup``. Equal sets of
+shingles are one node with one fingerprint. Shards that hold every pair of similarity 0.8 cannot be made of equal
+fingerprint bits: such pairs differ in about ten bits, up to twenty, which leaves three equal ones. So a shard is
+a shingle: in any fixed order of shingles, two sets with similarity s share one of their first
+n - ceil(s n) + 1. The order is by how frequent the shingle's bucket is in the corpus, rare ones first; the buckets'
+number is fixed, and as they only order the shingles, no pair is missed by them.
+
+Each shard has a BK-tree of its fingerprints; a node is linked to the nearest one within ``RADIUS``
+bits (a fifth of 64) that is not in its component yet. Shards of more than ``SHARD_ROWS`` nodes
+are dealt to trees by hash, differently in each round. A link counts only after both whole
+sets were intersected. Two rounds join nearly all of a group by a number of links in proportion to its size. What a
+radius can miss is found exactly at the end: pairs that share a leading shingle, are
+still in two components, and leave room for 0.8 after their places in the order are compared the same way.
 
 Defined results: null or empty text has the empty set, equal to itself only; texts of up to
-five words are one shingle; very long texts are taken whole; an empty table gives no rows.
+five words are one shingle; very long texts are taken whole; an empty table gives no rows; repeated rows are one
+node; only the named columns are read, and ``keep`` is carried along.
 """
 
 from __future__ import annotations
@@ -28,14 +31,18 @@ from pyspark.sql import functions as F
 
 from .common import VECTOR_SCHEMA, blank, store, vector_rows, vector_sum
 from .components import connected_components
-from .simhash_dedup import SEED, shingle_hashes
+from .simhash_dedup import SEED, BKTree, hashes_fingerprint, shingle_hashes
 
 WIDTH = 5
 #: Buckets of shingles, counted to order them.
 BUCKET_BITS = 18
 #: Bits of the filter that keeps sets without a candidate out of shuffles.
 FILTER_BITS = 25
-STARS = 2
+ROUNDS = 2
+#: Bits in which linked fingerprints may differ: four fifths are equal.
+RADIUS = 12
+#: Fingerprints of one tree.
+SHARD_ROWS = 4096
 #: Sets that a task remembers, to give each one's shingles once.
 REMEMBERED = 500_000
 
@@ -47,10 +54,10 @@ def _flat(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def shingle_sets(docs: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
-    """Columns ``keep``, ``sig`` (hash of the set), ``shingles`` (sorted) of every row; no shuffle."""
+    """Columns ``keep``, ``sig`` (hash of the set), ``fp`` (its SimHash), ``shingles`` (sorted) of every row; no shuffle."""
     rows = docs.select(*keep, blank(F.col(text_col)).alias("text_"))
     zero = F.lit(0).cast("long")
-    schema = rows.select(*keep, zero.alias("sig"), F.array(zero).alias("shingles")).schema
+    schema = rows.select(*keep, zero.alias("sig"), zero.alias("fp"), F.array(zero).alias("shingles")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -58,9 +65,10 @@ def shingle_sets(docs: DataFrame, keep: list[str], text_col: str = "text") -> Da
                 part = batch.slice(at, 512)
                 sets = [np.unique(shingle_hashes(t.as_py(), WIDTH)) for t in part.column(len(keep))]
                 sig = np.fromiter((xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets), np.uint64, len(sets))
+                fp = np.fromiter(map(hashes_fingerprint, sets), np.uint64, len(sets))
                 ends = np.cumsum([0, *map(len, sets)], dtype=np.int32)
                 lists = pa.ListArray.from_arrays(ends, np.concatenate(sets).view(np.int64))
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(sig.view(np.int64)), lists], [*keep, "sig", "shingles"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(sig.view(np.int64)), pa.array(fp.view(np.int64)), lists], [*keep, "sig", "fp", "shingles"])
 
     return rows.mapInArrow(run, schema)
 
@@ -77,14 +85,15 @@ def _bucket_counts(sets: DataFrame) -> np.ndarray:
 
 
 def leading(sets: DataFrame) -> DataFrame:
-    """``key, sig, n, at``: the shingles of which two similar sets share one, and their places in the common order."""
+    """``key, sig, fp, n, at, most``: the shingles of which two similar sets share one, their places in the common order, and how many sets lead with each."""
     shared = sets.sparkSession.sparkContext.broadcast(_bucket_counts(sets))  # of fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, seen = shared.value, set()
         for batch in batches:
             sigs = batch.column(0).to_numpy()
-            values, ends = _flat(batch.column(1))
+            fps = batch.column(1).to_numpy()
+            values, ends = _flat(batch.column(2))
             weights = counts[(values >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)]
             keys, rows = [np.zeros(0, np.uint64)], []
             for i, sig in enumerate(sigs.tolist()):
@@ -95,16 +104,16 @@ def leading(sets: DataFrame) -> DataFrame:
                     seen.add(sig)
                 first = b - a + 1 + (-4 * (b - a)) // 5  # n - ceil(0.8 n) + 1
                 keys.append(values[a:b][np.lexsort((values[a:b], weights[a:b]))[:first]])
-                rows.append((sig, b - a, first))
-            sig, n, times = np.array(rows, np.int64).reshape(-1, 3).T
+                rows.append((sig, fps[i], b - a, first))
+            sig, fp, n, times = np.array(rows, np.int64).reshape(-1, 4).T
             at = np.concatenate([np.arange(0), *map(np.arange, times)])
-            out = [np.concatenate(keys).view(np.int64), np.repeat(sig, times), np.repeat(n, times).astype(np.int32), at.astype(np.int32)]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], ["key", "sig", "n", "at"])
+            out = [np.concatenate(keys).view(np.int64), np.repeat(sig, times), np.repeat(fp, times), np.repeat(n, times).astype(np.int32), at.astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], ["key", "sig", "fp", "n", "at"])
 
-    every = sets.select("sig", "shingles").mapInArrow(run, "key long, sig long, n int, at int")
+    every = sets.select("sig", "fp", "shingles").mapInArrow(run, "key long, sig long, fp long, n int, at int")
     same = Window.partitionBy("key")
     once = every.repartition("key").dropDuplicates(["key", "sig"])
-    return once.withColumn("most", F.count(F.lit(1)).over(same)).where("most > 1").drop("most")
+    return once.withColumn("most", F.count(F.lit(1)).over(same)).where("most > 1")
 
 
 #: Places in the common order leave room for as many common shingles as 0.8 takes (at a pair's first common shingle, they do).
@@ -141,19 +150,60 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.where("9L * common >= 4L * (size(sa) + size(sb))").select("a", "b")
 
 
+def _tree_links(fps: list[int], n: np.ndarray, at: np.ndarray, c: np.ndarray) -> list[tuple[int, int]]:
+    """Places of linked nodes in one shard: each is searched in the BK-tree of those before it, and linked to the nearest that may be as similar."""
+    tree, links = BKTree(), []
+    for i, point in enumerate(fps):
+        found = np.array(tree.within(point, RADIUS), np.int64)
+        if len(found):
+            room = 9 * np.minimum(n[i] - at[i], n[found] - at[found]) >= 4 * (n[i] + n[found])
+            found = found[room & (c[found] != c[i])].tolist()
+            if found:
+                links.append((i, min(found, key=lambda j: ((tree.points[j] ^ point).bit_count(), j))))
+        tree.add(point)
+    return links
+
+
+def tree_links(named: DataFrame, round_: int) -> DataFrame:
+    """``a, b``: proposed links of all shards. named: key, sig, fp, n, at, most, c."""
+    shard = F.pmod(F.xxhash64("sig", F.lit(round_)), F.ceil(F.col("most") / SHARD_ROWS)).alias("shard")
+    rows = named.select("key", shard, "sig", "fp", "n", "at", "c")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+
+        def links(parts: list[np.ndarray]) -> pa.RecordBatch:
+            sig, fp, n, at, c = np.concatenate(parts, axis=1)[2:]
+            got = np.array(_tree_links(fp.view(np.uint64).tolist(), n, at, c), np.int64).reshape(-1, 2)
+            return pa.RecordBatch.from_arrays([pa.array(sig[got[:, 0]]), pa.array(sig[got[:, 1]])], ["a", "b"])
+
+        for batch in batches:
+            x = np.stack([col.to_numpy().astype(np.int64) for col in batch.columns])
+            if not x.shape[1]:
+                continue
+            cuts = np.flatnonzero((x[0, 1:] != x[0, :-1]) | (x[1, 1:] != x[1, :-1])) + 1
+            for part in np.split(x, cuts, axis=1):
+                if held and (held[-1][:2, 0] != part[:2, 0]).any():
+                    yield links(held)
+                    held = []
+                held.append(part)
+        if held:
+            yield links(held)
+
+    return rows.repartition("key", "shard").sortWithinPartitions("key", "shard", "sig").mapInArrow(run, "a long, b long")
+
+
 def similar_components(sets: DataFrame) -> DataFrame:
-    """``sig, component`` of the sets of ``sets(sig, shingles)`` that are linked to another one."""
+    """``sig, component`` of the sets of ``sets(sig, fp, shingles)`` that are linked to another one."""
     keys = store(leading(sets), "near-keys")
     links = sets.sparkSession.createDataFrame([], "a long, b long")
-    for round_ in range(STARS + 1):
+    for round_ in range(ROUNDS + 1):
         known = store(connected_components(links), "near-components").toDF("sig", "c")
         named = store(keys.join(known, "sig", "left").withColumn("c", F.coalesce("c", "sig")), "near-named")
-        if round_ < STARS:
-            centre = F.min_by(F.struct("sig", "n", "at", "c"), F.xxhash64("sig", "key", F.lit(round_))).alias("y")
-            other, once = named.groupBy("key").agg(centre).select("key", "y.*"), ""
+        if round_ < ROUNDS:
+            pairs = tree_links(named, round_)
         else:
-            other, once = named, "AND x.sig < y.sig"
-        pairs = named.alias("x").join(other.alias("y"), F.expr(f"x.key = y.key AND x.c <> y.c AND {ROOM} {once}"))
-        more = _verified(pairs.select(F.col("x.sig").alias("a"), F.col("y.sig").alias("b")), sets)
-        links = store(links.unionByName(more), "near-links")
+            both = named.alias("x").join(named.alias("y"), F.expr(f"x.key = y.key AND x.sig < y.sig AND x.c <> y.c AND {ROOM}"))
+            pairs = both.select(F.col("x.sig").alias("a"), F.col("y.sig").alias("b"))
+        links = store(links.unionByName(_verified(pairs, sets)), "near-links")
     return connected_components(links).toDF("sig", "component")

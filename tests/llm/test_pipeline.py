@@ -1,12 +1,13 @@
 import random
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline as pipeline
 from quillgraph.llm.common import store
 from quillgraph.llm.language_id import language_id
 from quillgraph.llm.mixing import mixing_rates
 from tests.llm.test_language_id import rows as speech
 from tests.llm.test_packing import check
-from tests.llm.test_simhash_dedup import components, plain
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 LABELS = "doc_id long, quality int, toxic int"
@@ -33,7 +34,7 @@ def test_stages_against_brute_force(spark, tmp_path):
 
     second = store(pipeline.near_dedup_stage(spark, first, sf_dir), "b")
     rows = sorted(first.collect())
-    groups = components([plain(r.text) for r in rows])
+    groups = jaccard_groups([r.text for r in rows])
     assert second.columns == docs.columns and sorted(r.doc_id for r in second.collect()) == sorted({rows[g].doc_id for g in groups})
 
     third = store(pipeline.mixing_stage(spark, second, sf_dir), "c")
@@ -104,3 +105,20 @@ def test_components_without_ids_and_ids_with_unlike_texts(spark):
     got = pipeline.near_dedup_stage(spark, spark.createDataFrame(rows, SCHEMA), "").collect()
     assert sorted((r.doc_id or 0, r.text or "") for r in got) == [(0, ""), (0, a), (5, c), (5, b)]
     assert all(tuple(r) in rows for r in got)
+
+
+def test_trees_find_most_links_and_shards_are_split(spark, monkeypatch):
+    from quillgraph.llm import simhash_similar as similar
+
+    texts = edited_copies()
+    sets = store(similar.shingle_sets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), ["doc_id"]), "t")
+    keys = similar.leading(sets).withColumn("c", F.col("sig"))
+    got = {frozenset(r) for r in similar._verified(similar.tree_links(keys, 0), sets).collect()}
+    final = {frozenset((r.sig, r.component)) for r in similar.similar_components(sets).collect() if r.sig != r.component}
+    assert len(got) >= 0.8 * len(final)
+    want = jaccard_groups(texts)
+    for rows in (1, 4096):
+        monkeypatch.setattr(similar, "SHARD_ROWS", rows)
+        named = similar.similar_components(sets)
+        of = sets.join(named, "sig", "left").select("doc_id", F.coalesce("component", "sig").alias("c")).groupBy("c").agg(F.collect_list("doc_id").alias("ids"))
+        assert sorted(sorted(r.ids) for r in of.collect()) == sorted(sorted(i for i, w in enumerate(want) if w == g) for g in set(want))
