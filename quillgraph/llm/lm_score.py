@@ -61,6 +61,7 @@ class Settings:
 
     @property
     def size(self) -> int:
+        """Entries of the network; below 2^16, as places are sorted by them in two bytes."""
         return self.classes * self.per_class
 
     @property
@@ -151,13 +152,18 @@ def windows(ids: np.ndarray, places: np.ndarray, s: Settings) -> np.ndarray:
     return np.stack([padded[places + s.reach + d] for d in s.offsets], axis=1)
 
 
-def _exponentials(x: np.ndarray) -> np.ndarray:
-    """exp(x), in place; x is moved by its last axis' maxima only where it is too large for that."""
-    if x.size and x.max() > 60:
+def _exponentials(x: np.ndarray, weights: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    """exp of the logits x of hidden values from -1 to 1, in place; moved by their last axis' maxima only where the weights could make them too large."""
+    if x.size and (np.abs(weights).sum(axis=-2) + np.abs(bias)).max() > 60:
         x -= x.max(axis=-1, keepdims=True)
     return np.exp(x, out=x)
 
 
+def _order(ids: np.ndarray) -> np.ndarray:
+    """A stable order; short numbers are sorted by their digits, which takes one pass for each byte."""
+    return np.argsort(ids.astype(np.uint16), kind="stable")
+
+
 def _hidden(w: Weights, around: np.ndarray) -> np.ndarray:
     total = w["window"][0][around[:, 0]]
     for i in range(1, around.shape[1]):
@@ -169,7 +175,7 @@ def _dealt(classes: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray]:
     """Rows by class in chunks of CHUNK: each chunk's class, and each slot's row (the number of rows where a chunk is not full)."""
     sizes = np.bincount(classes, minlength=s.classes)
     chunks = -(-sizes // CHUNK)
-    order = np.argsort(classes, kind="stable")
+    order = _order(classes)
     within = np.arange(len(classes)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     slots = np.full(int(chunks.sum()) * CHUNK, len(classes))
     slots[((np.cumsum(chunks) - chunks) * CHUNK)[classes[order]] + within] = order
@@ -184,17 +190,15 @@ def log_probabilities(w: Weights, around: np.ndarray, targets: np.ndarray, s: Se
     h = _hidden(w, around)
     classes, inner = targets // s.per_class, targets % s.per_class
 
-    def of(x: np.ndarray, chosen: np.ndarray) -> np.ndarray:
-        e = _exponentials(x)
-        return np.log(e[np.arange(len(e)), chosen] / e.sum(axis=1))
-
-    out = of(h @ w["out_class"] + w["bias_class"], classes).astype(np.float64)
+    e = _exponentials(h @ w["out_class"] + w["bias_class"], w["out_class"], w["bias_class"])
+    out = np.log(e[np.arange(n), classes] / e.sum(axis=1)).astype(np.float64)
     chunk_class, slots = _dealt(classes, s)
     x = np.append(h, h[:1], axis=0)[slots].reshape(len(chunk_class), CHUNK, -1) @ w["out_word"][chunk_class]
     x += w["bias_word"][chunk_class][:, None]
-    real = slots < n
+    e = _exponentials(x, w["out_word"], w["bias_word"]).reshape(len(slots), -1)
+    real = np.flatnonzero(slots < n)
     rows = slots[real]
-    out[rows] += of(x.reshape(len(slots), -1)[real], inner[rows])
+    out[rows] += np.log(e[real, inner[rows]] / e.sum(axis=1)[real])
     return out
 
 
@@ -219,10 +223,9 @@ class Learner:
             return
         h = _hidden(w, around)
         classes, inner = targets // s.per_class, targets % s.per_class
-        g = _exponentials(h @ w["out_class"] + w["bias_class"])
+        g = _exponentials(h @ w["out_class"] + w["bias_class"], w["out_class"], w["bias_class"])
         g /= g.sum(axis=1, keepdims=True)
         g[np.arange(n), classes] -= 1
-        gh = np.append(g @ w["out_class"].T, np.zeros((1, s.width), np.float32), axis=0)
 
         chunk_class, slots = _dealt(classes, s)
         real = slots < n
@@ -230,11 +233,14 @@ class Learner:
         out = w["out_word"][chunk_class]
         x = hc @ out
         x += w["bias_word"][chunk_class][:, None]
-        x = _exponentials(x).reshape(len(slots), -1)
-        x *= (real / x.sum(axis=1)).astype(np.float32)[:, None]
-        x[np.flatnonzero(real), inner[slots[real]]] -= 1
+        x = _exponentials(x, w["out_word"], w["bias_word"]).reshape(len(slots), -1)
+        x *= (real / x.sum(axis=1)).astype(x.dtype)[:, None]
+        place = np.empty(n, np.int64)
+        place[slots[real]] = np.flatnonzero(real)
+        x[place, inner] -= 1
         x = x.reshape(hc.shape[0], CHUNK, -1)
-        gh[slots] += (x @ out.transpose(0, 2, 1)).reshape(len(slots), -1)  # the last row is no place's
+        gh = g @ w["out_class"].T
+        gh += (x @ out.transpose(0, 2, 1)).reshape(len(slots), -1)[place]
 
         first = np.flatnonzero(np.r_[True, chunk_class[1:] != chunk_class[:-1]])
         seen = chunk_class[first]
@@ -242,9 +248,9 @@ class Learner:
         self._step("bias_word", seen, np.add.reduceat(x.sum(axis=1), first, axis=0))
         self._step("out_class", slice(None), h.T @ g)
         self._step("bias_class", slice(None), g.sum(axis=0))
-        gh = gh[:n] * (1 - h * h)
+        gh *= 1 - h * h
         for i in range(around.shape[1]):
-            order = np.argsort(around[:, i], kind="stable")
+            order = _order(around[:, i])
             ids = around[order, i]
             start = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
             self._step(("window", i), ids[start], np.add.reduceat(gh[order], start, axis=0))
