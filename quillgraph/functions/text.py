@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-import re
+import unicodedata
 
-from pyspark.sql import Column
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from . import vocabulary as v
 
@@ -90,28 +92,40 @@ def greedy_pack(units: Column, language: Column, most: int = 300, overlap: int =
     """Chunks of consecutive units with ``most`` tokens at most; each starts with the tail of the one before that fits in ``overlap``.
 
     A unit over ``most`` is packed by itself with ``split`` (unit -> its chunks), and the tail before it stays for what follows.
+    A unit's tokens are counted once, and go with it.
     """
-    size = lambda u: estimate_tokens(u, language)
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.array().cast("array<string>").alias("held"), F.lit(0).alias("n"))
+    held_type = "array<struct<u: string, n: int>>"
+    counted = F.transform(units, lambda u: F.struct(u.alias("u"), estimate_tokens(u, language).alias("n")))
+    start = F.struct(F.array().cast("array<string>").alias("done"), F.array().cast(held_type).alias("held"), F.lit(0).alias("n"))
+    total = lambda held: F.aggregate(held, F.lit(0), lambda s, x: s + x["n"])
 
-    def total(held: Column) -> Column:
-        return F.aggregate(held, F.lit(0), lambda s, u: s + size(u))
+    def tail(held: Column) -> Column:
+        """The longest suffix within the overlap."""
+        empty = F.struct(F.array().cast(held_type).alias("kept"), F.lit(0).alias("n"), F.lit(False).alias("full"))
+
+        def back(acc: Column, x: Column) -> Column:
+            full = acc["full"] | (acc["n"] + x["n"] > overlap)
+            return F.when(full, F.struct(acc["kept"].alias("kept"), acc["n"].alias("n"), F.lit(True).alias("full"))).otherwise(
+                F.struct(F.concat(F.array(x), acc["kept"]).alias("kept"), (acc["n"] + x["n"]).alias("n"), F.lit(False).alias("full"))
+            )
+
+        return F.aggregate(F.reverse(held), empty, back, lambda acc: acc["kept"])
 
     def flush(acc: Column) -> Column:
-        return F.when(F.size(acc["held"]) > 0, F.concat(acc["done"], F.array(F.array_join(acc["held"], joiner)))).otherwise(acc["done"])
-
-    def step(acc: Column, u: Column) -> Column:
-        tail = overlap_tail(acc["held"], F.transform(acc["held"], size), overlap)
-        fits = acc["n"] + size(u) <= most
-        added = F.struct(acc["done"].alias("done"), F.concat(acc["held"], F.array(u)).alias("held"), (acc["n"] + size(u)).alias("n"))
-        moved = F.struct(flush(acc).alias("done"), F.concat(tail, F.array(u)).alias("held"), (total(tail) + size(u)).alias("n"))
-        out = F.when(fits, added).otherwise(moved)
+        text = F.array_join(F.transform(acc["held"], lambda x: x["u"]), joiner)
+        return F.when(F.size(acc["held"]) > 0, F.concat(acc["done"], F.array(text))).otherwise(acc["done"])
+
+    def step(acc: Column, x: Column) -> Column:
+        added = F.struct(acc["done"].alias("done"), F.concat(acc["held"], F.array(x)).alias("held"), (acc["n"] + x["n"]).alias("n"))
+        left = tail(acc["held"])
+        moved = F.struct(flush(acc).alias("done"), F.concat(left, F.array(x)).alias("held"), (total(left) + x["n"]).alias("n"))
+        out = F.when(acc["n"] + x["n"] <= most, added).otherwise(moved)
         if split is not None:
-            apart = F.struct(F.concat(flush(acc), split(u)).alias("done"), tail.alias("held"), total(tail).alias("n"))
-            out = F.when(size(u) > most, apart).otherwise(out)
+            apart = F.struct(F.concat(flush(acc), split(x["u"])).alias("done"), left.alias("held"), total(left).alias("n"))
+            out = F.when(x["n"] > most, apart).otherwise(out)
         return out
 
-    return F.aggregate(units, start, step, flush)
+    return F.aggregate(counted, start, step, flush)
 
 
 def sentence_pack(text: Column, language: Column, most: int = 300, overlap: int = 50) -> Column:
@@ -213,9 +227,17 @@ def concept_type(tree_numbers: Column) -> Column:
 # titles, sources, answers
 
 
+@F.pandas_udf(StringType())
+def composed(text: pd.Series) -> pd.Series:
+    """Unicode NFC; null stays null."""
+    return text.map(lambda t: t if t is None else unicodedata.normalize("NFC", t))
+
+
 def query_cache_key(query: Column, language: Column) -> Column:
-    """Same for queries that differ in case and outer spaces; for ASCII, composed and decomposed forms are one, other scripts need composed input."""
-    return F.concat(F.lit("ner:"), language, F.lit(":"), F.substring(F.sha2(F.lower(F.trim(query)), 256), 1, 16))
+    """Same for queries that differ in case, outer spaces and how their letters are composed. Only texts beyond ASCII leave the JVM for that."""
+    low = F.lower(F.trim(query))
+    other = F.when(F.rlike(low, F.lit(r"[^\x00-\x7f]")), low)
+    return F.concat(F.lit("ner:"), language, F.lit(":"), F.substring(F.sha2(F.coalesce(composed(other), low), 256), 1, 16))
 
 
 def clean_title(title: Column) -> Column:
@@ -242,15 +264,26 @@ def recency_label(days: Column) -> Column:
     )
 
 
+def moderation_categories(verdict: Column) -> Column:
+    """The categories that a moderator's second line names."""
+    second = F.get(F.split(F.trim(verdict), "\n"), F.lit(1))
+    return F.transform(F.split(F.upper(F.trim(F.coalesce(second, F.lit("unknown")))), ","), lambda x: F.trim(x))
+
+
 def moderation_allowed(verdict: Column) -> Column:
     """Whether a moderator's answer lets a text pass: not said to be unsafe, or unsafe for specialised advice (S6) alone."""
-    lines = F.split(F.lower(F.trim(verdict)), "\n")
-    first = F.trim(F.get(lines, F.lit(0)))
-    found = F.transform(F.split(F.upper(F.trim(F.coalesce(F.get(lines, F.lit(1)), F.lit("unknown")))), ","), lambda x: F.trim(x))
+    first = F.trim(F.get(F.split(F.lower(F.trim(verdict)), "\n"), F.lit(0)))
+    found = moderation_categories(verdict)
     hard = F.array(*[F.lit(f"S{i}") for i in range(1, 15) if i != 6])
     return F.startswith(first, F.lit("safe")) | ~F.contains(first, F.lit("unsafe")) | (F.array_contains(found, "S6") & ~F.arrays_overlap(found, hard))
 
 
+def moderation_verdict(verdict: Column) -> Column:
+    """struct<safe, categories, allowed>; a safe text has no categories."""
+    safe = ~F.contains(F.lower(F.get(F.split(F.trim(verdict), "\n"), F.lit(0))), F.lit("unsafe"))
+    return F.struct(safe.alias("safe"), F.when(safe, F.array().cast("array<string>")).otherwise(moderation_categories(verdict)).alias("categories"), moderation_allowed(verdict).alias("allowed"))
+
+
 def coerce_citations(raw: Column) -> Column:
     """["[1]", "2", "x"] to [1, 2]."""
     return F.filter(F.transform(raw, lambda x: F.regexp_replace(x, r"^[\[\]\s]+|[\[\]\s]+$", "").try_cast("int")), lambda x: x.isNotNull())
@@ -275,8 +308,13 @@ def dose_sentences(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(r"(?iU)[^.!?。\n]*\d+(?:[.,]\d+)?\s*(?:" + v.UNIT_ALTERNATIVES + r")(?![a-zA-Z])[^.!?。\n]*"), F.lit(0))
 
 
-def literal(text: str) -> str:
-    return re.escape(text)
+def dose_table(docs: DataFrame, text: str, language: str, n: int | None = None, seed: str = "d") -> DataFrame:
+    """``language, sentence, normalized, changed``: distinct sentences with a dose, ``n`` of them by hash (all without), and what normalising makes of each."""
+    rows = docs.select(F.col(language).alias("language"), F.explode(dose_sentences(F.col(text))).alias("sentence"))
+    rows = rows.select("language", F.trim("sentence").alias("sentence")).distinct()
+    if n is not None:
+        rows = rows.orderBy(F.md5(F.concat_ws(":", F.lit(seed), "language", "sentence")), "sentence").limit(n)
+    return rows.withColumn("normalized", normalize(F.col("sentence"), F.col("language"))).withColumn("changed", F.col("normalized") != F.col("sentence"))
 
 
 def qa_source(sections: Column, full_text: Column, skip: list[str], least: int = 100) -> Column:

@@ -72,33 +72,43 @@ def graph_stats(edges: DataFrame) -> DataFrame:
     ).select("x.kind", "x.n")
 
 
-def bipartite(edges: DataFrame) -> DataFrame:
-    """``src, dst, share``: both directions of the mention edges, each with its part of the source's rank. Entities and chunks have ids of their own."""
-    nodes = edges.select(F.concat(F.lit("e"), "entity").alias("e"), F.concat(F.lit("c"), "chunk").alias("c"))
-    both = nodes.select(F.col("e").alias("src"), F.col("c").alias("dst")).unionByName(nodes.select(F.col("c").alias("src"), F.col("e").alias("dst")))
-    degree = both.groupBy("src").agg((1.0 / F.count(F.lit(1))).alias("share"))
-    return both.join(degree, "src")
+def graph_counts(nodes: dict[str, DataFrame], edges: dict[str, DataFrame]) -> DataFrame:
+    """``what`` (node or edge), ``kind, n``: rows of each node label and each edge type, 0 for empty ones, in one plan."""
+    out = None
+    for what, tables in (("node", nodes), ("edge", edges)):
+        for kind, df in tables.items():
+            row = df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(what).alias("what"), F.lit(kind).alias("kind"), "n")
+            out = row if out is None else out.unionByName(row)
+    return out
 
 
-def personalised_pagerank(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int = 20, every: int = 4) -> DataFrame:
-    """``query_id, node, score`` for a table of seeds (query_id, entity); unknown and repeated seeds do not count.
+def bipartite(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(entity, chunk, share) from the entity's side and from the chunk's: each edge with its part of the rank that leaves that end."""
+    of = lambda end: edges.groupBy(end).agg((1.0 / F.count(F.lit(1))).alias("share"))
+    return edges.join(of("entity"), "entity"), edges.join(of("chunk"), "chunk")
 
-    A truncated power series: (1 - d) * sum over l <= rounds of d^l * walk_l. Each round is a join and a
-    sum; after ``every`` rounds the walk is stored, so that the plan stays short.
+
+def personalised_pagerank(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int = 20) -> DataFrame:
+    """``query_id, node, score`` for a table of seeds (query_id, entity); unknown and repeated seeds do not count. Nodes are "e" or "c" and the id.
+
+    A truncated power series: (1 - d) * sum over l <= rounds of d^l * walk_l. Walks go from entities to
+    chunks and back, so each round joins one side's links on the ids as they are. Every round's walk is
+    stored once and read by the next one and by the sum; nothing is computed twice.
     """
-    links = store(bipartite(edges), "ppr-links")
-    known = links.select("src").distinct()
-    walk = seeds.select("query_id", F.concat(F.lit("e"), "entity").alias("node")).distinct().join(known.withColumnRenamed("src", "node"), "node", "left_semi")
-    walk = walk.withColumn("score", F.lit(1.0 - damping))
-    kept = [walk := store(walk, "ppr-walk")]
-    for i in range(1, rounds + 1):
-        walk = walk.join(links, walk["node"] == links["src"]).groupBy("query_id", F.col("dst").alias("node")).agg((damping * F.sum(F.col("score") * F.col("share"))).alias("score"))
-        if i % every == 0 or i == rounds:
-            walk = store(walk, "ppr-walk")
-        kept.append(walk)
-    total = kept[0]
-    for step in kept[1:]:
-        total = total.unionByName(step)
+    out, back = (store(x, "ppr-links") for x in bipartite(edges))
+    walk = seeds.select("query_id", "entity").distinct().join(out.select("entity").distinct(), "entity", "left_semi")
+    walk = store(walk.select("query_id", "entity", F.lit(1.0 - damping).alias("score")), "ppr-walk")
+    walks = {"entity": [walk], "chunk": []}
+    for i in range(rounds):
+        here, there, links = ("entity", "chunk", out) if i % 2 == 0 else ("chunk", "entity", back)
+        moved = walk.join(links, here).groupBy("query_id", there).agg((damping * F.sum(F.col("score") * F.col("share"))).alias("score"))
+        walk = store(moved, "ppr-walk")
+        walks[there].append(walk)
+    total = None
+    for side, steps in walks.items():
+        for step in steps:
+            named = step.select("query_id", F.concat(F.lit(side[0]), F.col(side).cast("string")).alias("node"), "score")
+            total = named if total is None else total.unionByName(named)
     return total.groupBy("query_id", "node").agg(F.sum("score").alias("score"))
 
 
@@ -144,10 +154,35 @@ def stable_id(members: Column) -> Column:
     return F.concat(F.lit("comm_"), F.substring(F.sha1(F.array_join(F.array_sort(members), "|").cast("binary")), 1, 12))
 
 
+#: Members whose names are joined to one string at once.
+HASH_ROWS = 100_000
+
+
 def communities(labels: DataFrame, min_size: int = 3) -> DataFrame:
-    """``community_id, members, size`` from (node, component)."""
-    grouped = labels.groupBy("component").agg(F.array_sort(F.collect_set(F.col("node").cast("string"))).alias("members"))
-    return grouped.where(F.size("members") >= min_size).select(stable_id(F.col("members")).alias("community_id"), "members", F.size("members").cast("long").alias("size"))
+    """``community_id, members, size`` from (node, component).
+
+    Components of up to ``HASH_ROWS`` members are one row, as a list is what the table holds; larger
+    ones keep their id and size, and have null members (see ``membership``), as no row should grow with the graph.
+    """
+    ids = community_ids(labels, min_size)
+    small = labels.join(ids.where(F.col("size") <= HASH_ROWS), "component").groupBy("community_id", "size").agg(F.array_sort(F.collect_set(F.col("node").cast("string"))).alias("members"))
+    large = ids.where(F.col("size") > HASH_ROWS).select("community_id", "size", F.lit(None).cast("array<string>").alias("members"))
+    return small.unionByName(large).select("community_id", "members", "size")
+
+
+def community_ids(labels: DataFrame, min_size: int = 3) -> DataFrame:
+    """``component, community_id, size``: an id from the members alone. Small components hash their joined names; larger ones hash the sorted list of their parts' hashes."""
+    names = labels.select("component", F.col("node").cast("string").alias("node")).distinct()
+    sized = store(names.groupBy("component").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") >= min_size), "community-sizes")
+    parts = names.join(sized, "component").withColumn("part", F.when(F.col("size") > HASH_ROWS, F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / HASH_ROWS))).otherwise(F.lit(0)))
+    joined = parts.groupBy("component", "size", "part").agg(F.array_join(F.array_sort(F.collect_list("node")), "|").alias("names"))
+    hashed = joined.groupBy("component", "size").agg(F.array_sort(F.collect_list(F.struct("part", F.when(F.col("size") > HASH_ROWS, F.sha1(F.col("names").cast("binary"))).otherwise(F.col("names")).alias("h")))).alias("hs"))
+    return hashed.select("component", F.concat(F.lit("comm_"), F.substring(F.sha1(F.array_join(F.transform("hs", lambda x: x["h"]), "|").cast("binary")), 1, 12)).alias("community_id"), "size")
+
+
+def membership(labels: DataFrame, min_size: int = 3) -> DataFrame:
+    """``community_id, node``: a row for each member."""
+    return labels.join(community_ids(labels, min_size).select("component", "community_id"), "component").select("community_id", "node").distinct()
 
 
 def modularity(links: DataFrame, labels: DataFrame, resolution: float = 1.0) -> DataFrame:
@@ -163,33 +198,81 @@ def modularity(links: DataFrame, labels: DataFrame, resolution: float = 1.0) ->
     return sums.join(F.broadcast(whole)).select((F.col("inside") / F.col("m") - resolution * F.col("squares") / (4 * F.col("m") * F.col("m"))).alias("modularity"))
 
 
-def label_moves(links: DataFrame, rounds: int = 6, resolution: float = 1.0) -> DataFrame:
-    """``node, label`` by greedy modularity: in each round every other half of the nodes (by hash) joins the neighbouring
-    community with the greatest gain, if positive; equal gains go to the smaller label. Deterministic."""
-    both = store(links.select("a", "b", F.col("weight").cast("double").alias("weight")).unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"), F.col("weight").cast("double"))), "moves-links")
-    degree = store(both.groupBy(F.col("a").alias("node")).agg(F.sum("weight").alias("degree")), "moves-degree")
-    m2 = both.agg(F.sum("weight")).first()[0] or 1.0
+def label_moves(links: DataFrame, max_rounds: int = 60, resolution: float = 1.0) -> DataFrame:
+    """``node, label`` by greedy modularity on one level: in each round a half of the nodes (by hash) joins the neighbouring
+    community with the greatest gain, if positive; equal gains go to the smaller label. Ends when two rounds in a row, one for
+    each half, move no node, or after ``max_rounds``. Links (a, b) with a = b are loops of merged nodes. Deterministic."""
+    one = links.select("a", "b", F.col("weight").cast("double").alias("weight"))
+    both = store(one.where("a <> b").unionByName(one.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"), "weight")), "moves-links")
+    ends = both.select("a", "weight").unionByName(one.where("a = b").select("a", (2 * F.col("weight")).alias("weight")))
+    degree = store(ends.groupBy(F.col("a").alias("node")).agg(F.sum("weight").alias("degree")), "moves-degree")
+    m2 = degree.agg(F.sum("degree")).first()[0] or 1.0
     label = degree.select("node", F.col("node").alias("label"))
-    for i in range(rounds):
+    still = 0
+    for i in range(max_rounds):
         size = label.join(degree, "node").groupBy("label").agg(F.sum("degree").alias("total"))
         to = both.join(label.select(F.col("node").alias("b"), F.col("label").alias("to")), "b").groupBy(F.col("a").alias("node"), "to").agg(F.sum("weight").alias("w"))
         stay = label.join(degree, "node")
         offers = to.join(stay, "node").join(size.select(F.col("label").alias("to"), "total"), "to")
         others = F.col("total") - F.when(F.col("to") == F.col("label"), F.col("degree")).otherwise(0.0)
         offers = offers.withColumn("gain", F.col("w") - resolution * F.col("degree") * others / m2)
-        ranked = offers.groupBy("node").agg(F.max_by("to", F.struct("gain", -F.col("to"))).alias("to"), F.max("gain").alias("gain"), F.max(F.when(F.col("to") == F.col("label"), F.col("gain"))).alias("now"))
-        move = (F.pmod(F.xxhash64("node", F.lit(i)), F.lit(2)) == 0) & (F.col("gain") > F.coalesce("now", F.lit(0.0)) + 1e-12)
-        label = store(label.join(ranked, "node", "left").select("node", F.when(move, F.col("to")).otherwise(F.col("label")).alias("label")), "moves")
+        own = F.max(F.when(F.col("to") == F.col("label"), F.col("gain"))).alias("now")
+        ranked = offers.groupBy("node").agg(F.max_by("to", F.struct("gain", -F.col("to"))).alias("to"), F.max("gain").alias("gain"), own)
+        # a node without a link into its own community gains by staying what it loses to the community's other links
+        alone = -resolution * F.col("degree") * (F.col("size") - F.col("degree")) / m2
+        rest = stay.join(size.select("label", F.col("total").alias("size")), "label").join(ranked, "node", "left")
+        half = F.pmod(F.xxhash64("node") + F.lit(i), F.lit(2)) == 0
+        move = half & (F.col("gain") > F.coalesce("now", alone) + 1e-12)
+        new = rest.select("node", F.when(move, F.col("to")).otherwise(F.col("label")).alias("label"), F.coalesce(move, F.lit(False)).alias("moved"))
+        new = store(new, "moves")
+        still = still + 1 if new.where("moved").isEmpty() else 0
+        label = new.select("node", "label")
+        if still == 2:
+            break
     return label
 
 
-def community_lines(links: DataFrame, membership: DataFrame, limit: int = 30) -> DataFrame:
-    """``community_id, lines``: the strongest links inside each community, as text. membership: community_id, node."""
+def modularity_communities(links: DataFrame, resolution: float = 1.0, least_gain: float = 1e-6, max_levels: int = 20) -> DataFrame:
+    """``node, label``: greedy modularity in levels. When no node moves, communities become nodes (their inner links loops) and
+    move in turn, until a level adds less than ``least_gain``. A node's label is the smallest node of its community."""
+    now = links
+    found = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).distinct().withColumn("label", F.col("node"))
+    best_yet = modularity(links, found, resolution).first()[0] if not links.isEmpty() else None
+    for _ in range(max_levels if best_yet is not None else 0):
+        moved = label_moves(now, resolution=resolution)
+        of = lambda end, moved=moved: moved.select(F.col("node").alias(end), F.col("label").alias(f"{end}_l"))
+        new = store(found.withColumnRenamed("label", "old").join(moved.select(F.col("node").alias("old"), "label"), "old", "left").select("node", F.coalesce("label", "old").alias("label")), "levels")
+        score = modularity(links, new, resolution).first()[0]
+        if score <= best_yet + least_gain:
+            break
+        found, best_yet = new, score
+        merged = now.join(of("a"), "a").join(of("b"), "b").groupBy(F.least("a_l", "b_l").alias("a"), F.greatest("a_l", "b_l").alias("b")).agg(F.sum("weight").alias("weight"))
+        now = store(merged, "levels-links")
+    lowest = found.groupBy("label").agg(F.min("node").alias("low"))
+    return found.join(lowest, "label").select("node", F.col("low").alias("label"))
+
+
+def inner_links(links: DataFrame, membership: DataFrame) -> DataFrame:
+    """``community_id, a, b, weight``: links with both ends in one community. membership: community_id, node."""
     of = lambda end: membership.select(F.col("node").alias(end), F.col("community_id").alias(f"{end}_c"))
     inside = links.join(of("a"), "a").join(of("b"), "b").where("a_c = b_c")
-    top = best(inside.withColumnRenamed("a_c", "community_id"), ["community_id"], [F.desc("weight"), "a", "b"], limit)
-    line = F.concat_ws(" ", F.col("a").cast("string"), F.lit("<->"), F.col("b").cast("string"), F.concat(F.lit("("), "weight", F.lit(")")))
-    return top.groupBy("community_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", line.alias("line")))), lambda x: x["line"]), "\n").alias("lines"))
+    return inside.select(F.col("a_c").alias("community_id"), "a", "b", "weight")
+
+
+def _lines(ranked: DataFrame, line: Column) -> DataFrame:
+    return ranked.groupBy("community_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", line.alias("line")))), lambda x: x["line"]), "\n").alias("lines"))
+
+
+def community_lines(links: DataFrame, membership: DataFrame, limit: int = 30) -> DataFrame:
+    """``community_id, lines``: the strongest links inside each community, as text."""
+    top = best(inner_links(links, membership), ["community_id"], [F.desc("weight"), "a", "b"], limit)
+    return _lines(top, F.concat_ws(" ", F.col("a").cast("string"), F.lit("<->"), F.col("b").cast("string"), F.concat(F.lit("("), "weight", F.lit(")"))))
+
+
+def concept_lines(entities: DataFrame, membership: DataFrame, limit: int = 30) -> DataFrame:
+    """``community_id, lines``: labels and types of each community's first members by id. entities: node, label, entity_type."""
+    top = best(membership.join(entities, "node"), ["community_id"], ["node"], limit)
+    return _lines(top, F.concat(F.lit("- "), "label", F.lit(" ("), "entity_type", F.lit(")")))
 
 
 def auto_summary(labels: Column, n: Column) -> Column:

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import difflib
+import re
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from ..functions import text as t
 from ..functions import vocabulary as v
@@ -51,15 +53,26 @@ def dedup_mentions(spans: DataFrame) -> DataFrame:
     return top.drop("rank").withColumn("cui", t.provisional_id(F.col("entity_type"), F.col("normalized")))
 
 
+#: A word without the signs around it.
+WORD = re.compile(r"[^\W_](?:\S*[^\W_])?")
+
+
+@F.pandas_udf(ArrayType(StructType([StructField("start", IntegerType()), StructField("text", StringType())])))
+def placed_words(texts: pd.Series) -> pd.Series:
+    """Words of each text (cut at any white space, without the signs around them) and where they start."""
+    return texts.map(lambda t: [{"start": m.start(), "text": m[0]} for m in WORD.finditer(t or "")])
+
+
 def recognise(chunks: DataFrame, dictionary: DataFrame, least_confidence: float = 0.25) -> DataFrame:
-    """The default recogniser: words of chunks that are in a dictionary (term, entity_type, confidence), with their places. An equi-join."""
-    words = chunks.select("chunk_id", F.posexplode(F.split("text", " ")).alias("pos", "text"))
-    sizes = Window.partitionBy("chunk_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    placed = words.withColumn("start", F.coalesce(F.sum(F.length("text") + 1).over(sizes), F.lit(0)).cast("int"))
-    trimmed = F.regexp_extract("text", r"^\W*(.*?)\W*$", 1)
-    found = placed.withColumns({"start": F.col("start") + F.length(F.regexp_extract("text", r"^(\W*)", 1)), "text": trimmed}).join(dictionary.select(F.col("term").alias("k"), "entity_type", "confidence"), F.lower("text") == F.col("k"))
-    spans = found.where(t.is_valid_span(F.col("text")) & (F.col("confidence") >= least_confidence))
-    return spans.select("chunk_id", "start", (F.col("start") + F.length("text")).alias("end"), "text", "entity_type", "confidence")
+    """The default recogniser: words of chunks that are in a dictionary (term, entity_type, confidence), with their places.
+
+    Places come from the row itself. Only hits leave it where Spark finds the dictionary small enough
+    to broadcast; else words meet it by a shuffle on the word, the only one.
+    """
+    words = chunks.select("chunk_id", F.explode(placed_words("text")).alias("w")).select("chunk_id", "w.start", "w.text").where(t.is_valid_span(F.col("text")))
+    known = dictionary.where(F.col("confidence") >= least_confidence).select(F.col("term").alias("k"), "entity_type", "confidence")
+    found = words.join(known, F.lower("text") == F.col("k"))
+    return found.select("chunk_id", "start", (F.col("start") + F.length("text")).alias("end"), "text", "entity_type", "confidence")
 
 
 def drop_false_positives(mentions: DataFrame, label: str, more: list[str] | None = None) -> DataFrame:
@@ -101,12 +114,16 @@ def _grams(text: Column, n: int = 3) -> Column:
     return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(padded) - n + 1)), lambda i: F.substring(padded, i, F.lit(n))))
 
 
-def string_ratio(left: str, right: str) -> Column:
-    """Matching-blocks ratio of two text columns, in Arrow batches."""
+def string_ratio(left: str, right: str, least: float = 0.0) -> Column:
+    """Matching-blocks ratio of two text columns, in Arrow batches; 0 where lengths or letter counts show that it is below ``least``."""
+
+    def one(x: str, y: str) -> float:
+        m = difflib.SequenceMatcher(None, x, y)
+        return m.ratio() if m.real_quick_ratio() >= least and m.quick_ratio() >= least else 0.0
 
     @F.pandas_udf("double")
     def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([difflib.SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b, strict=True)])
+        return pd.Series([one(x or "", y or "") for x, y in zip(a, b, strict=True)])
 
     return ratio(F.col(left), F.col(right))
 
@@ -116,6 +133,19 @@ def edit_ratio(a: Column, b: Column) -> Column:
     return 1 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b), F.lit(1))
 
 
+def string_rerank(pairs: DataFrame, concepts: DataFrame, least: float = 0.70) -> DataFrame:
+    """``text, cui, score``: of each text's candidates (text, cui) the one whose label, synonym or language label is most like it, from ``least``; ties to the smaller cui."""
+    named = pairs.select("text", "cui").distinct().join(aliases(concepts), "cui").withColumn("low_", F.lower("text"))
+    scored = named.withColumn("score", F.round(string_ratio("low_", "alias", least), 9)).groupBy("text", "cui").agg(F.max("score").alias("score"))
+    return best(scored.where(F.col("score") >= least), ["text"], [F.desc("score"), "cui"], 1).drop("rank")
+
+
+def gold_found(gold: DataFrame, predicted: DataFrame) -> DataFrame:
+    """Gold concepts (sample, cui) with ``found``: whether the sample's predictions hold the concept."""
+    hits = predicted.select("sample", "cui").distinct().withColumn("hit_", F.lit(True))
+    return gold.join(hits, ["sample", "cui"], "left").withColumn("found", F.coalesce("hit_", F.lit(False))).drop("hit_")
+
+
 def link_mentions(mentions: DataFrame, concepts: DataFrame, accept: float = 0.75, accept_other: float = 0.70, least_string: float = 0.70, pool: int = 50) -> DataFrame:
     """Mentions (text, entity_type, confidence) with ``cui, link_score, linked``.
 
@@ -133,7 +163,7 @@ def link_mentions(mentions: DataFrame, concepts: DataFrame, accept: float = 0.75
     pooled = best(scored, ["text", "entity_type"], [F.desc("score"), "cui"], pool).join(kinds, "cui")
     own = F.max(F.col("concept_type") == F.col("entity_type")).over(Window.partitionBy("text", "entity_type"))
     kept = pooled.withColumn("own", own).where("not own or concept_type = entity_type").withColumn("low", F.lower("text"))
-    kept = kept.withColumn("string", string_ratio("low", "alias"))
+    kept = kept.withColumn("string", string_ratio("low", "alias", least_string))
     ascii_ = ~F.rlike("text", F.lit(r"[^\x00-\x7f]"))
     direct = F.when(ascii_, F.col("score") >= accept).otherwise(F.col("score") >= accept_other)
     top = kept.groupBy("text", "entity_type").agg(

@@ -85,8 +85,9 @@ def concurrency(requests: DataFrame, by: str) -> DataFrame:
 
 
 def session_list(messages: DataFrame) -> DataFrame:
-    """``session_id, n, first_message`` by the messages' order."""
-    return messages.groupBy("session_id").agg(F.count(F.lit(1)).alias("n"), F.min_by("content", "created_at").alias("first_message"))
+    """``user_id, session_id, n, first_message, updated_at, place``: each user's sessions, the newest (by its last message) at place 1."""
+    rows = messages.groupBy("user_id", "session_id").agg(F.count(F.lit(1)).alias("n"), F.min_by("content", "created_at").alias("first_message"), F.max("created_at").alias("updated_at"))
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("updated_at"), "session_id")).cast("long"))
 
 
 def session_messages(messages: DataFrame) -> DataFrame:
@@ -117,4 +118,5 @@ def memory_reinforce(mentions: DataFrame, used: DataFrame) -> DataFrame:
 
 
 def token_usage(usage: DataFrame, by: list[str]) -> DataFrame:
-    return usage.groupBy(*by).agg(F.sum(F.col("prompt_tokens") + F.col("completion_tokens")).alias("tokens"))
+    """``by..., tokens``: prompt and completion tokens; a missing number counts as 0."""
+    return usage.groupBy(*by).agg(F.sum(F.coalesce("prompt_tokens", F.lit(0)) + F.coalesce("completion_tokens", F.lit(0))).alias("tokens"))

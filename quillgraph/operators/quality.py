@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vocabulary as v
+from ..functions.scratch import store
 from .graph import best
 
 
@@ -29,19 +30,48 @@ def round_robin(rows: DataFrame, by: str, order: list, limit: int) -> DataFrame:
 
 
 def topic_quota(rows: DataFrame, id_col: str, text: str, topics: list[tuple[str, str]], n: int) -> DataFrame:
-    """``id_col, topic``: each topic in order takes its first ``n`` rows that hold its word and no earlier topic took."""
-    taken, left = None, rows.select(id_col, F.lower(text).alias("t_"))
-    for topic, word in topics:
-        got = left.where(F.contains("t_", F.lit(word))).orderBy(id_col).limit(n).select(id_col, F.lit(topic).alias("topic"))
+    """``id_col, topic``: each topic in order takes its first ``n`` rows that hold its word and no earlier topic took.
+
+    A topic's rows are among its first n * (number of topics), as earlier ones take n each at most; so one
+    pass over the texts ranks these, and the turns are taken on a table of bounded size.
+    """
+    flags = [F.when(F.contains(F.lower(text), F.lit(word)), F.lit(i)) for i, (_, word) in enumerate(topics)]
+    hits = rows.select(id_col, F.explode(F.array_compact(F.array(*flags))).alias("t_"))
+    left = store(best(hits, ["t_"], [id_col], n * len(topics)).drop("rank"), "topics")
+    taken = None
+    for i, (topic, _) in enumerate(topics):
+        mine = left.where(F.col("t_") == i)
+        if taken is not None:
+            mine = mine.join(taken.select(id_col), id_col, "left_anti")
+        got = store(mine.orderBy(id_col).limit(n).select(id_col, F.lit(topic).alias("topic")), "topics-taken")
         taken = got if taken is None else taken.unionByName(got)
-        left = left.join(got.select(id_col), id_col, "left_anti")
     return taken
 
 
-def context_groups(rows: DataFrame, id_col: str, text: str, strata: str, size: int = 3, seed: str = "g") -> DataFrame:
-    """``strata, group, context``: rows in hash order, ``size`` to a group, numbered. The pool of each stratum is a sample, so it is small."""
-    placed = rows.withColumn("n_", F.row_number().over(Window.partitionBy(strata).orderBy(hashed(seed, id_col), id_col)) - 1)
+def quota_by_label(rows: DataFrame, label: str, order: list, n: int) -> DataFrame:
+    """The first ``n`` rows of each label; rows without one do not count."""
+    return best(rows.where(F.col(label).isNotNull()), [label], order, n).drop("rank")
+
+
+def long_enough(rows: DataFrame, text: str, order: list, n: int, least: int = 200) -> DataFrame:
+    """The first ``n`` rows with ``least`` signs or more."""
+    return rows.where(F.length(text) >= least).orderBy(*order).limit(n)
+
+
+def context_groups(rows: DataFrame, id_col: str, text: str, strata: str, size: int = 3, groups: int | None = None, seed: str = "g") -> DataFrame:
+    """``strata, group, context``: rows in hash order, ``size`` to a group, numbered.
+
+    ``groups`` asks for so many in each stratum; a pool that is too short is dealt again from its
+    start, in another order, as often as is needed. Without it, every row is used once. A stratum's pool is a sample, so it is small.
+    """
+    counted = rows.withColumn("pool_", F.count(F.lit(1)).over(Window.partitionBy(strata)))
+    again = F.ceil(F.lit((groups or 0) * size) / F.col("pool_")) if groups else F.lit(1)
+    dealt = counted.withColumn("deal_", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(1), again).cast("int") - 1)))
+    order = [F.col("deal_"), F.md5(F.concat_ws(":", F.lit(seed), F.nullif(F.col("deal_"), F.lit(0)).cast("string"), F.col(id_col).cast("string"))), F.col(id_col)]
+    placed = dealt.withColumn("n_", F.row_number().over(Window.partitionBy(strata).orderBy(*order)) - 1)
     lines = placed.withColumns({"group": F.floor(F.col("n_") / size).cast("long"), "p_": (F.col("n_") % size + 1).cast("int")})
+    if groups:
+        lines = lines.where(F.col("group") < groups)
     line = F.concat(F.lit("["), F.col("p_").cast("string"), F.lit("] "), F.col(text))
     return lines.groupBy(strata, "group").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_", line.alias("x_")))), lambda x: x["x_"]), "\n").alias("context"))
 
@@ -75,6 +105,31 @@ def prf1(pairs: DataFrame, by: list[str]) -> DataFrame:
     return scored.withColumn("f1", ratio(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall"))).drop("gold", "said")
 
 
+def category_mean(rows: DataFrame, by: str, scores: list[str]) -> DataFrame:
+    """Mean of each score in each category; rows without a score do not count for it."""
+    return rows.groupBy(by).agg(*[F.avg(c).alias(c) for c in scores])
+
+
+def top1_accuracy(rows: DataFrame, by: list[str]) -> DataFrame:
+    """``right, judged, skipped, accuracy`` of columns expected and predicted: what has nothing expected is skipped, no prediction is wrong."""
+    judged = F.count_if(F.col("expected").isNotNull())
+    right = F.count_if(F.col("expected").eqNullSafe(F.col("predicted")) & F.col("expected").isNotNull())
+    sums = rows.groupBy(*by).agg(right.alias("right"), judged.alias("judged"), F.count_if(F.col("expected").isNull()).alias("skipped"))
+    return sums.withColumn("accuracy", F.coalesce(F.try_divide("right", "judged"), F.lit(0.0)))
+
+
+def testset(rows: DataFrame, names: dict[str, str], columns: list[str]) -> DataFrame:
+    """A generator's columns by our names; columns that it did not give are null."""
+    named = rows.withColumnsRenamed(names)
+    return named.select(*[F.col(c) if c in named.columns else F.lit(None).cast("string").alias(c) for c in columns])
+
+
+def shortfall(rows: DataFrame, by: str, wanted: DataFrame) -> DataFrame:
+    """``by, made, wanted, short``: how many rows each group still lacks. wanted: by, wanted."""
+    made = rows.groupBy(by).agg(F.count(F.lit(1)).alias("made"))
+    return wanted.join(made, by, "left").select(by, F.coalesce("made", F.lit(0)).cast("long").alias("made"), "wanted", F.greatest(F.lit(0), F.col("wanted") - F.coalesce("made", F.lit(0))).cast("long").alias("short"))
+
+
 def hit_mrr(ranks: DataFrame, by: list[str]) -> DataFrame:
     """Hit at 1 and 5 and mean reciprocal rank of ``rank``, null where the target was not found."""
     mean = lambda c: F.avg(F.when(c, 1.0).otherwise(0.0))
@@ -111,7 +166,18 @@ def rewrite_score(tier_right: Column, match: Column, rewritten: Column) -> Colum
     return F.when(tier_right, 1.0).otherwise(0.3) * (0.85 * match + 0.15 * F.least(F.lit(1.0), F.length(rewritten) / 80))
 
 
+def rewrite_feedback(tier: Column, expected_tier: Column, match: Column, rewritten: Column) -> Column:
+    """What a rewritten query lacks, as one line."""
+    notes = F.array(
+        F.when(tier != expected_tier, F.concat(F.lit("Tier "), tier, F.lit(" instead of "), expected_tier)),
+        F.when(match < 0.5, F.lit("The rewritten query says something else")),
+        F.when(F.length(rewritten) < 80, F.lit("The rewritten query is short")),
+    )
+    return F.array_join(F.array_compact(notes), "; ")
+
+
 def feedback(cited: Column, expected: Column, uncited: Column) -> Column:
+    """What an answer's citations lack, as one line."""
     lacks, extra = F.array_except(expected, cited), F.array_except(cited, expected)
     note = lambda head, xs: F.when(F.size(xs) > 0, F.concat(F.lit(head), F.array_join(xs.cast("array<string>"), ", ")))
     notes = F.array(note("Missing citations: ", lacks), note("Extra citations: ", extra), F.when(uncited > 0, F.concat(uncited.cast("string"), F.lit(" sentences without a citation"))))

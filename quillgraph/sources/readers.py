@@ -68,8 +68,11 @@ def parallel_json(spark: SparkSession, path: str) -> DataFrame:
     return _documents(rows, doc_id=doc_id, language=F.lit("de"), title=F.substring(F.coalesce("de", "en"), 1, 100), full_text=F.concat_ws("\n\n", "de", "en"), sections=parts, format=F.lit("text"))
 
 
-def article_xml(spark: SparkSession, path: str) -> DataFrame:
-    """Abstract articles; a label, else a category, titles a section, and neighbours with one title are one section. Each article is parsed in the task that holds it."""
+def article_xml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(documents, rejects): abstract articles; a label, else a category, titles a section, and neighbours with one title are one section.
+
+    Each article is parsed in the task that holds it. One that does not parse, or has no id, is a reject with its text and the reason.
+    """
     raw = spark.read.option("wholetext", True).text(path).select(F.explode(F.regexp_extract_all("value", F.lit(r"(?s)<PubmedArticle[ >].*?</PubmedArticle>"), F.lit(0))).alias("xml"))
     languages = {"eng": "en", "chi": "zh", "ger": "de"}
 
@@ -77,7 +80,11 @@ def article_xml(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             out = []
             for xml in batch["xml"]:
-                root = ElementTree.fromstring(xml)
+                try:
+                    root = ElementTree.fromstring(xml)
+                except ElementTree.ParseError as bad:
+                    out.append((None, None, None, None, [], [], xml, str(bad)))
+                    continue
                 text = lambda at, root=root: "".join(e.itertext()).strip() if (e := root.find(at)) is not None else None
                 parts: list[list[str]] = []
                 for e in root.iter("AbstractText"):
@@ -86,27 +93,33 @@ def article_xml(spark: SparkSession, path: str) -> DataFrame:
                         parts[-1][1] += "\n" + body
                     elif body:
                         parts.append([title, body])
-                out.append((text(".//PMID"), languages.get(text(".//Language") or "eng", "en"), text(".//ArticleTitle"), text(".//PubDate/Year"), [p[0] for p in parts], [p[1] for p in parts]))
-            yield pd.DataFrame(out, columns=["id", "language", "title", "year", "names", "bodies"])
+                out.append((text(".//PMID"), languages.get(text(".//Language") or "eng", "en"), text(".//ArticleTitle"), text(".//PubDate/Year"), [p[0] for p in parts], [p[1] for p in parts], xml, None))
+            yield pd.DataFrame(out, columns=["id", "language", "title", "year", "names", "bodies", "xml", "reason"])
 
-    rows = raw.mapInPandas(parse, "id string, language string, title string, year string, names array<string>, bodies array<string>").where("id is not null")
+    every = raw.mapInPandas(parse, "id string, language string, title string, year string, names array<string>, bodies array<string>, xml string, reason string")
+    rows = every.where("id is not null")
+    rejects = every.where("id is null").select("xml", F.coalesce("reason", F.lit("no id")).alias("reason"))
     parts = F.zip_with("names", "bodies", _section)
-    return _documents(rows, doc_id=F.concat(F.lit("pmid_"), "id"), source_id=F.col("id"), source_version=F.col("year"), language=F.col("language"), title=F.col("title"), abstract=F.array_join("bodies", "\n"), sections=parts, format=F.lit("xml"))
+    return _documents(rows, doc_id=F.concat(F.lit("pmid_"), "id"), source_id=F.col("id"), source_version=F.col("year"), language=F.col("language"), title=F.col("title"), abstract=F.array_join("bodies", "\n"), sections=parts, format=F.lit("xml")), rejects
 
 
 def _local(tag: str) -> str:
     return tag.rsplit("}", 1)[-1]
 
 
-def label_xml(spark: SparkSession, path: str) -> DataFrame:
-    """Drug labels, one a file: every section at any depth with a title of its own, and all its text."""
+def label_xml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(documents, rejects): drug labels, one a file: every section at any depth with a title of its own, and all its text. Files that do not parse are rejects."""
     raw = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("file_path"), "value")
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for file, xml in zip(batch["file_path"], batch["value"], strict=True):
-                root = ElementTree.fromstring(xml.encode())
+                try:
+                    root = ElementTree.fromstring(xml.encode())
+                except ElementTree.ParseError as bad:
+                    out.append((file, None, [], [], str(bad)))
+                    continue
                 flat = lambda e: " ".join("".join(e.itertext()).split())
                 title = next((flat(e) for e in root if _local(e.tag) == "title"), "")
                 names, bodies = [], []
@@ -117,12 +130,13 @@ def label_xml(spark: SparkSession, path: str) -> DataFrame:
                         if name and body:
                             names.append(name)
                             bodies.append(body)
-                out.append((file, title, names, bodies))
-            yield pd.DataFrame(out, columns=["file_path", "title", "names", "bodies"])
+                out.append((file, title, names, bodies, None))
+            yield pd.DataFrame(out, columns=["file_path", "title", "names", "bodies", "reason"])
 
-    rows = raw.mapInPandas(parse, "file_path string, title string, names array<string>, bodies array<string>")
+    every = raw.mapInPandas(parse, "file_path string, title string, names array<string>, bodies array<string>, reason string")
+    rows, rejects = every.where("reason is null"), every.where("reason is not null").select("file_path", "reason")
     stem = F.regexp_extract("file_path", r"([^/]+)\.xml$", 1)
-    return _documents(rows, doc_id=stem, language=F.lit("en"), title=F.col("title"), full_text=F.array_join("bodies", "\n\n"), sections=F.zip_with("names", "bodies", _section), file_path=F.col("file_path"), format=F.lit("xml"))
+    return _documents(rows, doc_id=stem, language=F.lit("en"), title=F.col("title"), full_text=F.array_join("bodies", "\n\n"), sections=F.zip_with("names", "bodies", _section), file_path=F.col("file_path"), format=F.lit("xml")), rejects
 
 
 DRUG_FIELDS = ["description", "indication", "pharmacodynamics", "mechanism-of-action", "toxicity", "metabolism", "food-interactions"]
@@ -232,8 +246,14 @@ def month_ranges(start: Column, stop: Column) -> Column:
     return F.transform(months, lambda m: F.struct(F.greatest(start, m).alias("from"), F.least(F.last_day(m), stop).alias("to")))
 
 
-def ranged_cap(rows: DataFrame, order: list, limit: int) -> DataFrame:
-    """What ranges give in order, until ``limit`` in all."""
+#: Rows that a search gives without a range.
+MOST_WITHOUT_RANGE = 9_999
+
+
+def ranged_cap(rows: DataFrame, order: list, limit: int, ranged: bool = True) -> DataFrame:
+    """What ranges give in order, until ``limit`` in all; without ranges a limit over 9 999 cannot be met and is an error."""
+    if not ranged and limit > MOST_WITHOUT_RANGE:
+        raise ValueError(f"more than {MOST_WITHOUT_RANGE} rows need a range: {limit}")
     return rows.orderBy(*order).limit(limit)
 
 
@@ -257,6 +277,19 @@ def graph_entities(entities: DataFrame) -> DataFrame:
     return known.withColumns({c: F.coalesce(c, F.lit("")) for c in ("lang_zh", "lang_de")}).orderBy("cui", "entity_type")
 
 
+def vector_scroll(points: DataFrame, vectors: list[str]) -> DataFrame:
+    """The payloads of all points; vector columns are not read. Spark's splits are the pages."""
+    return points.select(*[c for c in points.columns if c not in vectors])
+
+
+def union_documents(*parts: DataFrame) -> DataFrame:
+    """Fetched and loaded documents (or chunks and those of frontier entities) as one table; columns that a part lacks are null."""
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part, allowMissingColumns=True)
+    return out
+
+
 def eval_csv(spark: SparkSession, path: str, required: tuple[str, ...] = ("question", "ground_truth"), lists: tuple[str, ...] = ("contexts",)) -> DataFrame:
     """A test set; columns that are missing are an error, lists are read from their JSON text."""
     rows = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQueryListener
 from pyspark.sql.streaming.query import StreamingQuery
@@ -60,22 +61,40 @@ def sessions(events: DataFrame, key: str, gap: str = "120 seconds", late: str =
 
 
 def intake(documents: DataFrame, process: Callable[[DataFrame], DataFrame], key: str, folder: str, checkpoint: str) -> StreamingQuery:
-    """New documents, processed as in a build and upserted into a table below ``folder``; a batch that is run again changes nothing."""
+    """New documents, processed as in a build and upserted into the table below ``folder`` (read by ``intake_table``).
+
+    Each batch writes only its own rows, to a folder of its number; a batch that is run again
+    replaces its folder, so nothing changes. What is stored already is not read.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        new, target, before = process(batch), f"{folder}/v{number + 1}", f"{folder}/v{number}"
-        old = spark.read.parquet(before) if number else new.limit(0)
-        upsert(old, new, [key]).write.mode("overwrite").parquet(target)
+        once = process(batch)
+        once = upsert(once.limit(0), once, [key])
+        once.write.mode("overwrite").parquet(f"{folder}/batch={number}")
 
     return documents.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def intake_table(spark: SparkSession, folder: str, key: str) -> DataFrame:
+    """The newest row of each key over all batches."""
+    rows = spark.read.parquet(folder)
+    newest = Window.partitionBy(key).orderBy(F.desc("batch"))
+    return rows.withColumn("n_", F.row_number().over(newest)).where("n_ = 1").drop("n_", "batch")
+
+
+def compact(spark: SparkSession, folder: str, key: str, target: str) -> None:
+    """Writes the table to a new folder as one batch of number -1, which later batches of the stream take precedence over."""
+    intake_table(spark, folder, key).write.parquet(f"{target}/batch=-1")
+
+
 class Progress(StreamingQueryListener):
-    """Keeps a row for each batch of every stream: name, batch, rows in, milliseconds."""
+    """Keeps a row for each of the last batches of all streams: name, batch, rows in, milliseconds."""
+
+    def __init__(self, last: int = 1000):
+        self.rows: deque[tuple[str | None, int, int, int]] = deque(maxlen=last)
 
-    def __init__(self):
-        self.rows: list[tuple[str | None, int, int, int]] = []
+    def table(self, spark: SparkSession) -> DataFrame:
+        return spark.createDataFrame(list(self.rows), "name string, batch long, rows long, ms long")
 
     def onQueryStarted(self, event) -> None:
         pass

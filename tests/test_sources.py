@@ -40,11 +40,11 @@ def test_qa_and_parallel(spark, tmp_path):
 
 def test_xml_sources(spark, tmp_path):
     article = """<Set><PubmedArticle><PMID>7</PMID><ArticleTitle>On <i>it</i></ArticleTitle><Abstract><AbstractText Label="BACKGROUND">One.</AbstractText><AbstractText NlmCategory="BACKGROUND">Two <b>x</b>.</AbstractText><AbstractText>Rest.</AbstractText></Abstract><Language>ger</Language><PubDate><Year>2020</Year></PubDate></PubmedArticle></Set>"""
-    (d,) = r.article_xml(spark, put(tmp_path / "a", "a.xml", article)).collect()
+    (d,) = r.article_xml(spark, put(tmp_path / "a", "a.xml", article))[0].collect()
     assert (d.doc_id, d.language, d.title, d.source.source_version) == ("pmid_7", "de", "On it", "2020")
     assert sections(d) == [("Background", "One.\nTwo x."), ("Abstract", "Rest.")]
     label = '<document xmlns="urn:x"><title>L</title><section><title>Use</title><text>For <b>all</b>.</text><section><title>Inner</title><text>Deep</text></section></section></document>'
-    (d,) = r.label_xml(spark, put(tmp_path / "l", "lab.xml", label)).collect()
+    (d,) = r.label_xml(spark, put(tmp_path / "l", "lab.xml", label))[0].collect()
     assert d.doc_id == "lab" and sections(d) == [("Use", "For all. InnerDeep"), ("Inner", "Deep")]
     drug = '<drugbank><drug><drugbank-id>X</drugbank-id><drugbank-id primary="true">DB1</drugbank-id><name>N</name><description>Desc</description><indication> </indication><toxicity>T</toxicity></drug></drugbank>'
     (d,) = r.drug_xml(spark, put(tmp_path / "d", "d.xml", drug)).collect()

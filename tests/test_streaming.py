@@ -42,4 +42,7 @@ def test_intake_upserts(spark, tmp_path):
         spark.createDataFrame([("d1", name), (f"d_{name}", name)], "doc_id string, text string").coalesce(1).write.mode("append").json(str(tmp_path / "in"))
     docs = spark.readStream.schema("doc_id string, text string").option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
     jobs.intake(docs, lambda b: b.withColumn("n", F.length("text")), "doc_id", str(tmp_path / "t"), str(tmp_path / "cp")).awaitTermination(120)
-    assert {r.doc_id for r in spark.read.parquet(str(tmp_path / "t/v2")).collect()} == {"d1", "d_old", "d_new"}
+    got = {r.doc_id: r.text for r in jobs.intake_table(spark, str(tmp_path / "t"), "doc_id").collect()}
+    assert got.keys() == {"d1", "d_old", "d_new"}
+    jobs.compact(spark, str(tmp_path / "t"), "doc_id", str(tmp_path / "u"))
+    assert {r.doc_id: r.text for r in jobs.intake_table(spark, str(tmp_path / "u"), "doc_id").collect()} == got
