@@ -34,10 +34,10 @@ def _documents(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select(*[made.get(name, F.lit(None)).cast(kind).alias(name) for name, kind in fields])
 
 
-def document_json(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(documents, rejects): one document for each JSON file below ``path``; files that do not parse, or have no id, are rejects."""
+def document_json(spark: SparkSession, path: str, names: str = "*.json") -> tuple[DataFrame, DataFrame]:
+    """(documents, rejects): one document for each JSON file below ``path`` (whose name fits ``names``); files that do not parse, or have no id, are rejects."""
     rows = (
-        spark.read.schema(DOCUMENT + ", _bad string").option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json")
+        spark.read.schema(DOCUMENT + ", _bad string").option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", names)
         .option("columnNameOfCorruptRecord", "_bad").json(path).withColumn("_file", F.col("_metadata.file_path"))
     )
     bad = F.col("_bad").isNotNull() | F.col("doc_id").isNull()
@@ -73,7 +73,10 @@ def article_xml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
     Each article is parsed in the task that holds it. One that does not parse, or has no id, is a reject with its text and the reason.
     """
-    raw = spark.read.option("wholetext", True).text(path).select(F.explode(F.regexp_extract_all("value", F.lit(r"(?s)<PubmedArticle[ >].*?</PubmedArticle>"), F.lit(0))).alias("xml"))
+    # files are cut at the articles' ends, so that large ones are read in splits
+    end = "</PubmedArticle>"
+    head = F.regexp_extract("value", r"(?s)<PubmedArticle[ >].*", 0)
+    raw = spark.read.option("lineSep", end).text(path).select(head.alias("head")).where("head <> ''").select(F.concat("head", F.lit(end)).alias("xml"))
     languages = {"eng": "en", "chi": "zh", "ger": "de"}
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -109,7 +112,7 @@ def _local(tag: str) -> str:
 
 def label_xml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(documents, rejects): drug labels, one a file: every section at any depth with a title of its own, and all its text. Files that do not parse are rejects."""
-    raw = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("file_path"), "value")
+    raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file_path"), "value")
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
