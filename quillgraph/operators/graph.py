@@ -118,17 +118,24 @@ def top_chunks(ranks: DataFrame, k: int) -> DataFrame:
     return best(chunks, ["query_id"], [F.desc("score"), F.length("chunk"), "chunk"], k)
 
 
-def paths(edges: DataFrame, pairs: DataFrame, most_hops: int = 3) -> DataFrame:
-    """``a, b, connected``: whether a path of at most ``most_hops`` shared-chunk steps joins each pair. A frontier join per hop, visited nodes left out."""
-    asked = pairs.select("a", "b").distinct()
+def _reached(edges: DataFrame, starts: DataFrame, hops: int) -> DataFrame:
+    """``start, node``: what lies within ``hops`` shared-chunk steps of each start, itself included; a join per hop, visited nodes left out."""
     here = edges.select(F.col("entity").alias("node"), "chunk")
-    seen = store(asked.select("a").distinct().select("a", F.col("a").alias("node")), "paths")
-    front = seen
-    for _ in range(most_hops):
-        reached = front.join(here, "node").join(edges, "chunk").select("a", F.col("entity").alias("node")).distinct()
-        front = store(reached.join(seen, ["a", "node"], "left_anti"), "paths")
+    seen = front = store(starts.distinct().select("start", F.col("start").alias("node")), "paths")
+    for _ in range(hops):
+        chunks = front.join(here, "node").select("start", "chunk").distinct()
+        reached = chunks.join(here, "chunk").select("start", "node").distinct()
+        front = store(reached.join(seen, ["start", "node"], "left_anti"), "paths")
         seen = seen.unionByName(front)
-    hit = seen.select("a", F.col("node").alias("b"), F.lit(True).alias("hit"))
+    return seen
+
+
+def paths(edges: DataFrame, pairs: DataFrame, most_hops: int = 3) -> DataFrame:
+    """``a, b, connected``: whether a path of at most ``most_hops`` shared-chunk steps joins each pair. Both ends are followed half the way and meet."""
+    asked = pairs.select("a", "b").distinct()
+    from_a = _reached(edges, asked.select(F.col("a").alias("start")), most_hops - most_hops // 2).toDF("a", "node")
+    from_b = _reached(edges, asked.select(F.col("b").alias("start")), most_hops // 2).toDF("b", "node")
+    hit = asked.join(from_b, "b").join(from_a, ["a", "node"], "left_semi").select("a", "b").distinct().withColumn("hit", F.lit(True))
     return asked.join(hit, ["a", "b"], "left").select("a", "b", F.coalesce("hit", F.lit(False)).alias("connected"))
 
 

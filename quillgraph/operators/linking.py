@@ -190,7 +190,8 @@ def overlap_match(gold: DataFrame, predicted: DataFrame) -> DataFrame:
         return pd.DataFrame(out, columns=["sample", "text", "entity_type", "gold", "predicted"])
 
     schema = f"sample {dict(gold.dtypes)['sample']}, text string, entity_type string, gold boolean, predicted boolean"
-    return gold.groupBy("sample").cogroup(predicted.groupBy("sample")).applyInPandas(pair, schema)
+    said = predicted.select(F.col("sample").alias("of_"), "text", "entity_type")
+    return gold.groupBy("sample").cogroup(said.groupBy("of_")).applyInPandas(pair, schema)
 
 
 def in_batches(df: DataFrame, model, schema: str) -> DataFrame:
