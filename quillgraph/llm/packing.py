@@ -37,8 +37,8 @@ from .common import blank, store
 LETTER, DIGIT = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼-¾"
 CUT = re.compile(rf" ?[{LETTER}]+|'s|'t|'re|'ve|'m|'ll|'d| ?[{DIGIT}]+| ?[^\s{LETTER}{DIGIT}]+|\s+(?!\S)|\s+")
 LATIN = re.compile("[\t\n\r\x20-\x7e¡-ɏ]*")
-#: Cuts whose ids a worker remembers, about 200 bytes each, before it starts again.
-REMEMBERED = 1_000_000
+#: Cuts whose ids a worker remembers, about 200 bytes each, before it starts again; workers live on in other stages.
+REMEMBERED = 400_000
 
 
 class Encoder:
