@@ -10,7 +10,7 @@ number is fixed, and as they only order the shingles, no pair is missed by them.
 Each shard has a BK-tree of its fingerprints; a node is linked to the nearest one within ``RADIUS``
 bits (a fifth of 64) that is not in its component yet. Shards of more than ``SHARD_ROWS`` nodes
 are dealt to trees by hash, differently in each round. A link counts only after both whole
-sets were intersected. Two rounds join nearly all of a group by a number of links in proportion to its size. What a
+sets were intersected. So groups are joined by a number of links in proportion to their size. What a
 radius can miss is found exactly at the end: pairs that share a leading shingle, are
 still in two components, and leave room for 0.8 after their places in the order are compared the same way.
 
@@ -38,7 +38,8 @@ WIDTH = 5
 BUCKET_BITS = 18
 #: Bits of the filter that keeps sets without a candidate out of shuffles.
 FILTER_BITS = 25
-ROUNDS = 2
+#: Rounds of trees before what is left is found exactly.
+ROUNDS = 1
 #: Bits in which linked fingerprints may differ: four fifths are equal.
 RADIUS = 12
 #: Fingerprints of one tree.
@@ -150,16 +151,17 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.where("9L * common >= 4L * (size(sa) + size(sb))").select("a", "b")
 
 
-def _tree_links(fps: list[int], n: np.ndarray, at: np.ndarray, c: np.ndarray) -> list[tuple[int, int]]:
+def _tree_links(fp: list[int], n: list[int], at: list[int], c: list[int]) -> list[tuple[int, int]]:
     """Places of linked nodes in one shard: each is searched in the BK-tree of those before it, and linked to the nearest that may be as similar."""
     tree, links = BKTree(), []
-    for i, point in enumerate(fps):
-        found = np.array(tree.within(point, RADIUS), np.int64)
-        if len(found):
-            room = 9 * np.minimum(n[i] - at[i], n[found] - at[found]) >= 4 * (n[i] + n[found])
-            found = found[room & (c[found] != c[i])].tolist()
-            if found:
-                links.append((i, min(found, key=lambda j: ((tree.points[j] ^ point).bit_count(), j))))
+    for i, point in enumerate(fp):
+        near, best = RADIUS + 1, -1
+        for j in tree.within(point, RADIUS):
+            d = (fp[j] ^ point).bit_count()
+            if d < near and c[j] != c[i] and 9 * min(n[i] - at[i], n[j] - at[j]) >= 4 * (n[i] + n[j]):
+                near, best = d, j
+        if best >= 0:
+            links.append((i, best))
         tree.add(point)
     return links
 
@@ -170,25 +172,35 @@ def tree_links(named: DataFrame, round_: int) -> DataFrame:
     rows = named.select("key", shard, "sig", "fp", "n", "at", "c")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
+        left, right = [], []
+        last, held = None, ([], [], [], [], [])  # the shard that the last batch ended in: it may go on in the next
 
-        def links(parts: list[np.ndarray]) -> pa.RecordBatch:
-            sig, fp, n, at, c = np.concatenate(parts, axis=1)[2:]
-            got = np.array(_tree_links(fp.view(np.uint64).tolist(), n, at, c), np.int64).reshape(-1, 2)
-            return pa.RecordBatch.from_arrays([pa.array(sig[got[:, 0]]), pa.array(sig[got[:, 1]])], ["a", "b"])
+        def link(sig: list[int], fp: list[int], n: list[int], at: list[int], c: list[int]) -> None:
+            if len(sig) > 1 and c.count(c[0]) < len(c):
+                for i, j in _tree_links([x % (1 << 64) for x in fp], n, at, c):
+                    left.append(sig[i])
+                    right.append(sig[j])
 
         for batch in batches:
-            x = np.stack([col.to_numpy().astype(np.int64) for col in batch.columns])
-            if not x.shape[1]:
+            key, shard, *columns = batch.columns
+            if not batch.num_rows:
                 continue
-            cuts = np.flatnonzero((x[0, 1:] != x[0, :-1]) | (x[1, 1:] != x[1, :-1])) + 1
-            for part in np.split(x, cuts, axis=1):
-                if held and (held[-1][:2, 0] != part[:2, 0]).any():
-                    yield links(held)
-                    held = []
-                held.append(part)
-        if held:
-            yield links(held)
+            key, shard, columns = key.to_numpy(), shard.to_numpy(), [x.to_pylist() for x in columns]
+            cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]) | (shard[1:] != shard[:-1])) + 1).tolist(), len(key)]
+            if last != (key[0], shard[0]):
+                link(*held)
+                held = ([], [], [], [], [])
+            for a, b in zip(cuts[:-2], cuts[1:-1], strict=True):
+                link(*[h + x[a:b] for h, x in zip(held, columns, strict=True)])
+                held = ([], [], [], [], [])
+            for h, x in zip(held, columns, strict=True):
+                h += x[cuts[-2] :]
+            last = key[-1], shard[-1]
+            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
+            left.clear()
+            right.clear()
+        link(*held)
+        yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
 
     return rows.repartition("key", "shard").sortWithinPartitions("key", "shard", "sig").mapInArrow(run, "a long, b long")
 
