@@ -205,17 +205,17 @@ def modularity(links: DataFrame, labels: DataFrame, resolution: float = 1.0) ->
     return sums.join(F.broadcast(whole)).select((F.col("inside") / F.col("m") - resolution * F.col("squares") / (4 * F.col("m") * F.col("m"))).alias("modularity"))
 
 
-def label_moves(links: DataFrame, max_rounds: int = 60, resolution: float = 1.0) -> DataFrame:
+def label_moves(links: DataFrame, max_rounds: int = 60, resolution: float = 1.0, least_moved: float = 0.02) -> DataFrame:
     """``node, label`` by greedy modularity on one level: in each round a half of the nodes (by hash) joins the neighbouring
     community with the greatest gain, if positive; equal gains go to the smaller label. Ends when two rounds in a row, one for
-    each half, move no node, or after ``max_rounds``. Links (a, b) with a = b are loops of merged nodes. Deterministic."""
+    each half, move no more than ``least_moved`` of the nodes (what still moves goes on in the next level), or after ``max_rounds``. Links (a, b) with a = b are loops of merged nodes. Deterministic."""
     one = links.select("a", "b", F.col("weight").cast("double").alias("weight"))
     both = store(one.where("a <> b").unionByName(one.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"), "weight")), "moves-links")
     ends = both.select("a", "weight").unionByName(one.where("a = b").select("a", (2 * F.col("weight")).alias("weight")))
     degree = store(ends.groupBy(F.col("a").alias("node")).agg(F.sum("weight").alias("degree")), "moves-degree")
     m2 = degree.agg(F.sum("degree")).first()[0] or 1.0
     label = degree.select("node", F.col("node").alias("label"))
-    still = 0
+    still, few = 0, least_moved * degree.count()
     for i in range(max_rounds):
         size = label.join(degree, "node").groupBy("label").agg(F.sum("degree").alias("total"))
         to = both.join(label.select(F.col("node").alias("b"), F.col("label").alias("to")), "b").groupBy(F.col("a").alias("node"), "to").agg(F.sum("weight").alias("w"))
@@ -232,7 +232,7 @@ def label_moves(links: DataFrame, max_rounds: int = 60, resolution: float = 1.0)
         move = half & (F.col("gain") > F.coalesce("now", alone) + 1e-12)
         new = rest.select("node", F.when(move, F.col("to")).otherwise(F.col("label")).alias("label"), F.coalesce(move, F.lit(False)).alias("moved"))
         new = store(new, "moves")
-        still = still + 1 if new.where("moved").isEmpty() else 0
+        still = still + 1 if new.where("moved").count() <= few else 0
         label = new.select("node", "label")
         if still == 2:
             break

@@ -176,22 +176,28 @@ def link_mentions(mentions: DataFrame, concepts: DataFrame, accept: float = 0.75
 
 
 def overlap_match(gold: DataFrame, predicted: DataFrame) -> DataFrame:
-    """``sample, text, entity_type, gold, predicted`` for precision and recall: a prediction matches a gold entity of its type if one text holds the other (spaces aside); each gold one once, in order. A sample is one sentence."""
-
-    def pair(key: tuple, g: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
-        squash = lambda s: "".join((s or "").split()).lower()
-        free, out = list(zip(g["text"], g["entity_type"], strict=True)), []
-        for text, kind in zip(p["text"], p["entity_type"], strict=True):
-            hit = next((i for i, (x, k) in enumerate(free) if k == kind and (squash(x) in squash(text) or squash(text) in squash(x))), None)
-            if hit is not None:
-                free.pop(hit)
-            out.append((key[0], text, kind, hit is not None, True))
-        out += [(key[0], x, k, True, False) for x, k in free]
-        return pd.DataFrame(out, columns=["sample", "text", "entity_type", "gold", "predicted"])
-
-    schema = f"sample {dict(gold.dtypes)['sample']}, text string, entity_type string, gold boolean, predicted boolean"
-    said = predicted.select(F.col("sample").alias("of_"), "text", "entity_type")
-    return gold.groupBy("sample").cogroup(said.groupBy("of_")).applyInPandas(pair, schema)
+    """``sample, text, entity_type, gold, predicted`` for precision and recall: a prediction matches a gold entity of its type if one text holds the other (spaces aside).
+
+    Each gold entity is used once, both sides in the order of their texts. A sample is one sentence, so its lists are short.
+    """
+    item, made = "struct<text: string, entity_type: string>", "array<struct<text: string, entity_type: string, gold: boolean, predicted: boolean>>"
+    lists = lambda df, name: df.groupBy("sample").agg(F.array_sort(F.collect_list(F.struct("text", "entity_type"))).alias(name))
+    both = lists(gold, "free").join(lists(predicted, "said"), "sample", "full")
+    none = F.array().cast(f"array<{item}>")
+    squash = lambda x: F.lower(F.regexp_replace(x, r"(?U)\s+", ""))
+    row = lambda x, g, p: F.struct(x["text"].alias("text"), x["entity_type"].alias("entity_type"), g.alias("gold"), p.alias("predicted"))
+    yes = F.lit(True)
+
+    def step(acc: Column, p: Column) -> Column:
+        fits = lambda x: (x["entity_type"] == p["entity_type"]) & (F.contains(squash(p["text"]), squash(x["text"])) | F.contains(squash(x["text"]), squash(p["text"])))
+        hit = F.get(F.filter(acc["free"], fits), F.lit(0))
+        at = F.coalesce(F.array_position(acc["free"], hit), F.lit(0)).cast("int")
+        rest = F.when(at > 0, F.concat(F.slice(acc["free"], F.lit(1), F.greatest(at - 1, F.lit(0))), F.slice(acc["free"], at + 1, F.size(acc["free"])))).otherwise(acc["free"])
+        return F.struct(rest.alias("free"), F.concat(acc["out"], F.array(row(p, at > 0, yes))).alias("out"))
+
+    start = F.struct(F.coalesce("free", none).alias("free"), F.array().cast(made).alias("out"))
+    finish = lambda acc: F.concat(acc["out"], F.transform(acc["free"], lambda x: row(x, yes, F.lit(False))))
+    return both.select("sample", F.explode(F.aggregate(F.coalesce("said", none), start, step, finish)).alias("x")).select("sample", "x.*")
 
 
 def in_batches(df: DataFrame, model, schema: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import text as t
 from ..operators import linking as l
 
 
@@ -13,7 +14,7 @@ def chunks(spark, sf):
 
 def dictionary(spark, sf):
     """Words over five signs that occur in ten documents at least, typed by their length."""
-    words = chunks(spark, sf).select("chunk_id", F.explode(F.array_distinct(F.split(F.lower("text"), " "))).alias("term")).where(F.rlike("term", F.lit("^[a-z]{6,}$")))
+    words = chunks(spark, sf).select("chunk_id", F.explode(F.array_distinct(F.split(F.lower("text"), r"\s+"))).alias("term")).where(F.rlike("term", F.lit("^[a-z]{6,}$")))
     frequent = words.groupBy("term").agg(F.count(F.lit(1)).alias("n")).where("n >= 10")
     kind = F.when(F.length("term") % 2 == 0, "Drug").otherwise("Disease")
     return frequent.select("term", kind.alias("entity_type"), F.round(F.least(F.lit(1.0), F.col("n") / 100), 2).alias("confidence"))
@@ -23,6 +24,46 @@ def spans(spark, sf):
     return l.recognise(chunks(spark, sf), dictionary(spark, sf), 0.25)
 
 
+def no_false_positives(spark, sf):
+    """Found words without those that are greetings, here also all that start a text."""
+    first = [r.text.lower() for r in spans(spark, sf).where("start = 0").select("text").distinct().orderBy("text").limit(5).collect()]
+    return l.drop_false_positives(spans(spark, sf), "text", first).groupBy("chunk_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+def label_types(spark, sf):
+    """Words of documents as a recogniser's labels, with their position's mark."""
+    words = chunks(spark, sf).select("chunk_id", F.explode(F.split("text", r"\s+")).alias("w"))
+    kinds = F.array(*[F.lit(x) for x in ("drug", "Disease", "SYMPTOM", "gene", "o", "unheard", "problem", "test")])
+    raw = F.concat(F.when(F.col("chunk_id") % 3 == 0, "B-").when(F.col("chunk_id") % 3 == 1, "i_").otherwise(""), F.element_at(kinds, (F.length("w") % 8 + 1).cast("int")))
+    return words.select("chunk_id", t.label_to_type(raw).alias("entity_type")).groupBy("chunk_id", "entity_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+def valid_spans(spark, sf):
+    """Every word, with its signs, that may be a span."""
+    words = chunks(spark, sf).select("chunk_id", F.explode(F.split("text", " ")).alias("w"))
+    return words.where(t.is_valid_span(F.col("w"))).groupBy("chunk_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+def mention_texts(spark, sf):
+    """Each found span's text, cut from its chunk by its places."""
+    rows = spans(spark, sf).join(chunks(spark, sf).withColumnRenamed("text", "whole"), "chunk_id")
+    return rows.select("chunk_id", "start", t.mention_text(F.col("whole"), F.col("start"), F.col("end")).alias("cut"), "text")
+
+
+def concept_types(spark, sf):
+    """Parts' sizes and brands as tree numbers."""
+    p = spark.read.parquet(f"{sf}/part.parquet")
+    heads = ["C14", "F03", "D12", "G05", "D02", "E01", "A07", "F01", "B01", "Z99", "C23.888"]
+    pick = lambda n: F.concat(F.element_at(F.array(*[F.lit(h) for h in heads]), (n % len(heads) + 1).cast("int")), F.lit(".1"))
+    return p.select("p_partkey", t.concept_type(F.array(pick(F.col("p_partkey")), pick(F.col("p_size")))).alias("entity_type"))
+
+
+def overlapping(spark, sf):
+    """Spans that are eight signs longer, without those that overlap a better one of any type."""
+    wide = F.transform("spans", lambda s: s.withField("end", s["end"] + 8))
+    return _arrays(spark, sf).select("chunk_id", F.explode(l.drop_dominated(wide, any_type=True)).alias("s")).select("chunk_id", "s.start", "s.end", "s.text", "s.confidence")
+
+
 def _arrays(spark, sf):
     made = F.array_sort(F.collect_list(F.struct("start", "end", "text", "entity_type", "confidence"))).alias("spans")
     return spans(spark, sf).groupBy("chunk_id").agg(made).join(chunks(spark, sf), "chunk_id")
@@ -71,19 +112,56 @@ QUERIES = {
     "span_merge": span_merge,
     "span_drop": span_drop,
     "span_dedup": span_dedup,
+    "drop_false_positives": no_false_positives,
+    "label_to_type": label_types,
+    "is_valid_span": valid_spans,
+    "mention_text": mention_texts,
+    "concept_types": concept_types,
+    "dedup_overlapping": overlapping,
     "link_exact": link_exact,
     "link_mentions": link_mentions,
     "prefix_search": prefix_search,
 }
 
-_SPANS = r"""tok AS (SELECT doc_id AS chunk_id, unnest(string_split(text, ' ')) AS raw, unnest(range(len(string_split(text, ' ')))) AS pos FROM documents),
+_SPANS = r"""tok AS (SELECT doc_id AS chunk_id, unnest(regexp_split_to_array(text, '\s')) AS raw, unnest(range(len(regexp_split_to_array(text, '\s')))) AS pos FROM documents),
 dict AS (SELECT term, CASE WHEN length(term) % 2 = 0 THEN 'Drug' ELSE 'Disease' END AS entity_type, round(least(1.0, count(*) / 100), 2) AS confidence
- FROM (SELECT DISTINCT doc_id, unnest(string_split(lower(text), ' ')) AS term FROM documents) WHERE regexp_full_match(term, '[a-z]{6,}') GROUP BY 1 HAVING count(*) >= 10),
+ FROM (SELECT DISTINCT doc_id, unnest(regexp_split_to_array(lower(text), '\s+')) AS term FROM documents) WHERE regexp_full_match(term, '[a-z]{6,}') GROUP BY 1 HAVING count(*) >= 10),
 placed AS (SELECT *, coalesce(sum(length(raw) + 1) OVER (PARTITION BY chunk_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at_ FROM tok),
-trim_ AS (SELECT chunk_id, at_ + length(regexp_extract(raw, '^(\W*)', 1)) AS start, regexp_extract(raw, '^\W*(.*?)\W*$', 1) AS text FROM placed),
+trim_ AS (SELECT chunk_id, at_ + length(regexp_extract(raw, '^([^\p{L}\p{N}]*)', 1)) AS start, regexp_extract(raw, '^[^\p{L}\p{N}]*(.*?)[^\p{L}\p{N}]*$', 1) AS text FROM placed),
 spans AS (SELECT chunk_id, CAST(start AS INTEGER) AS start, CAST(start + length(text) AS INTEGER) AS "end", text, entity_type, confidence FROM trim_ JOIN dict ON lower(text) = term WHERE confidence >= 0.25)"""
+#: The greedy drop of wider spans: one after another by confidence and start, against those kept so far.
+_DROP = _SPANS + r""", ranked AS (SELECT *, "end" + 8 AS e, row_number() OVER (PARTITION BY chunk_id ORDER BY confidence DESC, start, "end" + 8, text, entity_type) AS n FROM spans),
+walk AS (SELECT chunk_id, n, [struct_pack(s := start, e := e, t := text, k := entity_type, c := confidence)] AS kept FROM ranked WHERE n = 1
+ UNION ALL SELECT r.chunk_id, r.n, CASE WHEN len(list_filter(w.kept, lambda x: x.s < r.e AND r.start < x.e{same})) > 0 THEN w.kept ELSE list_append(w.kept, struct_pack(s := r.start, e := r.e, t := r.text, k := r.entity_type, c := r.confidence)) END
+ FROM walk w JOIN ranked r ON r.chunk_id = w.chunk_id AND r.n = w.n + 1),
+last_ AS (SELECT chunk_id, unnest(kept) AS x FROM walk QUALIFY row_number() OVER (PARTITION BY chunk_id ORDER BY n DESC) = 1)
+SELECT chunk_id, x.s AS start, x.e AS "end", x.t AS text, x.c AS confidence FROM last_"""
+
+_TYPES = ["Drug", "Disease", "Symptom", "Gene", None, None, "Disease", "Procedure"]
+_HEADS = ["Disease", "Disease", "Gene", "Gene", "Drug", "Procedure", "Anatomy", "Physiology", "LivingBeing", None, "Symptom"]
+_ORDER = ["Symptom", "Disease", "Gene", "Drug", "Procedure", "Anatomy", "Physiology", "LivingBeing"]
+
+
+def _case(value: str, names: list) -> str:
+    return f"CASE {value} " + " ".join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(names) if x) + " END"
+
 
 SQL = {
+    "drop_false_positives": f"""WITH {_SPANS}, firsts AS (SELECT DISTINCT text FROM spans WHERE start = 0 ORDER BY text LIMIT 5) SELECT chunk_id, count(*) AS n FROM spans WHERE lower(text) NOT IN (SELECT lower(text) FROM firsts) GROUP BY 1""",
+    "label_to_type": rf"""WITH w AS (SELECT doc_id AS chunk_id, unnest(regexp_split_to_array(text, '\s+')) AS w FROM documents) SELECT chunk_id, {_case("length(w) % 8", _TYPES)} AS entity_type, count(*) AS n FROM w GROUP BY 1, 2""",
+    "is_valid_span": r"""WITH w AS (SELECT doc_id AS chunk_id, trim(unnest(string_split(text, ' '))) AS w FROM documents) SELECT chunk_id, count(*) AS n FROM w WHERE length(w) >= 2 AND NOT regexp_matches(w, '^\d+(\.\d+)?$')
+ AND NOT regexp_matches(w, '(?i)^\d+\s?(mg|ml|g|kg|ug|mcg|mmol|ng|iu|u|%)\b') AND NOT regexp_matches(w, '^[^\p{L}\p{N}_]+$') AND NOT regexp_matches(w, '^[()''"“”‘’`\-+,;./\\]') AND NOT regexp_matches(w, '[,;]$') GROUP BY 1""",
+    "mention_text": f"WITH {_SPANS} SELECT chunk_id, start, text AS cut, text FROM spans",
+    "concept_types": f"""WITH k AS (SELECT p_partkey, [{_case("p_partkey % 11", _HEADS)}, {_case("p_size % 11", _HEADS)}] AS k FROM part)
+SELECT p_partkey, coalesce({", ".join(f"CASE WHEN list_contains(k, '{x}') THEN '{x}' END" for x in _ORDER)}, 'Unknown') AS entity_type FROM k""",
+    "dedup_overlapping": "WITH RECURSIVE " + _DROP.replace("{same}", ""),
+    "span_drop": "WITH RECURSIVE " + _DROP.replace("{same}", " AND x.k = r.entity_type"),
+    "span_merge": f"""WITH RECURSIVE {_SPANS}, ranked AS (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY start, "end", text, entity_type, confidence) AS n FROM spans),
+walk AS (SELECT chunk_id, n, 1 AS g, start, "end" AS e, entity_type AS k, confidence AS c FROM ranked WHERE n = 1
+ UNION ALL SELECT r.chunk_id, r.n, CASE WHEN r.entity_type = w.k AND r.start <= w.e + 1 THEN w.g ELSE w.g + 1 END, CASE WHEN r.entity_type = w.k AND r.start <= w.e + 1 THEN w.start ELSE r.start END, r."end", r.entity_type,
+  CASE WHEN r.entity_type = w.k AND r.start <= w.e + 1 THEN greatest(w.c, r.confidence) ELSE r.confidence END FROM walk w JOIN ranked r ON r.chunk_id = w.chunk_id AND r.n = w.n + 1),
+last_ AS (SELECT * FROM walk QUALIFY row_number() OVER (PARTITION BY chunk_id, g ORDER BY n DESC) = 1)
+SELECT chunk_id, start, e AS "end", substr(documents.text, start + 1, e - start) AS text, k AS entity_type, c AS confidence FROM last_ JOIN documents ON doc_id = chunk_id""",
     "recognise": f"WITH {_SPANS} SELECT * FROM spans",
     "span_dedup": f"""WITH {_SPANS} SELECT chunk_id, lower(text) AS normalized, entity_type, confidence, start, 'MENTION:' || entity_type || ':' || lower(text) AS cui FROM spans
  QUALIFY row_number() OVER (PARTITION BY chunk_id, lower(text), entity_type ORDER BY confidence DESC, start) = 1""",

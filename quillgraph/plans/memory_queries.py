@@ -39,7 +39,7 @@ def memory_topk(spark, sf):
 
 
 def memory_evict(spark, sf):
-    kept = m.memory_evict(mentions(spark, sf), now(spark, sf), cap=10)
+    kept = m.memory_evict(mentions(spark, sf), now(spark, sf))
     return m.drop_orphans(events(spark, sf).select("user_id", F.col("event_id").alias("qa_id")), kept)
 
 
@@ -49,11 +49,11 @@ def quota_breach(spark, sf):
 
 
 def idle_sessions(spark, sf):
-    return m.idle_sessions(events(spark, sf), "user_id", "3600 seconds").select("user_id", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n")
+    return m.idle_sessions(events(spark, sf), "user_id").select("user_id", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n")
 
 
 def query_reuse(spark, sf):
-    return m.query_reuse(touches(spark, sf), "cui", 36_000)
+    return m.query_reuse(touches(spark, sf), "cui")
 
 
 def concurrency_peak(spark, sf):
@@ -65,6 +65,11 @@ def messages(spark, sf):
     return spark.read.parquet(f"{sf}/conversations.parquet").select(F.col("conv_id").alias("session_id"), F.col("turn").alias("created_at"), "role", F.col("text").alias("content"))
 
 
+def session_list(spark, sf):
+    """Ten conversations to a user."""
+    return m.session_list(messages(spark, sf).withColumn("user_id", F.floor(F.col("session_id") / 10).cast("long"))).withColumnRenamed("first_message", "first")
+
+
 def session_messages(spark, sf):
     rows = m.session_messages(messages(spark, sf))
     return rows.select("session_id", F.size("messages").cast("long").alias("n"), F.md5(F.array_join(F.transform("messages", lambda x: F.concat_ws(":", x["role"], x["content"])), "|")).alias("digest"))
@@ -83,7 +88,7 @@ QUERIES = {
     "idle_sessions": idle_sessions,
     "query_reuse": query_reuse,
     "concurrency_peak": concurrency_peak,
-    "session_list": lambda s, d: m.session_list(messages(s, d)),
+    "session_list": session_list,
     "session_messages": session_messages,
     "history_window": history_window,
 }
@@ -99,20 +104,21 @@ SQL = {
  s AS (SELECT user_id, cui, {_DECAY.format('last', 'weight')} AS score FROM i) SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, cui) AS rank FROM s QUALIFY rank <= 5""",
     "memory_topk": f"""WITH {_MENTIONS}, s AS (SELECT user_id, qa_id, max({_DECAY.format('last_accessed', 'weight')}) AS score FROM mentions WHERE cui = user_id % 5 GROUP BY 1, 2)
  SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, qa_id) AS rank FROM s QUALIFY rank <= 5""",
-    "memory_evict": f"""WITH {_MENTIONS}, kept AS (SELECT * FROM mentions QUALIFY row_number() OVER (PARTITION BY user_id, cui ORDER BY {_DECAY.format('last_accessed', 'weight')} DESC, qa_id) <= 10)
+    "memory_evict": f"""WITH {_MENTIONS}, kept AS (SELECT * FROM mentions QUALIFY row_number() OVER (PARTITION BY user_id, cui ORDER BY {_DECAY.format('last_accessed', 'weight')} DESC, qa_id) <= 20)
  SELECT DISTINCT user_id, qa_id FROM kept""",
     "quota_breach": """WITH r AS (SELECT ts::DATE::VARCHAR AS day, user_id, event_type FROM events WHERE user_id % 50 <> 0),
  l AS (SELECT day, 'global' AS level, 'all' AS bucket FROM r UNION ALL SELECT day, 'client', user_id::VARCHAR FROM r UNION ALL SELECT day, 'key', event_type FROM r)
  SELECT day, level, bucket, count(*) AS n, coalesce(count(*) > CASE level WHEN 'global' THEN 80 WHEN 'client' THEN 4 END, false) AS over_limit FROM l GROUP BY 1, 2, 3""",
-    "idle_sessions": """WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 3600 SECONDS THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+    "idle_sessions": """WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 120 SECONDS THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
  s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM g)
  SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n FROM s GROUP BY user_id, s""",
     "query_reuse": f"""WITH RECURSIVE e AS (SELECT {_K} AS cui, epoch(date_trunc('second', ts))::BIGINT AS t FROM events),
- m AS (SELECT cui, min(t) AS since FROM e GROUP BY 1 UNION ALL SELECT m.cui, min(e.t) FROM m JOIN e ON e.cui = m.cui AND e.t > m.since + 36000 GROUP BY m.cui, m.since)
+ m AS (SELECT cui, min(t) AS since FROM e GROUP BY 1 UNION ALL SELECT m.cui, min(e.t) FROM m JOIN e ON e.cui = m.cui AND e.t > m.since + 3600 GROUP BY m.cui, m.since)
  SELECT cui, (SELECT count(*) FROM e WHERE e.cui = m.cui) - count(*) AS hits, count(*) AS misses FROM m GROUP BY cui""",
     "concurrency_peak": """WITH x AS (SELECT event_type, epoch_us(ts) AS t_, 1 AS d FROM events UNION ALL SELECT event_type, epoch_us(ts) + floor(value * 1000)::BIGINT * 1000000, -1 FROM events),
  a AS (SELECT event_type, sum(d) OVER (PARTITION BY event_type ORDER BY t_, d ROWS UNBOUNDED PRECEDING) AS active FROM x) SELECT event_type, CAST(max(active) AS BIGINT) AS peak FROM a GROUP BY 1""",
-    "session_list": "SELECT conv_id AS session_id, count(*) AS n, arg_min(text, turn) AS first_message FROM conversations GROUP BY 1",
+    "session_list": """WITH s AS (SELECT conv_id // 10 AS user_id, conv_id AS session_id, count(*) AS n, arg_min(text, turn) AS first, max(turn) AS updated_at FROM conversations GROUP BY 1, 2)
+ SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY updated_at DESC, session_id) AS place FROM s""",
     "session_messages": "SELECT conv_id AS session_id, count(*) AS n, md5(string_agg(role || ':' || text, '|' ORDER BY turn)) AS digest FROM conversations GROUP BY 1",
     "history_window": """WITH l AS (SELECT conv_id, turn, list(CASE WHEN role = 'user' THEN 'User: ' ELSE 'Assistant: ' END || text) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) AS h FROM conversations)
  SELECT conv_id AS session_id, turn AS created_at, md5(coalesce(array_to_string(h, chr(10)), '')) AS digest FROM l""",

@@ -160,8 +160,9 @@ def gold_found(spark, sf):
 def overlap_match(spark, sf):
     """One gold entity a sample and one prediction: the order's first and last line."""
     gold, predicted = _gold(spark, sf)
-    first = gold.groupBy("sample").agg(F.min_by("text", "l_linenumber").alias("text"), F.min_by("entity_type", "l_linenumber").alias("entity_type"))
-    last = predicted.groupBy("sample").agg(F.max_by("text", "l_linenumber").alias("text"), F.max_by("entity_type", "l_linenumber").alias("entity_type"))
+    row = F.struct("l_linenumber", "text", "entity_type")
+    first = gold.groupBy("sample").agg(F.min(row).alias("x")).select("sample", "x.text", "x.entity_type")
+    last = predicted.groupBy("sample").agg(F.max(row).alias("x")).select("sample", "x.text", "x.entity_type")
     return l.overlap_match(first, last)
 
 
@@ -361,8 +362,8 @@ SELECT q::VARCHAR AS question, pos, CASE WHEN late THEN 'x' END AS extra FROM r
  UNION ALL SELECT c_custkey, c_name, true FROM customer UNION ALL SELECT s_suppkey, s_name, true FROM supplier WHERE s_suppkey NOT IN (SELECT c_custkey FROM customer)""",
     "with_communities": """WITH a AS (SELECT DISTINCT l_suppkey AS cui FROM lineitem UNION ALL SELECT -n_nationkey - 1 FROM nation) SELECT cui, coalesce('n' || s_nationkey, '') AS communities FROM a LEFT JOIN supplier ON s_suppkey = cui""",
     "gold_found": f"WITH {_GOLD} SELECT sample, cui, n AS l_linenumber, EXISTS (SELECT 1 FROM gold p WHERE p.n % 3 <> 0 AND p.sample = gold.sample AND p.cui = gold.cui) AS found FROM gold",
-    "overlap_match": f"""WITH {_GOLD}, g AS (SELECT sample, arg_min(text, n) AS text, arg_min(entity_type, n) AS k FROM gold GROUP BY 1),
- p AS (SELECT sample, 'so ' || arg_max(text, n) AS text, arg_max(entity_type, n) AS k FROM gold WHERE n % 3 <> 0 GROUP BY 1),
+    "overlap_match": f"""WITH {_GOLD}, g AS (SELECT sample, arg_min(text, (n, text, entity_type)) AS text, arg_min(entity_type, (n, text, entity_type)) AS k FROM gold GROUP BY 1),
+ p AS (SELECT sample, 'so ' || arg_max(text, (n, text, entity_type)) AS text, arg_max(entity_type, (n, text, entity_type)) AS k FROM gold WHERE n % 3 <> 0 GROUP BY 1),
  j AS (SELECT g.sample, g.text AS gt, g.k AS gk, p.text AS pt, p.k AS pk, coalesce(g.k = p.k AND (contains(replace(lower(p.text), ' ', ''), lower(g.text)) OR contains(lower(g.text), replace(lower(p.text), ' ', ''))), false) AS hit FROM g LEFT JOIN p USING (sample))
 SELECT sample, pt AS text, pk AS entity_type, hit AS gold, true AS predicted FROM j WHERE pt IS NOT NULL UNION ALL SELECT sample, gt, gk, true, false FROM j WHERE NOT hit""",
     "semantic_concept_search": """WITH s AS (SELECT q.vec_id AS query_id, e.vec_id AS item_id, e.label AS k, CASE WHEN q.vec_id % 300 > 0 THEN (q.label + 1) % 10 END AS want,
