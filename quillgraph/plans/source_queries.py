@@ -23,8 +23,10 @@ def month_ranges(spark, sf):
 
 
 def link_select(spark, sf):
-    """Links named "the" become product PDFs; which pages have one."""
-    html = F.replace("html", F.lit('href="/the"'), F.lit('href="/product-information/the.pdf"'))
+    """Links of the pages as they are, under each page one to a product PDF by each of the patterns, and one that none fits."""
+    more = ['<a href="/x/1">English (EN)</a>', '<a class="k" href="/product-information/%d">Read <b>English (EN)</b></a>', '<A HREF="https://x.org/%d.pdf"> The  product information </A>', '<a href="/product-information/%d.pdf">here</a>', '<a href="/%d.pdf">leaflet</a>']
+    own = F.element_at(F.array(*[F.lit(x) for x in more]), (F.col("page_id") % len(more) + 1).cast("int"))
+    html = F.concat("html", F.replace(own, F.lit("%d"), F.col("page_id").cast("string")), F.when(F.col("page_id") % 7 == 0, '<a href="/product-information/late.pdf">z</a>').otherwise(""))
     return table(spark, sf, "pages").select("page_id", s.product_link(html).alias("link"))
 
 
@@ -93,7 +95,15 @@ SQL = {
     "month_ranges": """WITH s AS (SELECT o_custkey, min(o_orderdate)::DATE AS a, max(o_orderdate)::DATE AS b FROM orders GROUP BY 1),
  m AS (SELECT o_custkey, a, b, unnest(generate_series(date_trunc('month', a)::TIMESTAMP, b::TIMESTAMP, INTERVAL 1 MONTH))::DATE AS m FROM s)
 SELECT o_custkey, greatest(a, m)::VARCHAR AS start, least(last_day(m), b)::VARCHAR AS stop FROM m""",
-    "link_select": """SELECT page_id, CASE WHEN contains(html, '<a href="/the">') THEN 'https://example.org/product-information/the.pdf' END AS link FROM pages""",
+    "link_select": """WITH p AS (SELECT page_id, page_id % 5 AS k, page_id % 7 = 0 AS late FROM pages)
+SELECT page_id, CASE WHEN k = 1 THEN 'https://example.org/product-information/' || page_id WHEN k = 2 THEN 'https://x.org/' || page_id || '.pdf' WHEN k = 3 THEN 'https://example.org/product-information/' || page_id || '.pdf'
+ WHEN late THEN 'https://example.org/product-information/late.pdf' END AS link FROM p""",
+    "point_ids": """WITH h AS (SELECT p_partkey, sha1(from_hex('6ba7b8129dad11d180b400c04fd430c8') || encode('P' || p_partkey)) AS h FROM part)
+SELECT p_partkey, 36 AS n, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || ['8', '9', 'a', 'b'][('0x' || substr(h, 17, 1))::INT % 4 + 1] || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS id FROM h""",
+    "markdown_sections": r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents),
+ g AS (SELECT doc_id, i // 5 AS n, string_agg(x, chr(10) ORDER BY i) FILTER (WHERE i % 5 > 0) AS body FROM l GROUP BY 1, 2),
+ h AS (SELECT doc_id, n, n % 3 + 1 AS level, regexp_replace(coalesce(body, ''), '^\s+|\s+$', '', 'g') AS content FROM g)
+SELECT doc_id, n + 1 AS ordinal, CASE level WHEN 1 THEN 'H' || n * 5 WHEN 2 THEN 'H' || (n - 1) * 5 || ' > H' || n * 5 ELSE 'H' || (n - 2) * 5 || ' > H' || (n - 1) * 5 || ' > H' || n * 5 END AS section_path, level, md5(content) AS digest FROM h WHERE content <> ''""",
     "recency_label": """WITH d AS (SELECT event_id, date_diff('day', ts::DATE, (SELECT max(ts)::DATE FROM events)) * 3 AS n FROM events)
 SELECT event_id, CASE WHEN n < 1 THEN 'today' WHEN n < 30 THEN n || 'd ago' ELSE (n // 30) || 'mo ago' END AS "when" FROM d""",
     "parent_backfill": r"""WITH p AS (SELECT doc_id, text, list_filter(list_transform(regexp_split_to_array(text, '\n+'), lambda p: regexp_replace(p, '^\s+|\s+$', '', 'g')), lambda p: p <> '') AS ps FROM documents),

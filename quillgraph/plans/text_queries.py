@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as t
+from ..functions import vocabulary as v
 
 LINE = r"\n+"
 
@@ -21,10 +22,62 @@ def chunks(spark, sf):
 
 
 def normalize_text(spark, sf):
-    """Dosing phrases appended to each document's first words, normalised by its language."""
-    phrase = F.element_at(F.array(*[F.lit(x) for x in ("500mg twice daily", "2x täglich 0.5Grams", "每日三次 50毫克", "as needed 10 ml")]), (F.col("doc_id") % 4 + 1).cast("int"))
-    rows = docs(spark, sf).select("doc_id", F.concat(F.substring_index("text", " ", 3), F.lit(" "), phrase).alias("raw"), F.element_at(F.array(*[F.lit(x) for x in ("en", "de", "zh", "en")]), (F.col("doc_id") % 4 + 1).cast("int")).alias("lang"))
-    return rows.select("doc_id", t.normalize(F.col("raw"), F.col("lang")).alias("normalized"))
+    """Whole texts, normalised by their language; conversations too."""
+    rows = docs(spark, sf).select(F.concat(F.lit("d"), "doc_id").alias("id"), "text", F.col("lang"))
+    turns = spark.read.parquet(f"{sf}/conversations.parquet").select(F.concat_ws("-", "conv_id", "turn").alias("id"), "text", F.lit("en").alias("lang"))
+    return rows.unionByName(turns).select("id", F.md5(t.normalize(F.col("text"), F.col("lang"))).alias("digest"))
+
+
+def dosed(spark, sf):
+    """Line items as dosing lines: a quantity with a unit by the line's number, and a frequency by its supplier."""
+    line = spark.read.parquet(f"{sf}/lineitem.parquet")
+    units, often = ["mg", "Milligrams", "mcg", "µg", "ml", "grams", "IU", "units", "percent"], ["twice daily", "3x daily", "q.i.d", "once a day", "every 4 hours", "as needed", "at bedtime", "never"]
+    pick = lambda xs, n: F.element_at(F.array(*[F.lit(x) for x in xs]), (n % len(xs) + 1).cast("int"))
+    text = F.concat(F.lit("Take "), F.col("l_quantity").cast("int").cast("string"), pick(units, F.col("l_partkey")), F.lit(" "), pick(often, F.col("l_suppkey")), F.lit("."))
+    return line.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", text.alias("text"))
+
+
+def dose_lines(spark, sf):
+    return dosed(spark, sf).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", t.normalize(F.col("text"), F.lit("en")).alias("normalized"))
+
+
+def dose_table(spark, sf):
+    """Distinct sentences with a dose, and whether normalising changes them."""
+    rows = dosed(spark, sf).select(F.concat("text", F.lit(" And no dose here. "), "text").alias("text"), F.lit("en").alias("lang"))
+    return t.dose_table(rows, "text", "lang").select("sentence", "normalized", "changed")
+
+
+def detect_language(spark, sf):
+    return docs(spark, sf).select("doc_id", t.detect_language(F.col("text")).alias("language"))
+
+
+def chosen_sections(spark, sf):
+    """Documents' first lines as abstracts; every third one has sections, every fourth one says nothing else."""
+    rows = docs(spark, sf).withColumn("abstract", F.when(F.col("doc_id") % 5 > 0, F.substring_index("text", "\n", 1)))
+    own = F.array(F.struct(F.lit("Own").alias("section_path"), F.col("source").alias("content")))
+    full = F.when(F.col("doc_id") % 4 == 0, F.col("abstract")).otherwise(F.col("text"))
+    chosen = t.choose_sections(F.when(F.col("doc_id") % 3 == 0, own), F.col("abstract"), full)
+    return rows.select("doc_id", F.posexplode(chosen).alias("pos", "x")).select("doc_id", F.col("pos").cast("long").alias("pos"), "x.section_path", F.md5("x.content").alias("digest"))
+
+
+def qa_sources(spark, sf):
+    """Documents' lines as sections titled by their place; references are skipped."""
+    parts = F.transform(F.split("text", "\n"), lambda x, i: F.struct(F.when(i % 3 == 1, "The References").otherwise("Body").alias("title"), x.alias("content")))
+    rows = docs(spark, sf).select("doc_id", F.posexplode(t.qa_source(parts, F.col("text"), ["reference"])).alias("pos", "x"))
+    return rows.select("doc_id", F.col("pos").cast("long").alias("pos"), F.md5("x").alias("digest"))
+
+
+def parsable(spark, sf):
+    """Documents' formats by their ids; paths are missing for some."""
+    kinds = F.element_at(F.array(*[F.lit(x) for x in ("text", "xml", "pdf", "html")]), (F.col("doc_id") % 4 + 1).cast("int"))
+    rows = docs(spark, sf).withColumns({"format": kinds, "path": F.when(F.col("doc_id") % 3 > 0, F.col("source"))})
+    return rows.groupBy("format", t.can_be_parsed(F.col("format"), F.col("path")).alias("kept")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def provisional(spark, sf):
+    """Words as provisional concepts, read back from their ids."""
+    w = docs(spark, sf).select("doc_id", F.explode(F.array_distinct(F.split(F.lower("text"), r"\s+"))).alias("w")).where("not contains(w, ':') and w <> ''")
+    return w.select("w", t.provisional_text(t.provisional_id(F.lit("Drug"), F.col("w"))).alias("back")).distinct()
 
 
 def language_detected(spark, sf):
@@ -59,12 +112,19 @@ def truncated(spark, sf):
 
 
 def cache_keys(spark, sf):
-    return docs(spark, sf).select("doc_id", t.query_cache_key(F.substring("text", 1, 200), F.col("lang")).alias("key"))
+    return docs(spark, sf).select("doc_id", t.query_cache_key(F.col("text"), F.col("lang")).alias("key"))
 
 
 QUERIES = {
     "chunk_greedy": chunks,
     "normalize_text": normalize_text,
+    "normalize_doses": dose_lines,
+    "dose_sentences": dose_table,
+    "detect_language": detect_language,
+    "choose_text": chosen_sections,
+    "qa_source_filter": qa_sources,
+    "format_filter": parsable,
+    "provisional_id": provisional,
     "detect_query_language": language_detected,
     "token_estimate": token_estimate,
     "junk_filter": junk_filter,
@@ -77,7 +137,53 @@ QUERIES = {
 
 _LINES = r"""lines AS (SELECT doc_id, unnest(list_filter(list_transform(regexp_split_to_array(text, '\n+'), lambda p: regexp_replace(p, '^\s+|\s+$', '', 'g')), lambda p: p <> '')) AS line FROM documents)"""
 
+def _quoted(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+def _normalized(text: str, lang: str) -> str:
+    """The rules one after another, in the other engine; it has no look-ahead, so a unit takes the sign after it along."""
+
+    def rules(of, flags):
+        out = text
+        for code, patterns in of:
+            for p in patterns:
+                out = f"regexp_replace({out}, {_quoted(flags + p)}, '{code}', 'g')"
+        return out
+
+    x = f"CASE {lang} WHEN 'de' THEN {rules(v.FREQUENCY_DE, '(?i)')} WHEN 'zh' THEN {rules(v.FREQUENCY_ZH, '')} ELSE {rules(v.FREQUENCY_EN, '(?i)')} END"
+    number = _quoted(r"(?i)(\d+(?:[.,]\d+)?)\s*(" + v.UNIT_ALTERNATIVES + r")([^a-zA-Z]|$)")
+    x = f"regexp_replace({x}, {number}, '\\1 ' || chr(1) || '\\2' || chr(2) || '\\3', 'g')"
+    for unit, names in v.UNITS.items():
+        x = f"regexp_replace({x}, '(?i)' || chr(1) || {_quoted('(?:' + '|'.join(names) + ')')} || chr(2), '{unit}', 'g')"
+    for kept in ("mg", "mcg", "g", "ng", "unit", "units", "percent", "%"):
+        x = f"regexp_replace({x}, '(?i)' || chr(1) || '{kept}' || chr(2), '{kept}', 'g')"
+    return x
+
+
+_DOSED = """line AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, 'Take ' || l_quantity::INT || ['mg', 'Milligrams', 'mcg', 'µg', 'ml', 'grams', 'IU', 'units', 'percent'][l_partkey % 9 + 1] || ' ' ||
+ ['twice daily', '3x daily', 'q.i.d', 'once a day', 'every 4 hours', 'as needed', 'at bedtime', 'never'][l_suppkey % 8 + 1] || '.' AS text FROM lineitem)"""
+_UNIT, _OFTEN = "['mg', 'mg', 'mcg', 'mcg', 'mL', 'g', 'IU', 'units', 'percent'][l_partkey % 9 + 1]", "['bid', 'tid', 'qid', 'qd', 'q4h', 'prn', 'qhs', 'never'][l_suppkey % 8 + 1]"
+_STOPS = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
+_VOTES = lambda words: f"len(list_filter(w, lambda x: list_contains({_STOPS(words)}, x)))"
+
 SQL = {
+    "normalize_text": f"""WITH r AS (SELECT 'd' || doc_id AS id, text, lang FROM documents UNION ALL SELECT conv_id || '-' || turn, text, 'en' FROM conversations) SELECT id, md5({_normalized("text", "lang")}) AS digest FROM r""",
+    "normalize_doses": f"WITH {_DOSED} SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, 'Take ' || regexp_extract(text, '[0-9]+') || ' ' || {_UNIT} || ' ' || {_OFTEN} || '.' AS normalized FROM line",
+    "dose_sentences": f"""WITH {_DOSED}, s AS (SELECT DISTINCT trim(regexp_extract(text, '^[^.]*'), ' .') AS sentence, 'Take ' || regexp_extract(text, '[0-9]+') || ' ' || {_UNIT} || ' ' || CASE WHEN l_suppkey % 8 = 2 THEN 'q' ELSE {_OFTEN} END AS normalized FROM line)
+SELECT sentence, normalized, sentence <> normalized AS changed FROM s""",
+    "detect_language": rf"""WITH d AS (SELECT doc_id, text, list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '') AS w FROM documents)
+SELECT doc_id, CASE WHEN length(text) < 2 THEN 'en' WHEN regexp_matches(text, '[\x{{4e00}}-\x{{9fff}}]') THEN 'zh' WHEN {_VOTES(v.STOP_DE)} > {_VOTES(v.STOP_EN)} THEN 'de' ELSE 'en' END AS language FROM d""",
+    "choose_text": """WITH d AS (SELECT doc_id, text, source, CASE WHEN doc_id % 5 > 0 THEN split_part(text, chr(10), 1) END AS a FROM documents),
+ f AS (SELECT *, CASE WHEN doc_id % 4 = 0 THEN a ELSE text END AS whole FROM d),
+ x AS (SELECT doc_id, unnest(CASE WHEN doc_id % 3 = 0 THEN [{'p': 'Own', 'c': source, 'ok': true}] ELSE [{'p': 'Abstract', 'c': a, 'ok': coalesce(a, '') <> ''}, {'p': 'Body', 'c': whole, 'ok': whole IS NOT NULL AND whole <> '' AND coalesce(a, '') <> whole}] END) AS x, unnest(range(CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 2 END)) AS i FROM f)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS pos, x.p AS section_path, md5(x.c) AS digest FROM x WHERE x.ok""",
+    "qa_source_filter": """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents), g AS (SELECT * FROM l WHERE i % 3 <> 1 AND length(x) > 100),
+ h AS (SELECT doc_id, text, substr(text, 1, 3000) AS head FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM g)),
+ c AS (SELECT *, greatest(CASE WHEN contains(head, '. ') THEN length(head) - instr(reverse(head), ' .') ELSE 0 END, CASE WHEN contains(head, chr(10)) THEN length(head) - instr(reverse(head), chr(10)) + 1 ELSE 0 END) AS cut FROM h)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS pos, md5(x) AS digest FROM g UNION ALL SELECT doc_id, 0, md5(CASE WHEN length(text) <= 3000 THEN text WHEN cut > 2000 THEN substr(head, 1, cut) ELSE head END) FROM c""",
+    "format_filter": """WITH d AS (SELECT ['text', 'xml', 'pdf', 'html'][doc_id % 4 + 1] AS format, doc_id % 3 > 0 AND source IS NOT NULL AS has FROM documents) SELECT format, format IN ('text', 'xml') OR (format = 'pdf' AND has) AS kept, count(*) AS n FROM d GROUP BY 1, 2""",
+    "provisional_id": r"""WITH w AS (SELECT DISTINCT unnest(regexp_split_to_array(lower(text), '\s+')) AS w FROM documents) SELECT w, w AS back FROM w WHERE w <> '' AND NOT contains(w, ':')""",
     "detect_query_language": r"""SELECT doc_id, CASE WHEN length(regexp_replace(text, '[^\p{L}]', '', 'g')) = 0 THEN NULL
  WHEN length(regexp_replace(text, '[^\x{4e00}-\x{9fff}\x{3400}-\x{4dbf}]', '', 'g')) / length(regexp_replace(text, '[^\p{L}]', '', 'g')) > 0.3 THEN 'zh'
  WHEN regexp_matches(text, '[äöüßÄÖÜ]') THEN 'de' ELSE 'en' END AS language FROM documents""",
@@ -93,5 +199,5 @@ SELECT doc_id, CASE WHEN bare = '' THEN 'Medical Reference' WHEN length(bare) >
     "truncate_at_sentence": r"""WITH h AS (SELECT doc_id, text, substr(text, 1, 3000) AS head FROM documents),
 c AS (SELECT *, greatest(CASE WHEN contains(head, '. ') THEN length(head) - instr(reverse(head), ' .') ELSE 0 END, CASE WHEN contains(head, chr(10)) THEN length(head) - instr(reverse(head), chr(10)) + 1 ELSE 0 END) AS cut FROM h)
 SELECT doc_id, CASE WHEN length(text) <= 3000 THEN length(text) WHEN cut > 2000 THEN cut ELSE length(head) END AS chars FROM c""",
-    "query_cache_key": r"""SELECT doc_id, 'ner:' || lang || ':' || substr(sha256(lower(trim(substr(text, 1, 200)))), 1, 16) AS key FROM documents""",
+    "query_cache_key": r"""SELECT doc_id, 'ner:' || lang || ':' || substr(sha256(nfc_normalize(lower(trim(text)))), 1, 16) AS key FROM documents""",
 }
