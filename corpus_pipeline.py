@@ -39,7 +39,7 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     marked = docs.withColumn("row_", F.xxhash64(*docs.columns, *[F.col(c).isNull() for c in docs.columns]))
     sets = store(shingle_sets(marked, ["doc_id", "row_"]), "near-shingles")
     group = F.coalesce("component", "sig").alias("group")
-    rows = sets.select("doc_id", "sig", "row_").join(similar_components(sets), "sig", "left").select(group, "doc_id", "sig", "row_")
+    rows = sets.select("doc_id", "sig", "row_").join(similar_components(sets, docs), "sig", "left").select(group, "doc_id", "sig", "row_")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "sig", "row_")).alias("x")
     kept = store(rows.groupBy("group").agg(first).select("x.row_"), "near-kept")
     # rows that are equal as a whole: one of them

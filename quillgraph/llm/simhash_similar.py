@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import VECTOR_SCHEMA, blank, store, vector_rows, vector_sum
+from .common import VECTOR_SCHEMA, blank, discard, store, vector_rows, vector_sum
 from .components import connected_components
 from .simhash_dedup import SEED, BKTree, hashes_fingerprint, shingle_hashes
 
@@ -44,85 +44,85 @@ ROUNDS = 1
 RADIUS = 12
 #: Fingerprints of one tree.
 SHARD_ROWS = 4096
-#: Sets that a task remembers, to give each one's shingles once.
+#: Sets that a task remembers, to give each one once.
 REMEMBERED = 500_000
 
 
-def _flat(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
-    """All values, and where each row's begin and end."""
-    offsets = column.offsets.to_numpy()
-    return column.flatten().to_numpy().view(np.uint64), offsets - offsets[0]
+def _hashed(texts: pa.Array) -> Iterator[tuple[np.ndarray, int]]:
+    """Each text's set of shingle hashes, sorted, and the set's hash."""
+    for t in texts:
+        hashes = np.unique(shingle_hashes(t.as_py(), WIDTH))
+        yield hashes, xxhash.xxh64_intdigest(hashes.tobytes(), SEED)
 
 
-def shingle_sets(docs: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
-    """Columns ``keep``, ``sig`` (hash of the set), ``fp`` (its SimHash), ``shingles`` (sorted) of every row; no shuffle."""
-    rows = docs.select(*keep, blank(F.col(text_col)).alias("text_"))
-    zero = F.lit(0).cast("long")
-    schema = rows.select(*keep, zero.alias("sig"), zero.alias("fp"), F.array(zero).alias("shingles")).schema
+def _signed(numbers: list[int]) -> pa.Array:
+    return pa.array(np.array(numbers, np.uint64).view(np.int64))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                sets = [np.unique(shingle_hashes(t.as_py(), WIDTH)) for t in part.column(len(keep))]
-                sig = np.fromiter((xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets), np.uint64, len(sets))
-                fp = np.fromiter(map(hashes_fingerprint, sets), np.uint64, len(sets))
-                ends = np.cumsum([0, *map(len, sets)], dtype=np.int32)
-                lists = pa.ListArray.from_arrays(ends, np.concatenate(sets).view(np.int64))
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(sig.view(np.int64)), pa.array(fp.view(np.int64)), lists], [*keep, "sig", "fp", "shingles"])
 
-    return rows.mapInArrow(run, schema)
+def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, arrays)], dtype=np.int32)
+    return pa.ListArray.from_arrays(ends, np.concatenate(arrays).astype(np.uint64).view(np.int64))
+
 
+def _bucket(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
 
-def _bucket_counts(sets: DataFrame) -> np.ndarray:
+
+def _bucket_counts(texts: DataFrame) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << BUCKET_BITS)
         for batch in batches:
-            values, _ = _flat(batch.column(0))
-            counts += np.bincount((values >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), minlength=len(counts))
+            for hashes, _ in _hashed(batch.column(0)):
+                counts += np.bincount(_bucket(hashes), minlength=len(counts)) if len(hashes) > 4096 else 0
+                if len(hashes) <= 4096:
+                    np.add.at(counts, _bucket(hashes), 1)
         yield vector_rows(counts)
 
-    return vector_sum(sets.select("shingles").mapInArrow(run, VECTOR_SCHEMA), 1 << BUCKET_BITS)
+    return vector_sum(texts.mapInArrow(run, VECTOR_SCHEMA), 1 << BUCKET_BITS)
 
 
-def leading(sets: DataFrame) -> DataFrame:
-    """``key, sig, fp, n, at, most``: the shingles of which two similar sets share one, their places in the common order, and how many sets lead with each."""
-    shared = sets.sparkSession.sparkContext.broadcast(_bucket_counts(sets))  # of fixed size
+def _texts(docs: DataFrame, text_col: str) -> DataFrame:
+    return docs.select(blank(F.col(text_col)).alias("text_"))
+
+
+def shingle_sets(docs: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
+    """Columns ``keep``, ``sig`` (hash of the set), ``fp`` (its SimHash), ``n`` (its size), ``keys`` (its leading shingles) of every row; no shuffle.
+
+    The sets themselves are not stored, as they are larger than the texts: what is compared is hashed again.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(_bucket_counts(_texts(docs, text_col)))  # of fixed size
+    rows = docs.select(*keep, blank(F.col(text_col)).alias("text_"))
+    zero = F.lit(0).cast("long")
+    schema = rows.select(*keep, zero.alias("sig"), zero.alias("fp"), F.lit(0).alias("n"), F.array(zero).alias("keys")).schema
+
+    def leading_of(hashes: np.ndarray) -> np.ndarray:
+        first = len(hashes) + 1 + (-4 * len(hashes)) // 5 if len(hashes) else 0  # n - ceil(0.8 n) + 1
+        return hashes[np.lexsort((hashes, shared.value[_bucket(hashes)]))[:first]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, seen = shared.value, set()
         for batch in batches:
-            sigs = batch.column(0).to_numpy()
-            fps = batch.column(1).to_numpy()
-            values, ends = _flat(batch.column(2))
-            weights = counts[(values >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)]
-            keys, rows = [np.zeros(0, np.uint64)], []
-            for i, sig in enumerate(sigs.tolist()):
-                a, b = int(ends[i]), int(ends[i + 1])
-                if a == b or sig in seen:
-                    continue
-                if len(seen) < REMEMBERED:
-                    seen.add(sig)
-                first = b - a + 1 + (-4 * (b - a)) // 5  # n - ceil(0.8 n) + 1
-                keys.append(values[a:b][np.lexsort((values[a:b], weights[a:b]))[:first]])
-                rows.append((sig, fps[i], b - a, first))
-            sig, fp, n, times = np.array(rows, np.int64).reshape(-1, 4).T
-            at = np.concatenate([np.arange(0), *map(np.arange, times)])
-            out = [np.concatenate(keys).view(np.int64), np.repeat(sig, times), np.repeat(fp, times), np.repeat(n, times).astype(np.int32), at.astype(np.int32)]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], ["key", "sig", "fp", "n", "at"])
-
-    every = sets.select("sig", "fp", "shingles").mapInArrow(run, "key long, sig long, fp long, n int, at int")
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                sets, sigs = zip(*_hashed(part.column(len(keep))), strict=True)
+                made = [_signed(list(sigs)), _signed([hashes_fingerprint(s) for s in sets]), pa.array([len(s) for s in sets], pa.int32()), _lists([leading_of(s) for s in sets])]
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *made], [*keep, "sig", "fp", "n", "keys"])
+
+    return rows.mapInArrow(run, schema)
+
+
+def leading(sets: DataFrame) -> DataFrame:
+    """``key, sig, fp, n, at, most``: the shingles of which two similar sets share one, their places in the common order, and how many sets lead with each."""
+    every = sets.select("sig", "fp", "n", F.posexplode("keys").alias("at", "key")).repartition("key").dropDuplicates(["key", "sig"])
     same = Window.partitionBy("key")
-    once = every.repartition("key").dropDuplicates(["key", "sig"])
-    return once.withColumn("most", F.count(F.lit(1)).over(same)).where("most > 1")
+    return every.withColumn("most", F.count(F.lit(1)).over(same).cast("int")).where("most > 1").select("key", "sig", "fp", "n", "at", "most")
 
 
 #: Places in the common order leave room for as many common shingles as 0.8 takes (at a pair's first common shingle, they do).
 ROOM = "9L * least(x.n - x.at, y.n - y.at) >= 4L * (x.n + y.n)"
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of ``pairs(a, b)`` whose sets have a Jaccard similarity of 0.8 or more."""
+def _verified(pairs: DataFrame, docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """Those of ``pairs(a, b)`` whose sets have a Jaccard similarity of 0.8 or more, stored. Only sets that are in a pair leave the texts' tasks."""
     pairs = store(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-pairs")
     slot = F.col("sig").bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
     ids = pairs.select(F.explode(F.array("a", "b")).alias("sig"))
@@ -130,25 +130,32 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     found = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
     mask = np.zeros(1 << (FILTER_BITS - 5), np.int64)  # of fixed size
     mask[found.column("word").to_numpy()] = found.column("bits").to_numpy()
-    shared = sets.sparkSession.sparkContext.broadcast(mask)
+    shared = docs.sparkSession.sparkContext.broadcast(mask)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = set()
+        seen, sigs, sets, held = set(), [], [], 0
         for batch in batches:
-            sig = batch.column(0).to_numpy()
-            place = sig & ((1 << FILTER_BITS) - 1)
-            take = (shared.value[place >> 5] >> (place & 31) & 1).astype(bool)
-            for i in np.flatnonzero(take).tolist():
-                take[i] = (s := int(sig[i])) not in seen
+            for hashes, sig in _hashed(batch.column(0)):
+                place = sig & ((1 << FILTER_BITS) - 1)
+                if not int(shared.value[place >> 5]) >> (place & 31) & 1 or sig in seen:
+                    continue
                 if len(seen) < REMEMBERED:
-                    seen.add(s)
-            yield batch.filter(pa.array(take))
-
-    wanted = sets.select("sig", "shingles")
-    wanted = store(wanted.mapInArrow(run, wanted.schema).dropDuplicates(["sig"]), "near-sets")
+                    seen.add(sig)
+                sigs.append(sig)
+                sets.append(hashes)
+                held += len(hashes)
+                if held > 200_000:
+                    yield pa.RecordBatch.from_arrays([_signed(sigs), _lists(sets)], ["sig", "shingles"])
+                    sigs, sets, held = [], [], 0
+        if sigs:
+            yield pa.RecordBatch.from_arrays([_signed(sigs), _lists(sets)], ["sig", "shingles"])
+
+    wanted = store(_texts(docs, text_col).mapInArrow(run, "sig long, shingles array<long>").dropDuplicates(["sig"]), "near-sets")
     left, right = wanted.toDF("a", "sa"), wanted.toDF("b", "sb")
     both = pairs.join(left, "a").join(right, "b").withColumn("common", F.size(F.array_intersect("sa", "sb")))
-    return both.where("9L * common >= 4L * (size(sa) + size(sb))").select("a", "b")
+    links = store(both.where("9L * common >= 4L * (size(sa) + size(sb))").select("a", "b"), "near-links")
+    discard(pairs, wanted)
+    return links
 
 
 def _tree_links(fp: list[int], n: list[int], at: list[int], c: list[int]) -> list[tuple[int, int]]:
@@ -205,11 +212,11 @@ def tree_links(named: DataFrame, round_: int) -> DataFrame:
     return rows.repartition("key", "shard").sortWithinPartitions("key", "shard", "sig").mapInArrow(run, "a long, b long")
 
 
-def similar_components(sets: DataFrame) -> DataFrame:
-    """``sig, component`` of the sets of ``sets(sig, fp, shingles)`` that are linked to another one."""
+def similar_components(sets: DataFrame, docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """``sig, component`` of those ``sets`` (see ``shingle_sets``) of ``docs`` that are linked to another one."""
     keys = store(leading(sets), "near-keys")
-    links = sets.sparkSession.createDataFrame([], "a long, b long")
-    for round_ in range(ROUNDS + 1):
+    links = _verified(tree_links(keys.withColumn("c", F.col("sig")), 0), docs, text_col)
+    for round_ in range(1, ROUNDS + 1):
         known = store(connected_components(links), "near-components").toDF("sig", "c")
         named = store(keys.join(known, "sig", "left").withColumn("c", F.coalesce("c", "sig")), "near-named")
         if round_ < ROUNDS:
@@ -217,5 +224,7 @@ def similar_components(sets: DataFrame) -> DataFrame:
         else:
             both = named.alias("x").join(named.alias("y"), F.expr(f"x.key = y.key AND x.sig < y.sig AND x.c <> y.c AND {ROOM}"))
             pairs = both.select(F.col("x.sig").alias("a"), F.col("y.sig").alias("b"))
-        links = store(links.unionByName(_verified(pairs, sets)), "near-links")
+        links = links.unionByName(_verified(pairs, docs, text_col))
+        discard(named)
+    discard(keys)
     return connected_components(links).toDF("sig", "component")

@@ -111,14 +111,15 @@ def test_trees_find_most_links_and_shards_are_split(spark, monkeypatch):
     from quillgraph.llm import simhash_similar as similar
 
     texts = edited_copies()
-    sets = store(similar.shingle_sets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), ["doc_id"]), "t")
+    docs = store(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "d")
+    sets = store(similar.shingle_sets(docs, ["doc_id"]), "t")
     keys = similar.leading(sets).withColumn("c", F.col("sig"))
-    got = {frozenset(r) for r in similar._verified(similar.tree_links(keys, 0), sets).collect()}
-    final = {frozenset((r.sig, r.component)) for r in similar.similar_components(sets).collect() if r.sig != r.component}
+    got = {frozenset(r) for r in similar._verified(similar.tree_links(keys, 0), docs).collect()}
+    final = {frozenset((r.sig, r.component)) for r in similar.similar_components(sets, docs).collect() if r.sig != r.component}
     assert len(got) >= 0.8 * len(final)
     want = jaccard_groups(texts)
     for rows in (1, 4096):
         monkeypatch.setattr(similar, "SHARD_ROWS", rows)
-        named = similar.similar_components(sets)
+        named = similar.similar_components(sets, docs)
         of = sets.join(named, "sig", "left").select("doc_id", F.coalesce("component", "sig").alias("c")).groupBy("c").agg(F.collect_list("doc_id").alias("ids"))
         assert sorted(sorted(r.ids) for r in of.collect()) == sorted(sorted(i for i, w in enumerate(want) if w == g) for g in set(want))
