@@ -205,10 +205,10 @@ def modularity(links: DataFrame, labels: DataFrame, resolution: float = 1.0) ->
     return sums.join(F.broadcast(whole)).select((F.col("inside") / F.col("m") - resolution * F.col("squares") / (4 * F.col("m") * F.col("m"))).alias("modularity"))
 
 
-def label_moves(links: DataFrame, max_rounds: int = 60, resolution: float = 1.0, least_moved: float = 0.02) -> DataFrame:
+def label_moves(links: DataFrame, max_rounds: int = 20, resolution: float = 1.0, least_moved: float = 0.05) -> DataFrame:
     """``node, label`` by greedy modularity on one level: in each round a half of the nodes (by hash) joins the neighbouring
     community with the greatest gain, if positive; equal gains go to the smaller label. Ends when two rounds in a row, one for
-    each half, move no more than ``least_moved`` of the nodes (what still moves goes on in the next level), or after ``max_rounds``. Links (a, b) with a = b are loops of merged nodes. Deterministic."""
+    each half, move no more than ``least_moved`` of the nodes, or after ``max_rounds``; what still moves then goes on in the next level. Links (a, b) with a = b are loops of merged nodes. Deterministic."""
     one = links.select("a", "b", F.col("weight").cast("double").alias("weight"))
     both = store(one.where("a <> b").unionByName(one.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"), "weight")), "moves-links")
     ends = both.select("a", "weight").unionByName(one.where("a = b").select("a", (2 * F.col("weight")).alias("weight")))
