@@ -45,6 +45,13 @@ def rrf_fusion(spark, sf):
     return r.rrf(_lanes(spark, sf), 60, ["graph", "vector"]).select("query_id", "item_id", F.round("score", 6).alias("score"), "lane", "rank")
 
 
+def fused_topn(spark, sf):
+    """The 25 fused items of each query that go to the reranker."""
+    d = dense(spark, sf, 20).select("query_id", F.lit("vector").alias("lane"), "item_id", "rank")
+    s = sparse(spark, sf, 20).select("query_id", F.lit("graph").alias("lane"), "item_id", "rank")
+    return r.rrf(d.unionByName(s), 60, ["graph", "vector"]).where("rank <= 25").select("query_id", "item_id", F.round("score", 6).alias("score"), "rank")
+
+
 def hybrid(spark, sf):
     return r.hybrid_search(dense(spark, sf, 30), sparse(spark, sf, 30), 10).select("query_id", "item_id", F.round("score", 6).alias("score"), "rank")
 
@@ -204,6 +211,7 @@ QUERIES = {
     "dense_topk": dense_topk,
     "sparse_topk": lambda s, d: sparse(s, d),
     "rrf_fusion": rrf_fusion,
+    "fused_topn": fused_topn,
     "hybrid_rrf": hybrid,
     "multilingual_search": multilingual,
     "community_jaccard": community_jaccard,
@@ -272,6 +280,7 @@ SQL = {
     "dense_topk": f"WITH {_DENSE} SELECT query_id, item_id, round(score, 5) AS score, rank FROM dense WHERE rank <= 10",
     "sparse_topk": f"WITH {_SPARSE} SELECT query_id, item_id, score, rank FROM sparse WHERE rank <= 10",
     "rrf_fusion": f"WITH {_DENSE}, {_SPARSE}, {_fused('vector', 'graph', 10)} SELECT query_id, item_id, round(score, 6) AS score, lane, rank FROM placed",
+    "fused_topn": f"WITH {_DENSE}, {_SPARSE}, {_fused('vector', 'graph', 20)} SELECT query_id, item_id, round(score, 6) AS score, rank FROM placed WHERE rank <= 25",
     "hybrid_rrf": f"WITH {_DENSE}, {_SPARSE}, {_fused('dense', 'sparse', 30)} SELECT query_id, item_id, round(score, 6) AS score, rank FROM placed WHERE rank <= 10",
     "multilingual_search": f"""WITH {_DENSE}, lanes AS (SELECT query_id, item_id, score FROM dense WHERE rank <= 12
  UNION ALL SELECT query_id, item_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id, label ORDER BY score DESC, item_id) AS r FROM dense_all WHERE label IN (0, 1, 2)) WHERE r <= 12),

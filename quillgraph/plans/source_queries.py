@@ -55,8 +55,17 @@ def markdown(spark, sf):
 
 
 def string_rerank(spark, sf):
+    """Parts' names with a sign left out, against parts of the same type and brand as candidates, by label and synonym."""
+    p = table(spark, sf, "part").select(F.concat(F.lit("P"), "p_partkey").alias("cui"), "p_name", "p_type", "p_brand")
+    concepts = p.select("cui", F.col("p_name").alias("label"), F.array("p_brand").alias("synonyms"), F.lit(None).cast("map<string,string>").alias("lang_labels"))
+    asked = p.select(F.concat(F.substring("p_name", 1, 4), F.expr("substring(p_name, 6)")).alias("text"), "p_type", "p_brand")
+    pairs = asked.join(p, ["p_type", "p_brand"]).select("text", "cui")
+    return l.string_rerank(pairs, concepts)
+
+
+def edit_ratio(spark, sf):
     p = table(spark, sf, "part").select("p_partkey", F.lower("p_name").alias("a"), F.lower("p_type").alias("b"))
-    return p.select("p_partkey", F.round(l.string_ratio("a", "b"), 6).alias("ratio"), F.round(l.edit_ratio(F.col("a"), F.col("b")), 6).alias("edit"))
+    return p.select("p_partkey", F.round(l.edit_ratio(F.col("a"), F.col("b")), 6).alias("edit"))
 
 
 def upserted(spark, sf):
@@ -86,6 +95,7 @@ QUERIES = {
     "parent_backfill": parent_backfill,
     "markdown_sections": markdown,
     "string_rerank": string_rerank,
+    "edit_ratio": edit_ratio,
     "upsert": upserted,
     "point_ids": point_ids,
     "section_similarity": section_similarity,
@@ -98,6 +108,7 @@ SELECT o_custkey, greatest(a, m)::VARCHAR AS start, least(last_day(m), b)::VARCH
     "link_select": """WITH p AS (SELECT page_id, page_id % 5 AS k, page_id % 7 = 0 AS late FROM pages)
 SELECT page_id, CASE WHEN k = 1 THEN 'https://example.org/product-information/' || page_id WHEN k = 2 THEN 'https://x.org/' || page_id || '.pdf' WHEN k = 3 THEN 'https://example.org/product-information/' || page_id || '.pdf'
  WHEN late THEN 'https://example.org/product-information/late.pdf' END AS link FROM p""",
+    "edit_ratio": """SELECT p_partkey, round(1 - levenshtein(lower(p_name), lower(p_type)) / greatest(length(p_name), length(p_type), 1), 6) AS edit FROM part""",
     "point_ids": """WITH h AS (SELECT p_partkey, sha1(from_hex('6ba7b8129dad11d180b400c04fd430c8') || encode('P' || p_partkey)) AS h FROM part)
 SELECT p_partkey, 36 AS n, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || ['8', '9', 'a', 'b'][('0x' || substr(h, 17, 1))::INT % 4 + 1] || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS id FROM h""",
     "markdown_sections": r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents),

@@ -167,7 +167,46 @@ _UNIT, _OFTEN = "['mg', 'mg', 'mcg', 'mcg', 'mL', 'g', 'IU', 'units', 'percent']
 _STOPS = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
 _VOTES = lambda words: f"len(list_filter(w, lambda x: list_contains({_STOPS(words)}, x)))"
 
+def _tokens(x: str) -> str:
+    return rf"CASE WHEN {x} = '' THEN 0 ELSE greatest(1, CAST(floor(1.3::DOUBLE * len(list_filter(regexp_split_to_array({x}, '\s+'), lambda w: w <> ''))) AS BIGINT)) END"
+
+
+_TAIL = "list_slice(h, len(list_filter(range(1, len(h) + 1), lambda k: list_sum(list_transform(list_slice(h, k, len(h)), lambda y: y.n)) > 50)) + 1, len(h))"
+_EMPTY = "[]::STRUCT(u VARCHAR, n BIGINT)[] AS h, 0::BIGINT AS n, []::VARCHAR[] AS done"
+
+
+def _walk(name: str, key: str, units: str, joiner: str, apart: bool) -> str:
+    """Units one after another into chunks: what is held, its tokens, and the chunks so far."""
+    flushed = f"CASE WHEN len(h) > 0 THEN list_append(done, array_to_string(list_transform(h, lambda y: y.u), {joiner})) ELSE done END"
+    size = "coalesce(list_sum(list_transform(tail, lambda y: y.n)), 0)::BIGINT"
+    keys, own = ", ".join(f"w.{k}" for k in key.split(", ")), " AND ".join(f"w.{k} = x.{k}" for k in key.split(", "))
+    too_long = "WHEN x.n > 300 THEN {}" if apart else ""
+    return f"""{name} AS (SELECT DISTINCT {key}, 0 AS i, {_EMPTY} FROM {units}
+ UNION ALL SELECT {keys}, x.i,
+  CASE {too_long.format("tail")} WHEN w.n + x.n <= 300 THEN list_append(h, struct_pack(u := x.u, n := x.n)) ELSE list_append(tail, struct_pack(u := x.u, n := x.n)) END,
+  CASE {too_long.format(size)} WHEN w.n + x.n <= 300 THEN w.n + x.n ELSE {size} + x.n END,
+  CASE {too_long.format("list_concat(flushed, x.parts)")} WHEN w.n + x.n <= 300 THEN done ELSE flushed END
+ FROM (SELECT *, {_TAIL} AS tail, {flushed} AS flushed FROM {name}) w JOIN {units} x ON {own} AND x.i = w.i + 1),
+{name}_end AS (SELECT {key}, {flushed} AS parts FROM {name} QUALIFY row_number() OVER (PARTITION BY {key} ORDER BY i DESC) = 1)"""
+
+
+#: Long paragraphs are packed by sentences first, then all paragraphs.
+_CHUNKS = rf"""WITH RECURSIVE whole AS (SELECT doc_id, text, {_tokens("text")} AS n FROM documents WHERE trim(text) <> ''),
+lists AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '\n+'), lambda p: regexp_replace(p, '^\s+|\s+$', '', 'g')), lambda p: p <> '') AS ps FROM whole WHERE n > 300),
+flat AS (SELECT doc_id, unnest(range(1, len(ps) + 1)) AS p, unnest(ps) AS u FROM lists),
+paras AS (SELECT doc_id, p, u, {_tokens("u")} AS n FROM flat),
+cut AS (SELECT doc_id, p, list_filter(list_transform(regexp_split_to_array(regexp_replace(regexp_replace(u, '([.!?])\s+([A-Z0-9])', '\1' || chr(1) || '\2', 'g'), '([.!?])\s+([A-Z0-9])', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda q: regexp_replace(q, '^\s+|\s+$', '', 'g')), lambda q: q <> '') AS ss FROM paras WHERE n > 300),
+said AS (SELECT doc_id, p, unnest(range(1, len(ss) + 1)) AS i, unnest(ss) AS u FROM cut),
+sents AS (SELECT doc_id, p, i, u, {_tokens("u")} AS n FROM said),
+{_walk("inner_", "doc_id, p", "sents", "' '", False)},
+units AS (SELECT paras.doc_id, paras.p AS i, u, n, coalesce(parts, []::VARCHAR[]) AS parts FROM paras LEFT JOIN inner__end e ON e.doc_id = paras.doc_id AND e.p = paras.p),
+{_walk("outer_", "doc_id", "units", "chr(10) || chr(10)", True)},
+chunks AS (SELECT doc_id, [text] AS parts FROM whole WHERE n <= 300 UNION ALL SELECT doc_id, parts FROM outer__end),
+rows_ AS (SELECT doc_id, unnest(range(len(parts))) AS ordinal, unnest(parts) AS chunk FROM chunks)
+SELECT doc_id, ordinal, sha256(doc_id || chr(1) || ordinal) AS chunk_id, chunk, {_tokens("chunk")} AS tokens FROM rows_"""
+
 SQL = {
+    "chunk_greedy": _CHUNKS,
     "normalize_text": f"""WITH r AS (SELECT 'd' || doc_id AS id, text, lang FROM documents UNION ALL SELECT conv_id || '-' || turn, text, 'en' FROM conversations) SELECT id, md5({_normalized("text", "lang")}) AS digest FROM r""",
     "normalize_doses": f"WITH {_DOSED} SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, 'Take ' || regexp_extract(text, '[0-9]+') || ' ' || {_UNIT} || ' ' || {_OFTEN} || '.' AS normalized FROM line",
     "dose_sentences": f"""WITH {_DOSED}, s AS (SELECT DISTINCT trim(regexp_extract(text, '^[^.]*'), ' .') AS sentence, 'Take ' || regexp_extract(text, '[0-9]+') || ' ' || {_UNIT} || ' ' || CASE WHEN l_suppkey % 8 = 2 THEN 'q' ELSE {_OFTEN} END AS normalized FROM line)
