@@ -114,11 +114,11 @@ def test_trees_find_most_links_and_shards_are_split(spark, monkeypatch):
     docs = store(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "d")
     sets = store(similar.shingle_sets(docs, ["doc_id"]), "t")
     keys = similar.leading(sets).withColumn("c", F.col("sig"))
-    got = {frozenset(r) for r in similar._verified(similar.tree_links(keys, 0), docs).collect()}
+    got = {frozenset(r) for r in similar._verified(similar.tree_links(keys, 0), docs, similar._nodes(sets)).collect()}
     final = {frozenset((r.sig, r.component)) for r in similar.similar_components(sets, docs).collect() if r.sig != r.component}
     assert len(got) >= 0.8 * len(final)
     want = jaccard_groups(texts)
-    for rows in (1, 4096):
+    for rows in (3, 4096):
         monkeypatch.setattr(similar, "SHARD_ROWS", rows)
         named = similar.similar_components(sets, docs)
         of = sets.join(named, "sig", "left").select("doc_id", F.coalesce("component", "sig").alias("c")).groupBy("c").agg(F.collect_list("doc_id").alias("ids"))
