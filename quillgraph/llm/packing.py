@@ -37,8 +37,8 @@ from .common import blank, store
 LETTER, DIGIT = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼-¾"
 CUT = re.compile(rf" ?[{LETTER}]+|'s|'t|'re|'ve|'m|'ll|'d| ?[{DIGIT}]+| ?[^\s{LETTER}{DIGIT}]+|\s+(?!\S)|\s+")
 LATIN = re.compile("[\t\n\r\x20-\x7e¡-ɏ]*")
-#: Cuts whose ids a worker remembers, about 200 bytes each, before it starts again; workers live on in other stages.
-REMEMBERED = 400_000
+#: Cuts of one generation whose ids a worker remembers, about 200 bytes each; it keeps two generations.
+REMEMBERED = 500_000
 
 
 class Encoder:
@@ -51,13 +51,18 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}  # little-endian 32-bit ids
+        self.older: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         plain = [LATIN.fullmatch(t) and not any(s in t for s in self.special) for t in texts]
         cuts = [CUT.findall(t) if p else [] for t, p in zip(texts, plain, strict=True)]
         if len(self.known) > REMEMBERED:
-            self.known.clear()
-        fresh = [w for w in set().union(*cuts) if w not in self.known]
+            # what is met again in this generation comes along, what is not goes with the next
+            self.known, self.older = {}, self.known
+        unseen = [w for w in set().union(*cuts) if w not in self.known]
+        again = [w for w in unseen if w in self.older]
+        self.known.update(zip(again, map(self.older.__getitem__, again), strict=True))
+        fresh = [w for w in unseen if w not in self.known] if again else unseen
         got = self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)
         self.known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(fresh, got, strict=True))
         get = self.known.__getitem__

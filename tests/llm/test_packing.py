@@ -71,3 +71,17 @@ def test_null_ids_repeats_and_no_rows(spark):
     assert sorted((r.doc_id or -1, r.length) for r in got) == [(-1, 3), (3, 3), (3, 3)]
     assert sorted((r.sequence_id, r.offset) for r in got) == [(0, 0), (0, 3), (0, 6)]
     assert pack(spark.createDataFrame([], SCHEMA), PATH).count() == 0
+
+
+def test_encoder_forgets_without_changing_ids(monkeypatch):
+    """A cache of few cuts turns over often; ids are the tokenizer's all the same."""
+    from quillgraph.llm import packing
+
+    monkeypatch.setattr(packing, "REMEMBERED", 5)
+    encoder = packing.Encoder(PATH)
+    rng = np.random.default_rng(1)
+    texts = [" ".join(f"w{rng.integers(40)}" for _ in range(12)) + "!" for _ in range(300)]
+    for at in range(0, 300, 7):
+        for t, ids in zip(texts[at : at + 7], encoder.encode(texts[at : at + 7]), strict=True):
+            assert ids.tolist() == encoder.tokenizer.encode(t, add_special_tokens=False).ids
+    assert len(encoder.known) + len(encoder.older) < 150
