@@ -253,7 +253,7 @@ def _room_pairs(sig: list[int], c: list[int], n: list[int], at: list[int], block
                 if far and 9 * sum(((x ^ y) % (1 << 64)).bit_count() for x, y in zip(bits[i], bits[j], strict=True)) <= n[i] + n[j]:
                     yield i, j
         return
-    c, n, at, block, bits = np.array(c), np.array(n), np.array(at), np.array(block), np.array(bits)
+    c, n, at, block, bits = np.array(c), np.array(n), np.array(at), np.array(block), np.array(bits, np.int64)
     step = max(1, 1_000_000 // m)
     for a in range(0, m, step):
         rows = slice(a, a + step)
@@ -265,7 +265,7 @@ def _room_pairs(sig: list[int], c: list[int], n: list[int], at: list[int], block
         i += a
         i, j = i[j < i], j[j < i]
         if len(i):
-            differ = np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1, dtype=np.int64)
+            differ = np.bitwise_count((bits[i] ^ bits[j]).view(np.uint64)).sum(axis=1, dtype=np.int64)  # of signed numbers it would count the absolute value's bits
             good = 9 * differ <= n[i] + n[j]
             yield from zip(i[good].tolist(), j[good].tolist(), strict=True)
 

@@ -2,7 +2,8 @@ import random
 
 from pyspark.sql import functions as F
 
-import corpus_pipeline as pipeline
+import corpus_pipeline
+from quillgraph.llm import stages as pipeline
 from quillgraph.llm.common import store
 from quillgraph.llm.language_id import language_id
 from quillgraph.llm.mixing import mixing_rates
@@ -25,7 +26,7 @@ def test_stages_against_brute_force(spark, tmp_path):
     spark.createDataFrame([(i, i % 4 != 1, i % 9 == 0) for i in range(0, 200, 2)], "doc_id long, quality boolean, toxic boolean").selectExpr("doc_id", "int(quality) quality", "int(toxic) toxic").write.parquet(f"{tmp_path}/labels.parquet")
     sf_dir = str(tmp_path)
     docs = spark.createDataFrame(documents(), SCHEMA).coalesce(1)
-    assert [n for n, _ in pipeline.STAGES] == ["language_id", "simhash_dedup", "mixing", "packing"]
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "simhash_dedup", "mixing", "packing"]
 
     first = store(pipeline.language_stage(spark, docs, sf_dir), "a")
     verdict = {r.doc_id: r for r in language_id(docs).collect()}
@@ -52,7 +53,7 @@ def test_repeated_rows_and_no_rows(spark, tmp_path):
     assert sorted(r.doc_id for r in got) == [1, 2]
     none = spark.createDataFrame([], SCHEMA)
     spark.createDataFrame([], LABELS).write.parquet(f"{tmp_path}/labels.parquet")
-    for _, stage in pipeline.STAGES:
+    for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, none, str(tmp_path)).count() == 0
 
 
@@ -123,3 +124,68 @@ def test_trees_find_most_links_and_shards_are_split(spark, monkeypatch):
         named = similar.similar_components(sets, docs)
         of = sets.join(named, "sig", "left").select("doc_id", F.coalesce("component", "sig").alias("c")).groupBy("c").agg(F.collect_list("doc_id").alias("ids"))
         assert sorted(sorted(r.ids) for r in of.collect()) == sorted(sorted(i for i, w in enumerate(want) if w == g) for g in set(want))
+
+
+def test_room_pairs_against_plain_ints():
+    """No pair that can be similar is pruned, in shards of any size; what is left is what the bounds say."""
+    from quillgraph.llm import simhash_similar as similar
+
+    rng = random.Random(12)
+    for m in (2, 3, 4, 5, 6, 17, 50):
+        for spread in (3, 60, 400):
+            base = {rng.getrandbits(64) for _ in range(spread)}
+            sets = []
+            for _ in range(m):
+                gone = set(rng.sample(sorted(base), rng.randint(0, max(1, spread // 8))))
+                sets.append((base - gone) | {rng.getrandbits(64) for _ in gone} or base)
+            arrays = [similar.np.array(sorted(s), similar.np.uint64) for s in sets]
+            maps = [similar._bitmap(a) for a in arrays]
+            n, at, c = [len(s) for s in sets], [rng.randint(0, len(s) // 6) for s in sets], [rng.randrange(m) for _ in sets]
+            for block in ([0] * m, [rng.randrange(2) for _ in range(m)]):
+                split = len(set(block)) > 1
+                got = {tuple(sorted(p)) for p in similar._room_pairs(list(range(m)), c, n, at, block, [x.view(similar.np.int64).tolist() for x in maps])}
+                want = set()
+                for i in range(m):
+                    for j in range(i):
+                        room = c[i] != c[j] and not (split and block[i] == block[j]) and 9 * min(n[i] - at[i], n[j] - at[j]) >= 4 * (n[i] + n[j])
+                        differ = (int.from_bytes(maps[i].tobytes(), "big") ^ int.from_bytes(maps[j].tobytes(), "big")).bit_count()
+                        if room and 9 * differ <= n[i] + n[j]:
+                            want.add((j, i))
+                        if room and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                            assert (j, i) in got
+                assert got == want
+
+
+def test_stars_of_edited_copies_are_one_group_each(spark):
+    """300 groups of a text, four copies with one edit each, and one with two."""
+    rng = random.Random(77)
+    rows, group = [], []
+    for g in range(300):
+        base = [f"g{g}x{rng.randrange(10**6)}" for _ in range(rng.randint(110, 200))]
+        for edits in (0, 1, 1, 1, 1, 2):
+            copy = list(base)
+            for at in rng.sample(range(5, len(base) - 5), edits):
+                copy[at] = f"e{rng.randrange(10**9)}"
+            rows.append((len(rows), " ".join(copy), "en", "s", 1))
+            group.append(g)
+    want = jaccard_groups_within([r[1] for r in rows], group)
+    kept = pipeline.near_dedup_stage(spark, spark.createDataFrame(rows, SCHEMA), "").collect()
+    assert sorted(r.doc_id for r in kept) == sorted(set(want)) and len(kept) == 300
+
+
+def jaccard_groups_within(texts, group):
+    by = {}
+    for i, g in enumerate(group):
+        by.setdefault(g, []).append(i)
+    out = [0] * len(texts)
+    for ids in by.values():
+        for i, r in zip(ids, jaccard_groups([texts[i] for i in ids]), strict=True):
+            out[i] = ids[r]
+    return out
+
+
+def test_columns_of_any_name_pass(spark):
+    rows = [(1, "the same words over here", 7, "x", 2.0), (2, "the same words over here", 8, "y", 3.0), (3, "other words stand over there", 9, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row_ long, sig string, text_ double")
+    got = pipeline.near_dedup_stage(spark, docs, "")
+    assert got.columns == docs.columns and sorted(map(tuple, got.collect())) == [rows[0], rows[2]]
