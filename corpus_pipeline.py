@@ -1,59 +1,11 @@
-"""Corpus pipeline: language ID, near-dedup, mixing to target weights, packing.
-
-Each stage takes (spark, docs, sf_dir) and works on all that the one before kept. All
-but the last return the columns of documents; the last returns pieces of packed sequences.
-
-Defined results: a null or empty text, or one without a letter, goes in the first stage; very long texts are taken whole; rows
-with a null id stay rows of their own, and of two texts with one id each is kept or dropped by its text; of rows that are
-equal as a whole one stays; ties in a component go to the smaller id, then to hashes; an empty table stays empty;
-columns beyond those of documents are carried to the last stage, whatever their names (``row_``, ``text_`` and the like are the stages' own).
-"""
+"""Corpus pipeline: language ID, near-dedup, mixing to target weights, packing; the stages are in ``quillgraph.llm.stages``."""
 
 from __future__ import annotations
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from quillgraph.llm.common import store, table
-from quillgraph.llm.language_id import keep_identified, train
-from quillgraph.llm.mixing import PRODUCTION, mix
-from quillgraph.llm.packing import pack
-from quillgraph.llm.simhash_similar import shingle_sets, similar_components
-
-#: A calibrated probability below this says that the text is in no language that was learned; a guess among four has 0.25.
-LEAST_SCORE = 0.34
-
-
-def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, or in no learned language, go."""
-    return keep_identified(docs, train(docs), LEAST_SCORE)
-
-
-def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each component (SimHash BK-trees; texts with a Jaccard similarity of 0.8 or more, by five words) stays.
-
-    It is the first by id (null ids last), then by the hash of its shingles, then by that of
-    the whole row; so a component without ids keeps one row, and one id with unlike texts one row for each.
-    """
-    marked = docs.withColumn("row_", F.xxhash64(*docs.columns, *[F.col(c).isNull() for c in docs.columns]))
-    sets = store(shingle_sets(marked, ["doc_id", "row_"]), "near-shingles")
-    group = F.coalesce("component", "sig").alias("group")
-    rows = sets.select("doc_id", "sig", "row_").join(similar_components(sets, docs), "sig", "left").select(group, "doc_id", "sig", "row_")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "sig", "row_")).alias("x")
-    kept = store(rows.groupBy("group").agg(first).select("x.row_"), "near-kept")
-    # rows that are equal as a whole: one of them
-    return marked.join(kept, "row_", "left_semi").dropDuplicates(["row_"]).select(docs.columns)
-
-
-def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as their rates say; the clean domain grows, so its documents all stay."""
-    return mix(docs, table(spark, sf_dir, "labels"), PRODUCTION)
-
-
-def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pack(docs, public_tokenizers.path("byte_bpe_50k.json"), capacity=1024)
-
+from quillgraph.llm.stages import language_stage, mixing_stage, near_dedup_stage, packing_stage
 
 STAGES = [
     ("language_id", language_stage),
