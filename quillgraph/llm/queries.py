@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, hard_negatives, merkle, warc
+from . import chat_format, hard_negatives, merkle, site_style, warc
 from .ann import nearest
 from .chat_format import chat_digests, format_chats
 from .common import table
@@ -72,6 +72,10 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, F.expr(hard_negatives.NOISY))
 
 
+def op12_site_style(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return site_style.site_texts(table(spark, sf_dir, "pages"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.tamper_check(table(spark, sf_dir, "documents"))
 
@@ -88,6 +92,7 @@ QUERIES = {
     "op9_packing": op9_packing,
     "op10_warc": op10_warc,
     "op11_hard_negatives": op11_hard_negatives,
+    "op12_site_style": op12_site_style,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
 
@@ -95,5 +100,6 @@ SQL: dict[str, str] = {
     "op3_chat_format": chat_format.sql(extra=f"UNION ALL SELECT -7, 0, 'user', '{TRICKY}' UNION ALL SELECT -7, 1, 'assistant', '{TRICKY}'"),
     "op10_warc": warc.SQL,
     "op11_hard_negatives": hard_negatives.SQL,
+    "op12_site_style": site_style.SQL,
     "op13_merkle_manifest": merkle.SQL,
 }

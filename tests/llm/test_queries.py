@@ -20,7 +20,7 @@ def got(spark, name):
     return __spark_entry__.queries()[name](spark, SF).collect()
 
 
-@pytest.mark.parametrize("name", ["op3_chat_format", "op10_warc", "op11_hard_negatives", "op13_merkle_manifest"])
+@pytest.mark.parametrize("name", ["op3_chat_format", "op10_warc", "op11_hard_negatives", "op12_site_style", "op13_merkle_manifest"])
 def test_against_sql(spark, name):
     con = duckdb.connect()
     for t in TABLES:
