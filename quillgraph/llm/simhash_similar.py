@@ -9,7 +9,7 @@ number is fixed, and as they only order the shingles, no pair is missed by them.
 
 Each shard has a BK-tree of its fingerprints; a node is linked to the nearest one within ``RADIUS``
 bits (a fifth of 64) that is not in its component yet. Shards of more than ``SHARD_ROWS`` nodes
-are dealt to trees by hash, differently in each round. A link counts only after both whole
+are dealt to trees by hash, differently in each round; after the first, only shards that still hold two components are searched. A link counts only after both whole
 sets were intersected. So groups are joined by a number of links in proportion to their size. What a
 radius can miss is found exactly at the end: pairs that share a leading shingle, are
 still in two components, and leave room for 0.8 by their places in the order and by bitmaps of their shingles are compared the same way.
@@ -39,13 +39,13 @@ BUCKET_BITS = 18
 #: Bits of the filter that keeps sets without a candidate out of shuffles.
 FILTER_BITS = 25
 #: Rounds of trees before what is left is found exactly.
-ROUNDS = 1
+ROUNDS = 3
 #: Bits in which linked fingerprints may differ: four fifths are equal.
 RADIUS = 12
 #: Fingerprints of one tree.
 SHARD_ROWS = 4096
 #: Places of a set's bitmap.
-BITMAP = 256
+BITMAP = 512
 #: Sets that a task remembers, to give each one once.
 REMEMBERED = 500_000
 
@@ -279,14 +279,25 @@ def exact_pairs(named: DataFrame, nodes: DataFrame) -> DataFrame:
     return _by_group(rows, ["key", "x", "y"], _room_pairs)
 
 
+def _mixed(keys: DataFrame, links: DataFrame) -> DataFrame:
+    """``keys`` with each set's component ``c``, of those shards that still hold two components. Stored: most shards are one component after the first round."""
+    known = store(connected_components(links), "near-components").toDF("sig", "c")
+    named = keys.join(known, "sig", "left").withColumn("c", F.coalesce("c", "sig"))
+    same = Window.partitionBy("key")
+    ends = named.withColumns({"low_": F.min("c").over(same), "high_": F.max("c").over(same)})
+    return store(ends.where("low_ <> high_").drop("low_", "high_"), "near-mixed")
+
+
 def similar_components(sets: DataFrame, docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``sig, component`` of those ``sets`` (see ``shingle_sets``) of ``docs`` that are linked to another one."""
     keys, nodes = store(leading(sets), "near-keys"), _nodes(sets)
     links = _verified(tree_links(keys.withColumn("c", F.col("sig")), 0), docs, nodes, text_col)
-    for round_ in range(1, ROUNDS + 1):
-        known = store(connected_components(links), "near-components").toDF("sig", "c")
-        named = keys.join(known, "sig", "left").withColumn("c", F.coalesce("c", "sig"))
-        pairs = tree_links(named, round_) if round_ < ROUNDS else exact_pairs(named, nodes)
-        links = links.unionByName(_verified(pairs, docs, nodes, text_col))
-    discard(keys, nodes)
+    mixed = _mixed(keys, links)
+    discard(keys)
+    for round_ in range(1, ROUNDS):
+        links = links.unionByName(_verified(tree_links(mixed, round_), docs, nodes, text_col))
+        before, mixed = mixed, _mixed(mixed.drop("c"), links)
+        discard(before)
+    links = links.unionByName(_verified(exact_pairs(mixed, nodes), docs, nodes, text_col))
+    discard(mixed, nodes)
     return connected_components(links).toDF("sig", "component")
