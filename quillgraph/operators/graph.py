@@ -156,109 +156,6 @@ def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
-def stable_id(members: Column) -> Column:
-    """Id of a community from its members alone."""
-    return F.concat(F.lit("comm_"), F.substring(F.sha1(F.array_join(F.array_sort(members), "|").cast("binary")), 1, 12))
-
-
-#: Members whose names are joined to one string at once.
-HASH_ROWS = 100_000
-
-
-def communities(labels: DataFrame, min_size: int = 3) -> DataFrame:
-    """``community_id, members, size`` from (node, component).
-
-    Components of up to ``HASH_ROWS`` members are one row, as a list is what the table holds; larger
-    ones keep their id and size, and have null members (see ``membership``), as no row should grow with the graph.
-    """
-    ids = community_ids(labels, min_size)
-    small = labels.join(ids.where(F.col("size") <= HASH_ROWS), "component").groupBy("community_id", "size").agg(F.array_sort(F.collect_set(F.col("node").cast("string"))).alias("members"))
-    large = ids.where(F.col("size") > HASH_ROWS).select("community_id", "size", F.lit(None).cast("array<string>").alias("members"))
-    return small.unionByName(large).select("community_id", "members", "size")
-
-
-def community_ids(labels: DataFrame, min_size: int = 3) -> DataFrame:
-    """``component, community_id, size``: an id from the members alone. Small components hash their joined names; larger ones hash the sorted list of their parts' hashes."""
-    names = labels.select("component", F.col("node").cast("string").alias("node")).distinct()
-    sized = store(names.groupBy("component").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") >= min_size), "community-sizes")
-    parts = names.join(sized, "component").withColumn("part", F.when(F.col("size") > HASH_ROWS, F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / HASH_ROWS))).otherwise(F.lit(0)))
-    joined = parts.groupBy("component", "size", "part").agg(F.array_join(F.array_sort(F.collect_list("node")), "|").alias("names"))
-    hashed = joined.groupBy("component", "size").agg(F.array_sort(F.collect_list(F.struct("part", F.when(F.col("size") > HASH_ROWS, F.sha1(F.col("names").cast("binary"))).otherwise(F.col("names")).alias("h")))).alias("hs"))
-    return hashed.select("component", F.concat(F.lit("comm_"), F.substring(F.sha1(F.array_join(F.transform("hs", lambda x: x["h"]), "|").cast("binary")), 1, 12)).alias("community_id"), "size")
-
-
-def membership(labels: DataFrame, min_size: int = 3) -> DataFrame:
-    """``community_id, node``: a row for each member."""
-    return labels.join(community_ids(labels, min_size).select("component", "community_id"), "component").select("community_id", "node").distinct()
-
-
-def modularity(links: DataFrame, labels: DataFrame, resolution: float = 1.0) -> DataFrame:
-    """One row ``modularity`` of links (a, b, weight) under labels (node, label)."""
-    of = lambda end: labels.select(F.col("node").alias(end), F.col("label").alias(f"{end}_label"))
-    both = links.join(of("a"), "a").join(of("b"), "b")
-    inside = both.where("a_label = b_label").groupBy(F.col("a_label").alias("label")).agg(F.sum("weight").alias("inside"))
-    ends = both.select(F.col("a_label").alias("label"), "weight").unionByName(both.select(F.col("b_label").alias("label"), "weight"))
-    total = ends.groupBy("label").agg(F.sum("weight").alias("total"))
-    whole = both.agg(F.sum("weight").alias("m"))
-    per = total.join(inside, "label", "left").select(F.coalesce("inside", F.lit(0)).alias("inside"), "total")
-    sums = per.agg(F.sum("inside").alias("inside"), F.sum(F.col("total").cast("double") * F.col("total")).alias("squares"))
-    return sums.join(F.broadcast(whole)).select((F.col("inside") / F.col("m") - resolution * F.col("squares") / (4 * F.col("m") * F.col("m"))).alias("modularity"))
-
-
-def label_moves(links: DataFrame, max_rounds: int = 20, resolution: float = 1.0, least_moved: float = 0.05) -> DataFrame:
-    """``node, label`` by greedy modularity on one level: in each round a half of the nodes (by hash) joins the neighbouring
-    community with the greatest gain, if positive; equal gains go to the smaller label. Ends when two rounds in a row, one for
-    each half, move no more than ``least_moved`` of the nodes, or after ``max_rounds``; what still moves then goes on in the next level. Links (a, b) with a = b are loops of merged nodes. Deterministic."""
-    one = links.select("a", "b", F.col("weight").cast("double").alias("weight"))
-    both = store(one.where("a <> b").unionByName(one.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"), "weight")), "moves-links")
-    ends = both.select("a", "weight").unionByName(one.where("a = b").select("a", (2 * F.col("weight")).alias("weight")))
-    degree = store(ends.groupBy(F.col("a").alias("node")).agg(F.sum("weight").alias("degree")), "moves-degree")
-    m2 = degree.agg(F.sum("degree")).first()[0] or 1.0
-    label = degree.select("node", F.col("node").alias("label"))
-    still, few = 0, least_moved * degree.count()
-    for i in range(max_rounds):
-        size = label.join(degree, "node").groupBy("label").agg(F.sum("degree").alias("total"))
-        to = both.join(label.select(F.col("node").alias("b"), F.col("label").alias("to")), "b").groupBy(F.col("a").alias("node"), "to").agg(F.sum("weight").alias("w"))
-        stay = label.join(degree, "node")
-        offers = to.join(stay, "node").join(size.select(F.col("label").alias("to"), "total"), "to")
-        others = F.col("total") - F.when(F.col("to") == F.col("label"), F.col("degree")).otherwise(0.0)
-        offers = offers.withColumn("gain", F.col("w") - resolution * F.col("degree") * others / m2)
-        own = F.max(F.when(F.col("to") == F.col("label"), F.col("gain"))).alias("now")
-        ranked = offers.groupBy("node").agg(F.max_by("to", F.struct("gain", -F.col("to"))).alias("to"), F.max("gain").alias("gain"), own)
-        # a node without a link into its own community gains by staying what it loses to the community's other links
-        alone = -resolution * F.col("degree") * (F.col("size") - F.col("degree")) / m2
-        rest = stay.join(size.select("label", F.col("total").alias("size")), "label").join(ranked, "node", "left")
-        half = F.pmod(F.xxhash64("node") + F.lit(i), F.lit(2)) == 0
-        move = half & (F.col("gain") > F.coalesce("now", alone) + 1e-12)
-        new = rest.select("node", F.when(move, F.col("to")).otherwise(F.col("label")).alias("label"), F.coalesce(move, F.lit(False)).alias("moved"))
-        new = store(new, "moves")
-        still = still + 1 if new.where("moved").count() <= few else 0
-        label = new.select("node", "label")
-        if still == 2:
-            break
-    return label
-
-
-def modularity_communities(links: DataFrame, resolution: float = 1.0, least_gain: float = 1e-6, max_levels: int = 20) -> DataFrame:
-    """``node, label``: greedy modularity in levels. When no node moves, communities become nodes (their inner links loops) and
-    move in turn, until a level adds less than ``least_gain``. A node's label is the smallest node of its community."""
-    now = links
-    found = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).distinct().withColumn("label", F.col("node"))
-    best_yet = modularity(links, found, resolution).first()[0] if not links.isEmpty() else None
-    for _ in range(max_levels if best_yet is not None else 0):
-        moved = label_moves(now, resolution=resolution)
-        of = lambda end, moved=moved: moved.select(F.col("node").alias(end), F.col("label").alias(f"{end}_l"))
-        new = store(found.withColumnRenamed("label", "old").join(moved.select(F.col("node").alias("old"), "label"), "old", "left").select("node", F.coalesce("label", "old").alias("label")), "levels")
-        score = modularity(links, new, resolution).first()[0]
-        if score <= best_yet + least_gain:
-            break
-        found, best_yet = new, score
-        merged = now.join(of("a"), "a").join(of("b"), "b").groupBy(F.least("a_l", "b_l").alias("a"), F.greatest("a_l", "b_l").alias("b")).agg(F.sum("weight").alias("weight"))
-        now = store(merged, "levels-links")
-    lowest = found.groupBy("label").agg(F.min("node").alias("low"))
-    return found.join(lowest, "label").select("node", F.col("low").alias("label"))
-
-
 def inner_links(links: DataFrame, membership: DataFrame) -> DataFrame:
     """``community_id, a, b, weight``: links with both ends in one community. membership: community_id, node."""
     of = lambda end: membership.select(F.col("node").alias(end), F.col("community_id").alias(f"{end}_c"))

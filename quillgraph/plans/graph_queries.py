@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import community as c
 from ..operators import graph as g
 
 
@@ -63,17 +64,17 @@ def _label_links(spark, sf):
 
 
 def communities(spark, sf):
-    return g.communities(g.connected_components(_label_links(spark, sf))).select("community_id", "size")
+    return c.communities(g.connected_components(_label_links(spark, sf)))
 
 
 def modularity_of_label(spark, sf):
     links = g.cooccurrence(edges(spark, sf))
     labels = spark.read.parquet(f"{sf}/part.parquet").select(F.col("p_partkey").alias("node"), F.col("p_brand").alias("label"))
-    return g.modularity(links, labels).select(F.round("modularity", 6).alias("modularity"))
+    return c.modularity(links, labels).select(F.round("modularity", 6).alias("modularity"))
 
 
 def communities_modularity(spark, sf):
-    return g.modularity_communities(g.cooccurrence(edges(spark, sf)))
+    return c.leiden(g.cooccurrence(edges(spark, sf)))
 
 
 QUERIES = {

@@ -1,5 +1,6 @@
 from pyspark.sql import functions as F
 
+from quillgraph.operators import community as c
 from quillgraph.operators import graph as g
 from quillgraph.operators import linking as l
 from quillgraph.operators import quality as q
@@ -51,13 +52,13 @@ def test_pagerank_mass_and_order(spark):
 
 def test_communities_and_paths(spark):
     links = spark.createDataFrame([(a, b, 1) for block in (0, 10) for a in range(block, block + 4) for b in range(a + 1, block + 4)] + [(3, 10, 1)], "a int, b int, weight int")
-    labels = g.label_moves(links)
+    labels = c.label_moves(links)
     groups = {}
     for x in labels.collect():
         groups.setdefault(x.label, set()).add(x.node)
     assert sorted(map(sorted, groups.values())) == [[0, 1, 2, 3], [10, 11, 12, 13]]
-    assert g.modularity(links, labels).first()[0] > 0.3
-    found = g.communities(g.connected_components(links.where("a <> 3 or b <> 10")), 3)
+    assert c.modularity(links, labels).first()[0] > 0.3
+    found = c.communities(g.connected_components(links.where("a <> 3 or b <> 10")), 3)
     assert sorted(x.size for x in found.collect()) == [4, 4] and all(x.community_id.startswith("comm_") for x in found.collect())
     chain = spark.createDataFrame([(i, i + 1) for i in range(40)], "a int, b int")
     assert {x.component for x in g.connected_components(chain).collect()} == {0}
