@@ -6,13 +6,15 @@ import difflib
 import re
 from collections.abc import Iterator
 
+import ahocorasick
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from ..functions import text as t
 from ..functions import vocabulary as v
+from ..functions.scratch import store
 from .graph import best
 
 SPAN = "array<struct<start: int, end: int, text: string, entity_type: string, confidence: double>>"
@@ -53,26 +55,83 @@ def dedup_mentions(spans: DataFrame) -> DataFrame:
     return top.drop("rank").withColumn("cui", t.provisional_id(F.col("entity_type"), F.col("normalized")))
 
 
-#: A word without the signs around it.
-WORD = re.compile(r"[^\W_](?:\S*[^\W_])?")
+#: Bytes of terms that one automaton holds, and that every task is sent.
+AUTOMATON_BYTES = 32 << 20
+#: Characters on which words end.
+SPACE = re.compile(r"\s")
 
 
-@F.pandas_udf(ArrayType(StructType([StructField("start", IntegerType()), StructField("text", StringType())])))
-def placed_words(texts: pd.Series) -> pd.Series:
-    """Words of each text (cut at any white space, without the signs around them) and where they start."""
-    return texts.map(lambda t: [{"start": m.start(), "text": m[0]} for m in WORD.finditer(t or "")])
+def _lowered(text: str) -> str:
+    """Lower case with every character in its place, white space as blanks."""
+    low = text.lower()
+    if len(low) != len(text):
+        low = "".join(x if len(x := c.lower()) == 1 else c for c in text)
+    return SPACE.sub(" ", low)
+
+
+def _stands_alone(text: str, start: int, end: int) -> bool:
+    """Whether only signs lie between the place and the white space (or end) on both sides."""
+    while start and text[start - 1] != " ":
+        start -= 1
+        if text[start].isalnum():
+            return False
+    while end < len(text) and text[end] != " ":
+        if text[end].isalnum():
+            return False
+        end += 1
+    return True
+
+
+def _automaton(terms: list[str]) -> ahocorasick.Automaton:
+    out = ahocorasick.Automaton()
+    for term in terms:
+        out.add_word(term, term)
+    out.make_automaton()
+    return out
 
 
 def recognise(chunks: DataFrame, dictionary: DataFrame, least_confidence: float = 0.25) -> DataFrame:
-    """The default recogniser: words of chunks that are in a dictionary (term, entity_type, confidence), with their places.
+    """The default recogniser: terms of a dictionary (term, entity_type, confidence), of one word or several, with their places in chunks.
+
+    An Aho-Corasick automaton finds all terms in one scan of a text, in any case; a term counts where it is cut off by white space and signs
+    on both sides, and its words are parted by single white space. Texts stay where they are read, and only hits leave their row. The automaton is
+    broadcast; terms of more than ``AUTOMATON_BYTES`` are dealt to several by hash, each with a scan of its own. Types and confidences are joined
+    to the hits in the cluster. Terms that overlap are all given (see ``drop_dominated``).
 
-    Places come from the row itself. Only hits leave it where Spark finds the dictionary small enough
-    to broadcast; else words meet it by a shuffle on the word, the only one.
+    A null or empty text has no terms; blank terms and those with a null in the row do not count; repeated rows of the dictionary give repeated hits.
     """
-    words = chunks.select("chunk_id", F.explode(placed_words("text")).alias("w")).select("chunk_id", "w.start", "w.text").where(t.is_valid_span(F.col("text")))
-    known = dictionary.where(F.col("confidence") >= least_confidence).select(F.col("term").alias("k"), "entity_type", "confidence")
-    found = words.join(known, F.lower("text") == F.col("k"))
-    return found.select("chunk_id", "start", (F.col("start") + F.length("text")).alias("end"), "text", "entity_type", "confidence")
+    known = dictionary.where(F.col("confidence") >= least_confidence).select(F.lower(F.regexp_replace(F.trim("term"), r"\s", " ")).alias("term_"), "entity_type", "confidence")
+    known = store(known.where("term_ <> '' and entity_type is not null"), "dictionary")
+    size = known.agg(F.sum(F.octet_length("term_") + 64)).first()[0] or 0
+    shards = -(-size // AUTOMATON_BYTES) or 1
+    kind = dict(chunks.dtypes)["chunk_id"]
+    rows = chunks.select("chunk_id", F.coalesce("text", F.lit("")).alias("text"))
+    found = None
+    for i in range(shards):
+        terms = known.where(F.pmod(F.xxhash64("term_"), F.lit(shards)) == i).select("term_").distinct().toArrow()  # of bounded size
+        shared = rows.sparkSession.sparkContext.broadcast(_automaton(terms.column(0).to_pylist()))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            automaton = shared.value
+            for batch in batches:
+                at, starts, ends, texts, terms = [], [], [], [], []
+                for n, text in enumerate(batch.column(1).to_pylist() if len(automaton) else ()):
+                    low = _lowered(text)
+                    for last, term in automaton.iter(low):
+                        start, end = last + 1 - len(term), last + 1
+                        if _stands_alone(low, start, end):
+                            at.append(n)
+                            starts.append(start)
+                            ends.append(end)
+                            texts.append(text[start:end])
+                            terms.append(term)
+                columns = [batch.column(0).take(pa.array(at, pa.int64())), pa.array(starts, pa.int32()), pa.array(ends, pa.int32()), pa.array(texts, pa.string()), pa.array(terms, pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, ["chunk_id", "start", "end", "text", "term_"])
+
+        hits = rows.mapInArrow(run, f"chunk_id {kind}, start int, end int, text string, term_ string")
+        found = hits if found is None else found.unionByName(hits)
+    valid = found.where(t.is_valid_span(F.col("text")))
+    return valid.join(known, "term_").select("chunk_id", "start", "end", "text", "entity_type", "confidence")
 
 
 def drop_false_positives(mentions: DataFrame, label: str, more: list[str] | None = None) -> DataFrame:
