@@ -208,13 +208,18 @@ def gold_found(gold: DataFrame, predicted: DataFrame) -> DataFrame:
 def link_mentions(mentions: DataFrame, concepts: DataFrame, accept: float = 0.75, accept_other: float = 0.70, least_string: float = 0.70, pool: int = 50) -> DataFrame:
     """Mentions (text, entity_type, confidence) with ``cui, link_score, linked``.
 
-    Each distinct (text, type) is linked once. Candidates: equal aliases, and aliases that share character
+    Each distinct (text, type) is linked once. A text that is an alias of its own type has a score of 1, which nothing is above, so it is
+    linked by an equi-join. Candidates of the others: aliases that share character
     trigrams, the ``pool`` most alike by cosine; those of the mention's own type if any. The best is taken
-    at ``accept`` (``accept_other`` for texts beyond ASCII), else the one with the best string ratio, from ``least_string``.
+    at ``accept`` (``accept_other`` for texts beyond ASCII), else the one with the best string ratio, from ``least_string``. Of equally good ones the greatest cui counts.
     """
-    asked = mentions.select("text", "entity_type").distinct()
+    every = mentions.select("text", "entity_type").distinct()
     names = aliases(concepts)
     kinds = concepts.select("cui", F.col("entity_type").alias("concept_type"))
+    same = names.join(kinds, "cui").groupBy("alias", F.col("concept_type").alias("entity_type")).agg(F.max("cui").alias("cui"))
+    exact = every.withColumn("alias", F.lower("text")).join(same, ["alias", "entity_type"]).select("text", "entity_type", F.struct("cui", F.lit(1.0).alias("score")).alias("c"))
+    exact = store(exact, "link-exact")
+    asked = every.join(exact, ["text", "entity_type"], "left_anti")
     left = asked.withColumn("g", _grams(F.col("text"))).select("text", "entity_type", F.size("g").alias("na"), F.explode("g").alias("gram"))
     right = names.withColumn("g", _grams(F.col("alias"))).select("alias", "cui", F.size("g").alias("nb"), F.explode("g").alias("gram"))
     shared = left.join(right, "gram").groupBy("text", "entity_type", "alias", "cui", "na", "nb").agg(F.count(F.lit(1)).alias("n"))
@@ -229,7 +234,7 @@ def link_mentions(mentions: DataFrame, concepts: DataFrame, accept: float = 0.75
         F.max_by(F.struct("cui", "score"), F.when(direct, F.struct("score", "string", "cui"))).alias("vector"),
         F.max_by(F.struct("cui", F.col("string").alias("score")), F.when(F.col("string") >= least_string, F.struct("string", "score", "cui"))).alias("lexical"),
     )
-    chosen = top.select("text", "entity_type", F.coalesce("vector", "lexical").alias("c"))
+    chosen = top.select("text", "entity_type", F.coalesce("vector", "lexical").alias("c")).unionByName(exact)
     joined = mentions.join(chosen, ["text", "entity_type"], "left")
     return joined.select(*mentions.columns, F.col("c.cui").alias("cui"), F.col("c.score").alias("link_score"), F.col("c").isNotNull().alias("linked"), F.least("confidence", F.coalesce("c.score", F.lit(0.0))).alias("link_confidence"))
 

@@ -129,6 +129,7 @@ dict AS (SELECT term, CASE WHEN length(term) % 2 = 0 THEN 'Drug' ELSE 'Disease'
 placed AS (SELECT *, coalesce(sum(length(raw) + 1) OVER (PARTITION BY chunk_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at_ FROM tok),
 trim_ AS (SELECT chunk_id, at_ + length(regexp_extract(raw, '^([^\p{L}\p{N}]*)', 1)) AS start, regexp_extract(raw, '^[^\p{L}\p{N}]*(.*?)[^\p{L}\p{N}]*$', 1) AS text FROM placed),
 spans AS (SELECT chunk_id, CAST(start AS INTEGER) AS start, CAST(start + length(text) AS INTEGER) AS "end", text, entity_type, confidence FROM trim_ JOIN dict ON lower(text) = term WHERE confidence >= 0.25)"""
+TERMS = _SPANS
 #: The greedy drop of wider spans: one after another by confidence and start, against those kept so far.
 _DROP = _SPANS + r""", ranked AS (SELECT *, "end" + 8 AS e, row_number() OVER (PARTITION BY chunk_id ORDER BY confidence DESC, start, "end" + 8, text, entity_type) AS n FROM spans),
 walk AS (SELECT chunk_id, n, [struct_pack(s := start, e := e, t := text, k := entity_type, c := confidence)] AS kept FROM ranked WHERE n = 1

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections import deque
+import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -88,23 +88,39 @@ def compact(spark: SparkSession, folder: str, key: str, target: str) -> None:
 
 
 class Progress(StreamingQueryListener):
-    """Keeps a row for each of the last batches of all streams: name, batch, rows in, milliseconds."""
+    """Writes a row for each batch of all streams below ``folder``: name, run, batch, rows in, milliseconds, time.
 
-    def __init__(self, last: int = 1000):
-        self.rows: deque[tuple[str | None, int, int, int]] = deque(maxlen=last)
+    Register it with ``spark.streams.addListener``. A row is a file named by query, run and batch, so it is there once, whoever
+    restarts; ``progress_table`` reads what all runs have left. A stream without a name has its id as one.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder
 
-    def table(self, spark: SparkSession) -> DataFrame:
-        return spark.createDataFrame(list(self.rows), "name string, batch long, rows long, ms long")
+    def _put(self, name: str, row: dict) -> None:
+        context = self.spark.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}.json")
+        out = path.getFileSystem(context._jsc.hadoopConfiguration()).create(path, True)
+        try:
+            out.write(bytearray(json.dumps(row).encode()))
+        finally:
+            out.close()
 
     def onQueryStarted(self, event) -> None:
-        pass
+        self._put(f"{event.id}-{event.runId}-started", {"query": event.name or str(event.id), "run": str(event.runId), "stage": "started", "at": event.timestamp})
 
     def onQueryProgress(self, event) -> None:
         p = event.progress
-        self.rows.append((p.name, p.batchId, p.numInputRows, p.batchDuration))
+        row = {"query": p.name or str(p.id), "run": str(p.runId), "stage": "batch", "batch": p.batchId, "rows": p.numInputRows, "ms": p.batchDuration, "at": p.timestamp}
+        self._put(f"{p.id}-{p.runId}-{p.batchId}", row)
 
     def onQueryIdle(self, event) -> None:
         pass
 
     def onQueryTerminated(self, event) -> None:
-        pass
+        self._put(f"{event.id}-{event.runId}-ended", {"query": str(event.id), "run": str(event.runId), "stage": "failed" if event.exception else "ended"})
+
+
+def progress_table(spark: SparkSession, folder: str) -> DataFrame:
+    """``query, run, stage`` (started, batch, ended or failed) ``, batch, rows, ms, at`` of all runs."""
+    return spark.read.schema("query string, run string, stage string, batch long, rows long, ms long, at string").json(folder)
