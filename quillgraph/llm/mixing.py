@@ -2,12 +2,15 @@
 
 A naive Bayes classifier over hashed words and two shape features learns domains from the
 labelled table and gives every document's domain posteriors. Rates (expected copies of each
-document, not negative) then follow by projected gradient descent on the squared relative
-errors of the expected domain token totals: r <- max(0, r - sum_k p_k (y_k - T_k) / max(N_k, T_k)).
-Rates are a function of a document's posteriors and the gradients so far, a few numbers
-in a round; so no rate is stored or joined, a round is one sum over a narrow table, and the
-result is computed where each document's posteriors are stored. Step 1 cannot diverge: the totals' map has
-eigenvalues between 0 and 1.
+document, not negative) then follow by projected gradient descent on the squared
+errors of the expected domain token totals: r <- max(0, r - p' M (y - T)). The metric M is the inverse of
+the Gram matrix of posteriors, sum n p p', over the documents with a rate over 0: where no rate is cut off at 0, one step meets the targets, however
+much the domains overlap. A step that does not lessen the errors is halved; where that does not help, the step with M diagonal, 1 / max(N, T), is
+taken, which cannot diverge: the totals' map has eigenvalues between 0 and 1.
+Rates are a function of a document's posteriors and the steps so far, a few numbers
+in a round; so no rate is stored or joined, a round is one sum of totals and Gram matrix over a narrow table, and the
+result is computed where each document's posteriors are stored. Rounds end when every total is within ``tolerance`` of its
+target, or no step lessens the errors any more: targets that no rates of 0 and more can meet.
 
 The driver gets word-bucket counts by domain (``buckets`` at most for each) and one total
 for each domain and round; nothing that grows with the documents.
@@ -139,29 +142,60 @@ def _rate(p: Column, steps: list[list[float]]) -> Column:
     return F.aggregate(_constant(steps), F.lit(1.0), lambda r, s: F.greatest(F.lit(0.0), r - dot(s)))
 
 
+def _solved(matrix: list[list[float]], right: list[float]) -> list[float]:
+    """The solution of a small symmetric system, by elimination; a little is added to the diagonal, so that there is one."""
+    k = len(right)
+    rows = [[x + (1e-9 * (matrix[i][i] + 1e-9) if i == j else 0.0) for j, x in enumerate(matrix[i])] + [right[i]] for i in range(k)]
+    for i in range(k):
+        pivot = max(range(i, k), key=lambda j: abs(rows[j][i]))
+        rows[i], rows[pivot] = rows[pivot], rows[i]
+        for j in range(k):
+            if j != i:
+                share = rows[j][i] / rows[i][i]
+                rows[j] = [x - share * y for x, y in zip(rows[j], rows[i], strict=True)]
+    return [rows[i][k] / rows[i][i] for i in range(k)]
+
+
 def _descend(members: DataFrame, mixture: Mixture) -> tuple[list[list[float]], dict[str, float]]:
-    """(gradient steps for documents with tokens ``n`` and posteriors ``p``, each domain's expected total over its target)."""
+    """(steps for documents with tokens ``n`` and posteriors ``p``, each domain's expected total over its target)."""
     k = len(mixture.domains)
 
-    def totals(rate: Column) -> list[float]:
-        weighted = members.select("n", "p", rate.alias("r")).agg(*[F.sum(F.col("r") * F.col("n") * F.col("p")[i]) for i in range(k)])
-        return [x or 0.0 for x in weighted.first()]
-
-    base = totals(F.lit(1.0))
+    def figures(steps: list[list[float]]) -> tuple[list[float], list[list[float]]]:
+        """Expected totals, and the Gram matrix of the documents with a rate over 0."""
+        rated = members.select("n", "p", _rate(F.col("p"), steps).alias("r"))
+        held = F.when(F.col("r") > 0, F.col("n"))
+        pairs = [(i, j) for i in range(k) for j in range(i, k)]
+        row = rated.agg(
+            *[F.sum(F.col("r") * F.col("n") * F.col("p")[i]).alias(f"y{i}") for i in range(k)], *[F.sum(held * F.col("p")[i] * F.col("p")[j]).alias(f"g{i}_{j}") for i, j in pairs]
+        ).first()
+        gram = {(i, j): row[f"g{i}_{j}"] or 0.0 for i, j in pairs}
+        return [row[f"y{i}"] or 0.0 for i in range(k)], [[gram[min(i, j), max(i, j)] for j in range(k)] for i in range(k)]
+
+    base, gram = figures([])
     at = mixture.domains.index(mixture.anchor)
     whole = sum(mixture.weights.values())
     budget = mixture.growth * base[at] * whole / mixture.weights[mixture.anchor]
     target = [budget * mixture.weights[d] / whole for d in mixture.domains]
+    known = [i for i in range(k) if base[i] > 0]
+    error = lambda y: sum(((y[i] - target[i]) / max(base[i], target[i])) ** 2 for i in known)
     steps: list[list[float]] = []
     now = base
     for _ in range(mixture.rounds):
-        step = [(y - t) / max(n, t) if n > 0 else 0.0 for y, t, n in zip(now, target, base, strict=True)]
-        if all(abs(y - t) <= mixture.tolerance * max(t, 1.0) for y, t, n in zip(now, target, base, strict=True) if n > 0):
+        if all(abs(now[i] - target[i]) <= mixture.tolerance * max(target[i], 1.0) for i in known):
             break
+        part = _solved([[gram[i][j] for j in known] for i in known], [now[i] - target[i] for i in known])
+        full = [0.0] * k
+        for i, x in zip(known, part, strict=True):
+            full[i] = x
+        plain = [(now[i] - target[i]) / max(base[i], target[i]) if i in known else 0.0 for i in range(k)]
+        for step in (full, [x / 2 for x in full], [x / 4 for x in full], plain):
+            moved = figures([*steps, step])
+            if error(moved[0]) < error(now) * 0.9999:
+                break
+        else:
+            break  # as near as it gets
         steps.append(step)
-        before, now = now, totals(_rate(F.col("p"), steps))
-        if all(abs(y - x) <= mixture.tolerance * max(t, 1.0) for x, y, t in zip(before, now, target, strict=True)):
-            break  # targets that rates of 0 and more cannot meet: this is as near as it gets
+        now, gram = moved
     return steps, {d: y / t for d, y, t, n in zip(mixture.domains, now, target, base, strict=True) if n > 0 and t > 0}
 
 
