@@ -38,7 +38,7 @@ LETTER, DIGIT = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼-¾"
 CUT = re.compile(rf" ?[{LETTER}]+|'s|'t|'re|'ve|'m|'ll|'d| ?[{DIGIT}]+| ?[^\s{LETTER}{DIGIT}]+|\s+(?!\S)|\s+")
 LATIN = re.compile("[\t\n\r\x20-\x7e¡-ɏ]*")
 #: Cuts of one generation whose ids a worker remembers, about 200 bytes each; it keeps two generations.
-REMEMBERED = 500_000
+REMEMBERED = 300_000
 
 
 class Encoder:
