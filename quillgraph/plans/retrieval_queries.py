@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as t
 from ..functions import vocabulary as v
+from ..functions.scratch import store
+from ..operators import models
 from ..operators import retrieval as r
 
 
@@ -21,6 +23,26 @@ def dense(spark, sf, k=10):
     return r.dense_search(vectors(spark, sf), queries(spark, sf), k, exclude_self=True)
 
 
+def embedded(spark, sf):
+    """Documents by the default embedder's vectors: for each fiftieth one the ten nearest others."""
+    rows = store(models.embed(words(spark, sf), "doc_id", "text"), "embedded").withColumnRenamed("doc_id", "item_id")
+    asked = rows.where("item_id % 50 = 0").withColumnRenamed("item_id", "query_id")
+    return r.dense_search(rows, asked, 10, exclude_self=True).select("query_id", "item_id", F.round("score", 5).alias("score"), "rank")
+
+
+def _first_and_rest(batch):
+    """A model that names the first concept and counts the others."""
+    said = [f"{x[0]} and {n - 1} more" if len(x) and n > 1 else None for x, n in zip(batch["labels"], batch["n"], strict=True)]
+    return batch[["community_id"]].assign(summary=said)
+
+
+def summaries(spark, sf):
+    """Nations as communities of suppliers, summarised by a plugged-in model; communities of one keep the default sentence."""
+    s = spark.read.parquet(f"{sf}/supplier.parquet")
+    held = models.described(s.select(F.col("s_nationkey").alias("community_id"), F.col("s_suppkey").alias("node")), s.select(F.col("s_suppkey").alias("node"), F.col("s_name").alias("label")))
+    return models.summarise(held, _first_and_rest)
+
+
 def words(spark, sf):
     return spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
 
@@ -208,6 +230,8 @@ def retrieve(spark, sf):
 
 
 QUERIES = {
+    "embedded_search": embedded,
+    "community_summaries": summaries,
     "dense_topk": dense_topk,
     "sparse_topk": lambda s, d: sparse(s, d),
     "rrf_fusion": rrf_fusion,
@@ -277,6 +301,13 @@ lanes AS (SELECT query_id, 'graph' AS lane, item_id::VARCHAR AS item_id, row_num
  UNION ALL SELECT query_id, 'community', community_id::VARCHAR, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, community_id), score, md5(text) FROM community JOIN benchmark ON item_id = community_id)"""
 
 SQL = {
+    "embedded_search": r"""WITH w AS (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[ \n\t\r\f\v]+')) AS w FROM documents), c AS (SELECT doc_id, md5(w) AS h, count(*) AS n FROM w WHERE w <> '' GROUP BY ALL),
+ v AS (SELECT doc_id, substr(h, 1, 2) AS b, sum(CASE WHEN substr(h, 3, 1) < '8' THEN n ELSE -n END)::DOUBLE AS x FROM c GROUP BY ALL), l AS (SELECT doc_id, sqrt(sum(x * x)) AS l FROM v GROUP BY 1),
+ u AS (SELECT doc_id, b, x / l AS x FROM v JOIN l USING (doc_id) WHERE l > 0), every AS (SELECT DISTINCT doc_id FROM u),
+ s AS (SELECT q.doc_id AS query_id, i.doc_id AS item_id FROM every q JOIN every i ON q.doc_id % 50 = 0 AND q.doc_id <> i.doc_id),
+ d AS (SELECT q.doc_id AS query_id, i.doc_id AS item_id, sum(q.x * i.x) AS dot FROM u q JOIN u i ON q.b = i.b WHERE q.doc_id % 50 = 0 AND q.doc_id <> i.doc_id GROUP BY ALL)
+SELECT query_id, item_id, round(coalesce(dot, 0), 5) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(coalesce(dot, 0), 9) DESC, item_id) AS rank FROM s LEFT JOIN d USING (query_id, item_id) QUALIFY rank <= 10""",
+    "community_summaries": """SELECT s_nationkey AS community_id, CASE WHEN count(*) > 1 THEN arg_min(s_name, s_suppkey) || ' and ' || (count(*) - 1) || ' more' ELSE 'Community of 1 concepts: ' || min(s_name) || '.' END AS summary FROM supplier GROUP BY 1""",
     "dense_topk": f"WITH {_DENSE} SELECT query_id, item_id, round(score, 5) AS score, rank FROM dense WHERE rank <= 10",
     "sparse_topk": f"WITH {_SPARSE} SELECT query_id, item_id, score, rank FROM sparse WHERE rank <= 10",
     "rrf_fusion": f"WITH {_DENSE}, {_SPARSE}, {_fused('vector', 'graph', 10)} SELECT query_id, item_id, round(score, 6) AS score, lane, rank FROM placed",
