@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -69,12 +71,53 @@ def idle_sessions(events: DataFrame, key: str, gap: str = "120 seconds") -> Data
     return events.groupBy(key, F.session_window("ts", gap).alias("w")).agg(F.count(F.lit(1)).alias("n")).select(key, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
-def query_reuse(events: DataFrame, key: str, ttl_seconds: int = 3600) -> DataFrame:
-    """``key, hits, misses``: lookups served from a result at most ``ttl_seconds`` old; a miss starts a new one (a hit does not prolong it)."""
-    times = events.groupBy(key).agg(F.array_sort(F.collect_list(F.unix_timestamp("ts"))).alias("t"))
-    start = F.struct(F.lit(None).cast("long").alias("since"), F.lit(0).cast("long").alias("misses"))
-    fold = F.aggregate("t", start, lambda a, t: F.when(a["since"].isNull() | (t - a["since"] > ttl_seconds), F.struct(t.alias("since"), (a["misses"] + 1).alias("misses"))).otherwise(a), lambda a: a["misses"])
-    return times.select(key, (F.size("t") - fold).cast("long").alias("hits"), fold.alias("misses"))
+def _bucket_chains(ttl: int, width: int):
+    """Per key and bucket of time: where a chain of misses that enters at one of the first moments leaves it, and how many misses that makes."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        t = np.sort(rows["t"].to_numpy())
+        n = len(t)
+        after = np.searchsorted(t, t + ttl, side="right").tolist()
+        misses, last = [0] * n, t.tolist()
+        for i in range(n - 1, -1, -1):
+            j = after[i]
+            misses[i] = 1 + (misses[j] if j < n else 0)
+            last[i] = last[j] if j < n else last[i]
+        # a result from before the bucket is served up to here at most; the first lookup after that is an entry, too
+        entries = min(n, int(np.searchsorted(t, int(rows["b"].iloc[0]) * width + ttl, side="left")) + 1)
+        return pd.DataFrame({"k": [rows["k"].iloc[0]], "b": [rows["b"].iloc[0]], "entry": [t[:entries]], "last": [last[:entries]], "misses": [misses[:entries]]})
+
+    return run
+
+
+def _key_chain(ttl: int):
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        total, served = 0, None
+        for entry, last, misses in rows.sort_values("b")[["entry", "last", "misses"]].itertuples(index=False):
+            at = 0 if served is None else int(np.searchsorted(entry, served, side="right"))
+            if at < len(entry):
+                total += int(misses[at])
+                served = int(last[at]) + ttl
+        return pd.DataFrame({"k": [rows["k"].iloc[0]], "misses": [total]})
+
+    return run
+
+
+def query_reuse(events: DataFrame, key: str, ttl_seconds: int = 3600, bucket_ttls: int = 24) -> DataFrame:
+    """``key, hits, misses``: lookups served from a result at most ``ttl_seconds`` old; a miss starts a new one (a hit does not prolong it).
+
+    Two levels: lookups of one second are one row; a task follows the misses within a bucket of ``bucket_ttls`` times to live, from each of the
+    moments at which they can enter it, and a key's buckets are then chained by these summaries. So no row or task holds a key's
+    lookups, however many there are; a summary has ``ttl_seconds`` entries at most. Lookups without a time do not count; a null key is a key.
+    """
+    width = ttl_seconds * bucket_ttls
+    named = events.select(F.col(key).alias("own"), F.to_json(F.struct(F.col(key).alias("k"))).alias("k"), F.unix_timestamp("ts").alias("t"))
+    seconds = named.where("t is not null").groupBy("k", "t").agg(F.count(F.lit(1)).alias("n")).withColumn("b", F.floor(F.col("t") / width))
+    chains = seconds.select("k", "b", "t").groupBy("k", "b").applyInPandas(_bucket_chains(ttl_seconds, width), "k string, b long, entry array<long>, last array<long>, misses array<long>")
+    missed = chains.groupBy("k").applyInPandas(_key_chain(ttl_seconds), "k string, misses long")
+    counts = named.groupBy("own", "k").agg(F.count("t").alias("n"))
+    joined = counts.join(missed, "k", "left").withColumn("misses", F.coalesce("misses", F.lit(0)).cast("long"))
+    return joined.select(F.col("own").alias(key), (F.col("n") - F.col("misses")).alias("hits"), "misses")
 
 
 def concurrency(requests: DataFrame, by: str, bucket: int = 3_600_000_000) -> DataFrame:

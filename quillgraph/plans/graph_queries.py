@@ -25,7 +25,7 @@ def sparse_edges(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def pairs(spark, sf):
-    return parts(spark, sf, 200).withColumnRenamed("entity", "a").withColumn("b", F.col("a") * 7 % 101 + 1)
+    return parts(spark, sf, 50).withColumnRenamed("entity", "a").withColumn("b", F.col("a") * 7 % 101 + 1)
 
 
 def gap_pairs(spark, sf):
@@ -36,22 +36,20 @@ def gap_pairs(spark, sf):
 
 
 def evidence(spark, sf):
-    asked = parts(spark, sf, 200).select(F.col("entity").alias("a"), (F.col("entity") - 1).alias("b"))
+    asked = parts(spark, sf, 50).select(F.col("entity").alias("a"), (F.col("entity") - 1).alias("b"))
     got = g.connecting_evidence(edges(spark, sf), asked)
     return got.select("a", "b", F.col("chunk").cast("long").alias("chunk"), F.round("score", 6).alias("score"), "rank")
 
 
-#: Seeds of the PageRank queries: (query, entity).
-SEEDS = [(1, 1), (1, 2), (2, 5), (2, 5), (3, 7), (3, 11), (3, 13)]
-
-
-def _seeds(spark):
-    return spark.createDataFrame(SEEDS, "query_id long, entity long")
+def seeds(spark, sf):
+    """Nations as seeds of their region's query, twice; number 0 is no part."""
+    n = spark.read.parquet(f"{sf}/nation.parquet").select(F.col("n_regionkey").cast("long").alias("query_id"), F.col("n_nationkey").cast("long").alias("entity"))
+    return n.unionByName(n)
 
 
 def ppr_topk(spark, sf):
     e = edges(spark, sf)
-    top = g.top_chunks(g.personalised_pagerank(e, _seeds(spark)), 15)
+    top = g.top_chunks(g.personalised_pagerank(e, seeds(spark, sf)), 15)
     orders = spark.read.parquet(f"{sf}/orders.parquet").select(F.col("o_orderkey").alias("chunk"), "o_orderpriority")
     return top.withColumn("chunk", F.col("chunk").cast("long")).join(orders, "chunk").select("query_id", "chunk", F.round("score", 6).alias("score"), "rank", "o_orderpriority")
 
@@ -124,8 +122,6 @@ def _ppr(seeds: str, k: int) -> str:
 ), top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, length(chunk), chunk) AS rank FROM total QUALIFY rank <= {k})"""
 
 
-_VALUES = ", ".join(f"({q}::BIGINT, {e})" for q, e in SEEDS)
-
 SQL = {
     "cooccurrence_edges": f"WITH {_E} SELECT x.entity AS a, y.entity AS b, count(*) AS weight FROM edges x JOIN edges y USING (chunk) WHERE x.entity < y.entity GROUP BY 1, 2",
     "mention_counts": f"WITH {_E} SELECT p_partkey AS entity, count(chunk) AS mentions FROM part LEFT JOIN edges ON p_partkey = entity GROUP BY 1",
@@ -136,8 +132,8 @@ SQL = {
   QUALIFY row_number() OVER (PARTITION BY x.entity ORDER BY count(*) DESC, y.entity) <= 300)
 SELECT start, entity FROM near UNION SELECT start, entity FROM far UNION SELECT start, mid FROM far UNION SELECT p_partkey, p_partkey FROM part WHERE p_partkey % 50 = 0""",
     "graph_stats": f"WITH {_E} SELECT 'entity' AS kind, count(DISTINCT entity) AS n FROM edges UNION ALL SELECT 'chunk', count(DISTINCT chunk) FROM edges UNION ALL SELECT 'mentioned_in', count(*) FROM edges",
-    "ppr_topk": _ppr(f"VALUES {_VALUES}", 15) + " SELECT query_id, o_orderkey AS chunk, round(score, 6) AS score, rank, o_orderpriority FROM top JOIN orders ON o_orderkey = chunk::BIGINT",
-    "path_exists": f"""WITH {_E}, pairs AS (SELECT p_partkey AS a, p_partkey * 7 % 101 + 1 AS b FROM part WHERE p_partkey % 200 = 0), {_THREE}""",
+    "ppr_topk": _ppr("SELECT n_regionkey::BIGINT, n_nationkey FROM nation", 15) + " SELECT query_id, o_orderkey AS chunk, round(score, 6) AS score, rank, o_orderpriority FROM top JOIN orders ON o_orderkey = chunk::BIGINT",
+    "path_exists": f"""WITH {_E}, pairs AS (SELECT p_partkey AS a, p_partkey * 7 % 101 + 1 AS b FROM part WHERE p_partkey % 50 = 0), {_THREE}""",
     "path_exists_sparse": f"""WITH {_SPARSE}, pairs AS (SELECT p_partkey AS a, p_partkey + 7 AS b FROM part), {_THREE}""",
     "components": f"WITH {_LINKS} SELECT a AS node, b AS component FROM links",
     "stable_community_id": f"WITH {_LINKS} SELECT 'comm_' || substr(sha1(string_agg(a::VARCHAR, '|' ORDER BY a::VARCHAR)), 1, 12) AS community_id, count(*) AS size FROM links GROUP BY b HAVING count(*) >= 3",
@@ -151,6 +147,6 @@ pairs AS (SELECT x.query_id, x.entity AS a, y.entity AS b FROM asked x JOIN aske
 SELECT query_id, a, b FROM pairs WHERE NOT (a % 12 = 0 AND b = a + 1)
  AND NOT EXISTS (SELECT 1 FROM edges x JOIN edges y USING (chunk) WHERE x.entity = a AND y.entity = b)
 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY a, b) <= 2""",
-    "connecting_evidence": _ppr("SELECT p_partkey || '|' || (p_partkey - 1), p_partkey FROM part WHERE p_partkey % 200 = 0 UNION ALL SELECT p_partkey || '|' || (p_partkey - 1), p_partkey - 1 FROM part WHERE p_partkey % 200 = 0", 3)
+    "connecting_evidence": _ppr("SELECT p_partkey || '|' || (p_partkey - 1), p_partkey FROM part WHERE p_partkey % 50 = 0 UNION ALL SELECT p_partkey || '|' || (p_partkey - 1), p_partkey - 1 FROM part WHERE p_partkey % 50 = 0", 3)
     + " SELECT split_part(query_id, '|', 1)::BIGINT AS a, split_part(query_id, '|', 2)::BIGINT AS b, chunk::BIGINT AS chunk, round(score, 6) AS score, rank FROM top",
 }

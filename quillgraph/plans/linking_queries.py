@@ -97,7 +97,7 @@ def link_exact(spark, sf):
 
 def link_mentions(spark, sf):
     """Part names with a sign left out, linked to parts."""
-    mentions = concepts(spark, sf).where(F.crc32(F.col("cui").cast("binary")) % 3 == 0).select(F.concat(F.substring("label", 1, 4), F.substring("label", 6, 100)).alias("text"), "entity_type", F.lit(0.9).alias("confidence"))
+    mentions = concepts(spark, sf).select(F.concat(F.substring("label", 1, 4), F.substring("label", 6, 100)).alias("text"), "entity_type", F.lit(0.9).alias("confidence"))
     return l.link_mentions(mentions.distinct(), concepts(spark, sf)).select("text", "entity_type", "linked", F.round("link_score", 6).alias("link_score"))
 
 

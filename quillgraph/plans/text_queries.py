@@ -76,7 +76,7 @@ def parsable(spark, sf):
 
 def provisional(spark, sf):
     """Words as provisional concepts, read back from their ids."""
-    w = docs(spark, sf).select("doc_id", F.explode(F.array_distinct(F.split(F.lower("text"), r"\s+"))).alias("w")).where("not contains(w, ':') and w <> ''")
+    w = docs(spark, sf).select("doc_id", F.explode(F.array_distinct(F.split(F.lower("text"), r"\s+"))).alias("w")).where("w <> ''")
     return w.select("w", t.provisional_text(t.provisional_id(F.lit("Drug"), F.col("w"))).alias("back")).distinct()
 
 
@@ -99,7 +99,7 @@ def paragraphs(spark, sf):
 
 def sentence_counts(spark, sf):
     parts = t.sentences(F.col("text"), F.lit("en"))
-    return docs(spark, sf).where("lang = 'en'").select("doc_id", F.size(parts).cast("long").alias("sentences"), F.aggregate(parts, F.lit(0), lambda n, s: n + F.length(s)).cast("long").alias("chars"))
+    return docs(spark, sf).select("doc_id", F.size(parts).cast("long").alias("sentences"), F.aggregate(parts, F.lit(0), lambda n, s: n + F.length(s)).cast("long").alias("chars"))
 
 
 def clean_titles(spark, sf):
@@ -222,7 +222,7 @@ SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS pos, x.
  c AS (SELECT *, greatest(CASE WHEN contains(head, '. ') THEN length(head) - instr(reverse(head), ' .') ELSE 0 END, CASE WHEN contains(head, chr(10)) THEN length(head) - instr(reverse(head), chr(10)) + 1 ELSE 0 END) AS cut FROM h)
 SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS pos, md5(x) AS digest FROM g UNION ALL SELECT doc_id, 0, md5(CASE WHEN length(text) <= 3000 THEN text WHEN cut > 2000 THEN substr(head, 1, cut) ELSE head END) FROM c""",
     "format_filter": """WITH d AS (SELECT ['text', 'xml', 'pdf', 'html'][doc_id % 4 + 1] AS format, doc_id % 3 > 0 AND source IS NOT NULL AS has FROM documents) SELECT format, format IN ('text', 'xml') OR (format = 'pdf' AND has) AS kept, count(*) AS n FROM d GROUP BY 1, 2""",
-    "provisional_id": r"""WITH w AS (SELECT DISTINCT unnest(regexp_split_to_array(lower(text), '\s+')) AS w FROM documents) SELECT w, w AS back FROM w WHERE w <> '' AND NOT contains(w, ':')""",
+    "provisional_id": r"""WITH w AS (SELECT DISTINCT unnest(regexp_split_to_array(lower(text), '\s+')) AS w FROM documents) SELECT w, w AS back FROM w WHERE w <> ''""",
     "detect_query_language": r"""SELECT doc_id, CASE WHEN length(regexp_replace(text, '[^\p{L}]', '', 'g')) = 0 THEN NULL
  WHEN length(regexp_replace(text, '[^\x{4e00}-\x{9fff}\x{3400}-\x{4dbf}]', '', 'g')) / length(regexp_replace(text, '[^\p{L}]', '', 'g')) > 0.3 THEN 'zh'
  WHEN regexp_matches(text, '[äöüßÄÖÜ]') THEN 'de' ELSE 'en' END AS language FROM documents""",
@@ -230,7 +230,7 @@ SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS pos, md
     "junk_filter": rf"""WITH {_LINES} SELECT doc_id, count(*) AS junk_lines FROM lines WHERE length(regexp_replace(line, '[^\p{{L}}\p{{N}}_]|\s|[0-9]', '', 'g')) < 20 GROUP BY 1""",
     "paragraphs": r"""WITH p AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '\n+'), lambda p: regexp_replace(p, '^\s+|\s+$', '', 'g')), lambda p: p <> '') AS ps FROM documents)
 SELECT doc_id, unnest(range(len(ps))) AS pos, md5(unnest(ps)) AS digest FROM p""",
-    "sentences": r"""WITH s AS (SELECT doc_id, regexp_split_to_array(regexp_replace(regexp_replace(text, '([.!?])\s+([A-Z0-9])', '\1' || chr(1) || '\2', 'g'), '([.!?])\s+([A-Z0-9])', '\1' || chr(1) || '\2', 'g'), chr(1)) AS parts FROM documents WHERE lang = 'en'),
+    "sentences": r"""WITH s AS (SELECT doc_id, regexp_split_to_array(regexp_replace(regexp_replace(text, '([.!?])\s+([A-Z0-9])', '\1' || chr(1) || '\2', 'g'), '([.!?])\s+([A-Z0-9])', '\1' || chr(1) || '\2', 'g'), chr(1)) AS parts FROM documents),
 t AS (SELECT doc_id, list_filter(list_transform(parts, lambda p: regexp_replace(p, '^\s+|\s+$', '', 'g')), lambda p: p <> '') AS parts FROM s)
 SELECT doc_id, len(parts) AS sentences, CAST(coalesce(list_sum(list_transform(parts, lambda p: length(p))), 0) AS BIGINT) AS chars FROM t""",
     "clean_title": r"""WITH b AS (SELECT doc_id, regexp_replace(regexp_replace(' - ' || array_to_string(list_slice(string_split(text, ' '), 1, 30), ' ') || '  .. ', '\s+', ' ', 'g'), '^[.\- ]+|[.\- ]+$', '', 'g') AS bare FROM documents)

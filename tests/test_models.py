@@ -77,3 +77,22 @@ def test_concurrency_over_buckets_equals_one_scan(spark):
     df = spark.createDataFrame(rows, "k string, start long, end long")
     for bucket in (1, 10, 333, 10**9):
         assert {x.k: x.peak for x in m.concurrency(df, "k", bucket).collect()} == want
+
+
+def test_reuse_over_buckets_equals_one_scan(spark):
+    import datetime as dt
+
+    rng = random.Random(2)
+    base = dt.datetime(2024, 1, 1)
+    rows = [(k, base + dt.timedelta(seconds=s)) for k in ("a", "b", None) for s in (rng.randrange(4000) for _ in range(250))] + [("a", base)] * 50 + [("none", None), ("late", base + dt.timedelta(days=400)), ("late", base)]
+    want = {}
+    for key in {k for k, _ in rows}:
+        since, misses, n = None, 0, 0
+        for t in sorted((t - base).total_seconds() for k, t in rows if k == key and t):
+            n += 1
+            if since is None or t - since > 60:
+                since, misses = t, misses + 1
+        want[key] = (n - misses, misses)
+    df = spark.createDataFrame(rows, "k string, ts timestamp")
+    for buckets in (1, 2, 24):
+        assert {r.k: (r.hits, r.misses) for r in m.query_reuse(df, "k", 60, buckets).collect()} == want
