@@ -326,10 +326,13 @@ SELECT query_id, community_id, round(score, 5) AS score, row_number() OVER (PART
     "similarity_edges": """WITH d AS (SELECT q.vec_id AS q, e.vec_id AS i,
   round(list_dot_product(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) / (sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[])) * sqrt(list_dot_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[]))), 9) AS score FROM embeddings q JOIN embeddings e ON q.vec_id <> e.vec_id),
  t AS (SELECT * FROM d WHERE score >= 0.3 QUALIFY row_number() OVER (PARTITION BY q ORDER BY score DESC, i) <= 10) SELECT DISTINCT least(q, i) AS a, greatest(q, i) AS b, round(score, 5) AS score FROM t""",
-    "parse_tier_language": """SELECT conv_id || '-' || turn AS id, CASE length(text) % 4 WHEN 0 THEN 'SMALL' WHEN 1 THEN 'MEDIUM' ELSE 'LARGE' END AS tier, NULL::VARCHAR AS language FROM conversations
- UNION ALL SELECT 'd' || doc_id, CASE length(text) % 4 WHEN 0 THEN 'SMALL' WHEN 1 THEN 'MEDIUM' ELSE 'LARGE' END, CASE WHEN lang IN ('en', 'zh', 'de') THEN lang END FROM documents""",
-    "moderation_verdict": """SELECT doc_id, toxic <> 1 AND quality <> 0 AS safe, CASE WHEN toxic = 1 THEN CASE WHEN doc_id % 2 = 0 THEN 'S6|S1' ELSE 'S6' END WHEN quality = 0 THEN 'UNKNOWN' ELSE '' END AS categories,
- CASE WHEN toxic = 1 THEN doc_id % 2 <> 0 ELSE quality <> 0 END AS allowed FROM labels""",
+    "parse_tier_language": """WITH r AS (SELECT conv_id || '-' || turn AS id, [' small ', 'Medium', 'LARGE ', 'huge'][length(text) % 4 + 1] AS tier, role AS said FROM conversations
+ UNION ALL SELECT 'd' || doc_id, [' small ', 'Medium', 'LARGE ', 'huge'][length(text) % 4 + 1], ' ' || upper(lang) FROM documents)
+SELECT id, CASE WHEN upper(trim(tier)) IN ('SMALL', 'MEDIUM', 'LARGE') THEN upper(trim(tier)) ELSE 'LARGE' END AS tier, CASE WHEN lower(trim(said)) IN ('en', 'zh', 'de') THEN lower(trim(said)) END AS language FROM r""",
+    "moderation_verdict": """WITH s AS (SELECT doc_id, CASE WHEN toxic = 1 THEN 'Unsafe' || chr(10) || 's6' || CASE WHEN doc_id % 2 = 0 THEN ', S1' ELSE '' END WHEN quality = 0 THEN 'unsafe' ELSE 'safe' || chr(10) || 'S1' END AS said FROM labels),
+ x AS (SELECT doc_id, lower(split_part(said, chr(10), 1)) AS first, list_transform(string_split(upper(coalesce(nullif(split_part(said, chr(10), 2), ''), 'unknown')), ','), lambda c: trim(c)) AS found FROM s)
+SELECT doc_id, NOT contains(first, 'unsafe') AS safe, CASE WHEN contains(first, 'unsafe') THEN array_to_string(found, '|') ELSE '' END AS categories,
+ starts_with(first, 'safe') OR NOT contains(first, 'unsafe') OR (list_contains(found, 'S6') AND NOT list_has_any(found, ['S1', 'S2', 'S3', 'S4', 'S5', 'S7', 'S8', 'S9', 'S10', 'S11', 'S12', 'S13', 'S14'])) AS allowed FROM x""",
     "coerce_citations": "SELECT conv_id, coalesce(string_agg(turn::VARCHAR, ',' ORDER BY turn) FILTER (WHERE role <> 'system'), '') AS numbers FROM conversations GROUP BY 1",
     "stitch_citations": """SELECT conv_id, turn, md5(CASE WHEN turn % 5 = 0 THEN 'No answer could be given.' WHEN contains(text || ' [1]', '[' || (turn + 1) || ']') THEN text || ' [1]' ELSE text || ' [1] [' || (turn + 1) || ']' END) AS digest FROM conversations""",
     "node_label": """SELECT p_partkey, CASE WHEN p_size % 5 = 0 THEN p_brand WHEN p_size % 4 = 0 THEN p_type WHEN p_size % 3 = 0 THEN p_name WHEN p_size % 2 = 0 THEN p_name ELSE '?' END AS label FROM part""",

@@ -105,9 +105,13 @@ SQL = {
     "month_ranges": """WITH s AS (SELECT o_custkey, min(o_orderdate)::DATE AS a, max(o_orderdate)::DATE AS b FROM orders GROUP BY 1),
  m AS (SELECT o_custkey, a, b, unnest(generate_series(date_trunc('month', a)::TIMESTAMP, b::TIMESTAMP, INTERVAL 1 MONTH))::DATE AS m FROM s)
 SELECT o_custkey, greatest(a, m)::VARCHAR AS start, least(last_day(m), b)::VARCHAR AS stop FROM m""",
-    "link_select": """WITH p AS (SELECT page_id, page_id % 5 AS k, page_id % 7 = 0 AS late FROM pages)
-SELECT page_id, CASE WHEN k = 1 THEN 'https://example.org/product-information/' || page_id WHEN k = 2 THEN 'https://x.org/' || page_id || '.pdf' WHEN k = 3 THEN 'https://example.org/product-information/' || page_id || '.pdf'
- WHEN late THEN 'https://example.org/product-information/late.pdf' END AS link FROM p""",
+    "link_select": r"""WITH h AS (SELECT page_id, html || replace(['<a href="/x/1">English (EN)</a>', '<a class="k" href="/product-information/%d">Read <b>English (EN)</b></a>', '<A HREF="https://x.org/%d.pdf"> The  product information </A>',
+  '<a href="/product-information/%d.pdf">here</a>', '<a href="/%d.pdf">leaflet</a>'][page_id % 5 + 1], '%d', page_id::VARCHAR) || CASE WHEN page_id % 7 = 0 THEN '<a href="/product-information/late.pdf">z</a>' ELSE '' END AS html FROM pages),
+ l AS (SELECT page_id, regexp_extract_all(html, '(?is)<a\b[^>]*?href\s*=\s*"[^"]*"[^>]*>.*?</a>') AS found FROM h), a AS (SELECT page_id, unnest(found) AS a, unnest(range(len(found))) AS i FROM l),
+ x AS (SELECT page_id, i, regexp_extract(a, '(?is)href\s*=\s*"([^"]*)"', 1) AS href, lower(trim(regexp_replace(regexp_replace(a, '(?s)<[^>]*>', '', 'g'), '\s+', ' ', 'g'))) AS said FROM a),
+ f AS (SELECT page_id, arg_min(href, i) AS href FROM x WHERE contains(said, 'english (en)') AND contains(lower(href), '/product-information/') OR contains(said, 'product information') AND ends_with(lower(href), '.pdf')
+  OR contains(lower(href), '/product-information/') AND ends_with(lower(href), '.pdf') GROUP BY 1)
+SELECT page_id, CASE WHEN starts_with(href, 'http') THEN href ELSE 'https://example.org' || href END AS link FROM pages LEFT JOIN f USING (page_id)""",
     "edit_ratio": """SELECT p_partkey, round(1 - levenshtein(lower(p_name), lower(p_type)) / greatest(length(p_name), length(p_type), 1), 6) AS edit FROM part""",
     "point_ids": """WITH h AS (SELECT p_partkey, sha1(from_hex('6ba7b8129dad11d180b400c04fd430c8') || encode('P' || p_partkey)) AS h FROM part)
 SELECT p_partkey, 36 AS n, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || ['8', '9', 'a', 'b'][('0x' || substr(h, 17, 1))::INT % 4 + 1] || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS id FROM h""",

@@ -158,12 +158,9 @@ def gold_found(spark, sf):
 
 
 def overlap_match(spark, sf):
-    """One gold entity a sample and one prediction: the order's first and last line."""
+    """All gold entities and predictions of each order."""
     gold, predicted = _gold(spark, sf)
-    row = F.struct("l_linenumber", "text", "entity_type")
-    first = gold.groupBy("sample").agg(F.min(row).alias("x")).select("sample", "x.text", "x.entity_type")
-    last = predicted.groupBy("sample").agg(F.max(row).alias("x")).select("sample", "x.text", "x.entity_type")
-    return l.overlap_match(first, last)
+    return l.overlap_match(gold.select("sample", "text", "entity_type"), predicted.select("sample", "text", "entity_type"))
 
 
 def semantic_search(spark, sf):
@@ -362,10 +359,14 @@ SELECT q::VARCHAR AS question, pos, CASE WHEN late THEN 'x' END AS extra FROM r
  UNION ALL SELECT c_custkey, c_name, true FROM customer UNION ALL SELECT s_suppkey, s_name, true FROM supplier WHERE s_suppkey NOT IN (SELECT c_custkey FROM customer)""",
     "with_communities": """WITH a AS (SELECT DISTINCT l_suppkey AS cui FROM lineitem UNION ALL SELECT -n_nationkey - 1 FROM nation) SELECT cui, coalesce('n' || s_nationkey, '') AS communities FROM a LEFT JOIN supplier ON s_suppkey = cui""",
     "gold_found": f"WITH {_GOLD} SELECT sample, cui, n AS l_linenumber, EXISTS (SELECT 1 FROM gold p WHERE p.n % 3 <> 0 AND p.sample = gold.sample AND p.cui = gold.cui) AS found FROM gold",
-    "overlap_match": f"""WITH {_GOLD}, g AS (SELECT sample, arg_min(text, (n, text, entity_type)) AS text, arg_min(entity_type, (n, text, entity_type)) AS k FROM gold GROUP BY 1),
- p AS (SELECT sample, 'so ' || arg_max(text, (n, text, entity_type)) AS text, arg_max(entity_type, (n, text, entity_type)) AS k FROM gold WHERE n % 3 <> 0 GROUP BY 1),
- j AS (SELECT g.sample, g.text AS gt, g.k AS gk, p.text AS pt, p.k AS pk, coalesce(g.k = p.k AND (contains(replace(lower(p.text), ' ', ''), lower(g.text)) OR contains(lower(g.text), replace(lower(p.text), ' ', ''))), false) AS hit FROM g LEFT JOIN p USING (sample))
-SELECT sample, pt AS text, pk AS entity_type, hit AS gold, true AS predicted FROM j WHERE pt IS NOT NULL UNION ALL SELECT sample, gt, gk, true, false FROM j WHERE NOT hit""",
+    "overlap_match": f"""WITH RECURSIVE {_GOLD}, g AS (SELECT sample, list({{'t': text, 'k': entity_type}} ORDER BY text, entity_type) AS free FROM gold GROUP BY 1),
+ p AS (SELECT sample, 'so ' || text AS text, entity_type AS k, row_number() OVER (PARTITION BY sample ORDER BY 'so ' || text, entity_type) AS i FROM gold WHERE n % 3 <> 0),
+ walk AS (SELECT sample, 0 AS i, free, '' AS text, '' AS k, false AS hit FROM g
+  UNION ALL SELECT sample, i, CASE WHEN at_ > 0 THEN list_concat(free[:at_ - 1], free[at_ + 1:]) ELSE free END, text, k, at_ > 0 FROM (
+   SELECT w.sample, p.i, w.free, p.text, p.k, coalesce(list_position(list_transform(w.free, lambda x: x.k = p.k AND (contains(lower(replace(p.text, ' ', '')), lower(replace(x.t, ' ', ''))) OR contains(lower(replace(x.t, ' ', '')), lower(replace(p.text, ' ', ''))))), true), 0) AS at_
+   FROM walk w JOIN p ON p.sample = w.sample AND p.i = w.i + 1)),
+ rest AS (SELECT sample, unnest(free) AS x FROM walk QUALIFY row_number() OVER (PARTITION BY sample ORDER BY i DESC) = 1)
+SELECT sample, text, k AS entity_type, hit AS gold, true AS predicted FROM walk WHERE i > 0 UNION ALL SELECT sample, x.t, x.k, true, false FROM rest""",
     "semantic_concept_search": """WITH s AS (SELECT q.vec_id AS query_id, e.vec_id AS item_id, e.label AS k, CASE WHEN q.vec_id % 300 > 0 THEN (q.label + 1) % 10 END AS want,
   round(list_dot_product(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) / (sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[])) * sqrt(list_dot_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[]))), 9) AS score
   FROM embeddings q JOIN embeddings e ON q.vec_id % 100 = 0),

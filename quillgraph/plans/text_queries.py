@@ -108,7 +108,7 @@ def clean_titles(spark, sf):
 
 
 def truncated(spark, sf):
-    return docs(spark, sf).select("doc_id", F.length(t.truncate_at_sentence(F.col("text"))).cast("long").alias("chars"))
+    return docs(spark, sf).select("doc_id", F.md5(t.truncate_at_sentence(F.col("text"))).alias("digest"))
 
 
 def cache_keys(spark, sf):
@@ -237,6 +237,6 @@ SELECT doc_id, len(parts) AS sentences, CAST(coalesce(list_sum(list_transform(pa
 SELECT doc_id, CASE WHEN bare = '' THEN 'Medical Reference' WHEN length(bare) > 100 THEN substr(bare, 1, 97) || '...' ELSE bare END AS title FROM b""",
     "truncate_at_sentence": r"""WITH h AS (SELECT doc_id, text, substr(text, 1, 3000) AS head FROM documents),
 c AS (SELECT *, greatest(CASE WHEN contains(head, '. ') THEN length(head) - instr(reverse(head), ' .') ELSE 0 END, CASE WHEN contains(head, chr(10)) THEN length(head) - instr(reverse(head), chr(10)) + 1 ELSE 0 END) AS cut FROM h)
-SELECT doc_id, CASE WHEN length(text) <= 3000 THEN length(text) WHEN cut > 2000 THEN cut ELSE length(head) END AS chars FROM c""",
+SELECT doc_id, md5(CASE WHEN length(text) <= 3000 THEN text WHEN cut > 2000 THEN substr(head, 1, cut) ELSE head END) AS digest FROM c""",
     "query_cache_key": r"""SELECT doc_id, 'ner:' || lang || ':' || substr(sha256(nfc_normalize(lower(trim(text)))), 1, 16) AS key FROM documents""",
 }
