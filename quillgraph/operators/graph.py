@@ -28,10 +28,31 @@ def frontier(edges: DataFrame, entities: DataFrame, most_mentions: int = 2, limi
     return mention_counts(edges, entities).where(F.col("mentions") <= most_mentions).orderBy("mentions", "entity").limit(limit)
 
 
+#: Entities of one chunk whose pairs one join key holds; those of larger chunks meet tile by tile.
+TILE = 2048
+
+
 def cooccurrence(edges: DataFrame) -> DataFrame:
-    """``a, b, weight`` with a < b: the chunks that both are mentioned in."""
-    left, right = edges.select(F.col("entity").alias("a"), "chunk"), edges.select(F.col("entity").alias("b"), "chunk")
-    return left.join(right, "chunk").where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("weight"))
+    """``a, b, weight`` with a < b: the chunks that both are mentioned in. edges: as ``mention_edges`` gives them.
+
+    A chunk of more than ``TILE`` entities is cut into tiles by hash, and each pair of tiles is a key of its own, so no task pairs a whole
+    large chunk. Such chunks are found first and are few; without any the plan is a plain self-join.
+    """
+    sizes = edges.groupBy("chunk").agg(F.count(F.lit(1)).alias("n_"))
+    large = store(sizes.where(F.col("n_") > TILE).select("chunk", F.ceil(F.col("n_") / TILE).cast("int").alias("tiles_")), "large-chunks")
+    apart = not large.isEmpty()
+    small = edges.join(large, "chunk", "left_anti") if apart else edges
+    left, right = small.select(F.col("entity").alias("a"), "chunk"), small.select(F.col("entity").alias("b"), "chunk")
+    pairs = left.join(right, "chunk").where("a < b").select("a", "b")
+    if apart:
+        own = F.pmod(F.xxhash64("entity"), F.col("tiles_")).cast("int")
+        tiled = edges.join(large, "chunk").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles_") - 1)))
+        keys = ["chunk", "x", "y"]
+        rows = tiled.select("chunk", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "entity")
+        met = rows.withColumnsRenamed({"entity": "a", "own": "own_a"}).join(rows.withColumnsRenamed({"entity": "b", "own": "own_b"}), keys)
+        # of two tiles, pairs across them; those within one meet under its own key
+        pairs = pairs.unionByName(met.where("a < b and (x = y or own_a <> own_b)").select("a", "b"))
+    return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("weight"))
 
 
 def best(df: DataFrame, by: list[str], order: list, k: int) -> DataFrame:

@@ -112,3 +112,20 @@ def test_small_joins_and_lists(spark):
     assert (sets.shared, sets.either) == (1, 4)
     found = g.with_communities(spark.createDataFrame([("x",), ("y",)], "cui string"), spark.createDataFrame([("c", "x")], "community_id string, cui string"))
     assert {x.cui: x.communities for x in found.collect()} == {"x": ["c"], "y": []}
+
+
+def test_cooccurrence_of_large_chunks_in_tiles(spark, monkeypatch):
+    import itertools
+    import random
+
+    rng = random.Random(1)
+    chunks = {0: range(40), 1: range(20, 33), 2: [5], **{c: rng.sample(range(60), 6) for c in range(3, 20)}}
+    edges = spark.createDataFrame([(e, c) for c, es in chunks.items() for e in es], "entity int, chunk int")
+    want = {}
+    for es in chunks.values():
+        for pair in itertools.combinations(sorted(es), 2):
+            want[pair] = want.get(pair, 0) + 1
+    for tile in (2048, 12, 7):
+        monkeypatch.setattr(g, "TILE", tile)
+        assert {(x.a, x.b): x.weight for x in g.cooccurrence(edges).collect()} == want
+    assert g.cooccurrence(edges.limit(0)).count() == 0
