@@ -8,9 +8,9 @@ tokens' conditional probabilities.
 Tokens are lower-cased words. All words of all documents are counted into a stored table. The
 most frequent are entries of the network, sorted by frequency into classes; the others share
 hashed entries, whose probability is dealt among their words by their counts in the whole
-corpus. Counts of up to ``listed`` words are known one by one; a word beyond these has the mean
-count of its entry's unlisted words. So each word's probability follows the corpus,
-at any size, and what travels to the tasks is a list of bounded length.
+corpus. The counts of ``listed`` words travel to the tasks, a list of bounded length; those of the others stay in the cluster and are joined
+to the documents that hold these words, whose scores are put right by them. So each word's probability follows its own count,
+at any size. Only a word that the corpus does not have at all counts as its entry's unlisted words do in the mean.
 
 Texts are turned into numbers once, and stored. Training deals every document's blocks of places
 to rounds (by a hash of row id, text and block), so that all rounds together learn from each place once.
@@ -27,6 +27,7 @@ input is split; within one run they are those of one model.
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -127,6 +128,7 @@ class Lexicon:
     ids: np.ndarray
     shares: np.ndarray  # log of a word's part in its entry
     counts: np.ndarray  # tokens of each entry
+    others: DataFrame | None = None  # word, more: of the words that are not listed, where there are some; stays in the cluster
 
 
 class Coder(dict):
@@ -306,8 +308,8 @@ def word_counts(texts: DataFrame) -> DataFrame:
 STEPS = 1 << 20
 
 
-def _most_frequent(counts: DataFrame, most: int) -> list:
-    """Rows (word, n) of about ``most`` most frequent words: whole levels of frequency, and of the next one what a hash cut leaves. No task or driver ranks more."""
+def _most_frequent(counts: DataFrame, most: int) -> tuple[list, Column]:
+    """Rows (word, n), and the condition on these, of about ``most`` most frequent words: whole levels of frequency, and of the next one what a hash cut leaves. No task or driver ranks more."""
     of = F.floor(F.log2(F.col("n")) * 64)  # 64 steps to an octave: few levels, whatever the corpus
     levels = counts.groupBy(of.alias("level")).agg(F.count(F.lit(1)).alias("words")).collect()
     left, wanted = most, F.lit(False)
@@ -318,7 +320,7 @@ def _most_frequent(counts: DataFrame, most: int) -> list:
         cut = F.pmod(F.xxhash64("word"), F.lit(STEPS)) < int(STEPS * left / words)
         wanted = wanted | ((of == level) & cut)
         break
-    return counts.where(wanted).withColumn("h", F.xxhash64("word")).collect()
+    return counts.where(wanted).withColumn("h", F.xxhash64("word")).collect(), wanted
 
 
 def lexicon(texts: DataFrame, s: Settings) -> Lexicon:
@@ -327,7 +329,8 @@ def lexicon(texts: DataFrame, s: Settings) -> Lexicon:
     mass, words = np.zeros(s.hashed), np.zeros(s.hashed)
     for j, n, distinct in counts.groupBy(slot.alias("j")).agg(F.sum("n"), F.count(F.lit(1))).collect():
         mass[j], words[j] = n, distinct
-    top = sorted(_most_frequent(counts, s.listed), key=lambda r: (-r.n, r.h, r.word))
+    frequent, is_listed = _most_frequent(counts, s.listed)
+    top = sorted(frequent, key=lambda r: (-r.n, r.h, r.word))
     own, first = top[: s.size - s.hashed], s.size - s.hashed
     n, listed = np.array([r.n for r in top], float), [r.word for r in top]
     slots = np.array([entry(w, s) for w in listed], np.int64)
@@ -340,24 +343,39 @@ def lexicon(texts: DataFrame, s: Settings) -> Lexicon:
     ids = np.concatenate([np.arange(k), first + slots[k:], first + np.arange(s.hashed)]).astype(np.int32)
     by_entry = np.zeros(s.size)
     by_entry[:k], by_entry[first:] = n[:k], mass
-    return Lexicon(listed, ids, np.minimum(shares, 0).astype(np.float32), by_entry)
+    others = None
+    if words.sum() > len(listed):
+        # a word's own count instead of its entry's mean: what its share is more than that of its code
+        known = np.minimum(shares[len(listed) :].astype(np.float32), 0).astype(float)
+        table = F.from_json(F.lit(json.dumps([[max(m, 1.0), x] for m, x in zip(mass.tolist(), known.tolist(), strict=True)])), "array<array<double>>")
+        of = F.element_at(table, slot + 1)
+        others = counts.where(~is_listed).select("word", (F.least(F.log(F.col("n") / of[0]), F.lit(0.0)) - of[1]).alias("more"))
+    return Lexicon(listed, ids, np.minimum(shares, 0).astype(np.float32), by_entry, others)
 
 
 def coded_texts(docs: DataFrame, lex: Lexicon, s: Settings, id_col: str, text_col: str) -> DataFrame:
-    """``id_col, key, codes`` of every row, stored: texts are cut once for training and scoring."""
+    """``id_col, key, codes`` of every row, stored: texts are cut once for training and scoring. Where not all words are listed, ``rare`` (the others, in place) and ``uid`` too."""
+    more = lex.others is not None
     shared = docs.sparkSession.sparkContext.broadcast(lex.words)  # ``listed`` words at most
-    rows = docs.select(F.col(id_col), F.xxhash64(id_col).alias("key"), blank(F.col(text_col)).alias("text_"))
-    schema = rows.select(id_col, "key", F.array(F.lit(0)).alias("codes")).schema
+    rows = docs.select(F.col(id_col), F.xxhash64(id_col).alias("key"), blank(F.col(text_col)).alias("text_"), F.monotonically_increasing_id().alias("uid"))
+    kinds = {"codes": F.array(F.lit(0)), "rare": F.array(F.lit("")), "uid": F.col("uid")}
+    schema = rows.select(id_col, "key", *[c.alias(k) for k, c in kinds.items() if more or k == "codes"]).schema
+
+    names = schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Coder(shared.value, s)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                codes = [coder(words_of(t.as_py())) for t in part.column(2)]
+                cut = [words_of(t.as_py()) for t in part.column(2)]
+                codes = [coder(w) for w in cut]
                 ends = np.cumsum([0, *map(len, codes)], dtype=np.int32)
-                lists = pa.ListArray.from_arrays(ends, np.concatenate(codes))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), lists], [id_col, "key", "codes"])
+                columns = [part.column(0), part.column(1), pa.ListArray.from_arrays(ends, np.concatenate(codes))]
+                if more:
+                    rare = [[w[i] for i in np.flatnonzero(c >= coder.listed).tolist()] for w, c in zip(cut, codes, strict=True)]
+                    columns += [pa.array(rare, pa.list_(pa.string())), part.column(3)]
+                yield pa.RecordBatch.from_arrays(columns, names)
 
     return store(rows.mapInArrow(run, schema), "lm-codes")
 
@@ -419,7 +437,8 @@ def score_coded(coded: DataFrame, model: MaskedModel, id_col: str) -> DataFrame:
     """``id_col, n_tokens, pseudo_log_likelihood, mean_log_probability`` of every row."""
     s = model.settings
     shared = coded.sparkSession.sparkContext.broadcast((model.lexicon.ids, model.lexicon.shares, model.weights))
-    rows = coded.select(id_col, "codes")
+    others = model.lexicon.others
+    rows = coded.select(id_col, "codes", *["uid"] * (others is not None))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of, shares, flat = shared.value
@@ -436,10 +455,16 @@ def score_coded(coded: DataFrame, model: MaskedModel, id_col: str) -> DataFrame:
                 for a in range(0, len(targets), 16_384):
                     b = a + 16_384
                     sums += np.bincount(owner[a:b], log_probabilities(w, around[a:b], targets[a:b], s), len(lists))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(sums)], names)
-
-    names = [id_col, "n_tokens", "pseudo_log_likelihood"]
-    scored = rows.mapInArrow(run, rows.select(id_col, F.lit(0).cast("long").alias("n_tokens"), F.lit(0.0).alias("pseudo_log_likelihood")).schema)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(sums), *part.columns[2:]], names)
+
+    made = rows.select(id_col, F.lit(0).cast("long").alias("n_tokens"), F.lit(0.0).alias("pseudo_log_likelihood"), *rows.columns[2:]).schema
+    names = made.names
+    scored = rows.mapInArrow(run, made)
+    if others is not None:
+        # words of few tokens each: no key of this join is hot
+        rare = coded.select("uid", F.explode("rare").alias("word")).join(others, "word").groupBy("uid").agg(F.sum("more").alias("more"))
+        total = F.col("pseudo_log_likelihood") + F.coalesce("more", F.lit(0.0))
+        scored = scored.join(rare, "uid", "left").select(id_col, "n_tokens", total.alias("pseudo_log_likelihood"))
     return scored.withColumn("mean_log_probability", F.when(F.col("n_tokens") > 0, F.col("pseudo_log_likelihood") / F.col("n_tokens")))
 
 

@@ -120,6 +120,30 @@ def test_words_share_their_entry_by_their_counts(spark):
     assert sum(lex.counts) == 58
 
 
+def test_words_beyond_the_list_have_their_own_counts(spark):
+    """Scores do not depend on how many words are listed."""
+    from dataclasses import replace
+
+    from quillgraph.llm.lm_score import MaskedModel, coded_texts, lexicon, score_coded, train_coded
+
+    rows = [(1, "a " * 9 + "b " * 8 + "c c c d d e f g"), (2, "a h h i b c"), (3, None), (4, ""), (None, "i i j a b new"), (1, "a h h i b c")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    known = docs.where("text not like '%new%'").selectExpr("coalesce(text, '') as text")
+    full = Settings(classes=2, per_class=2, hashed=2, listed=50, width=2)
+    lex = lexicon(known, full)
+    assert lex.others is None
+    coded = coded_texts(docs, lex, full, "doc_id", "text")
+    weights = train_coded(coded, lex, full).weights
+    want = sorted(map(str, ((r.doc_id, r.n_tokens, round(r.pseudo_log_likelihood, 4)) for r in score_coded(coded, MaskedModel(lex, weights, full), "doc_id").where("doc_id is not null").collect())))
+    for listed in (5, 3):
+        s = replace(full, listed=listed)
+        short = lexicon(known, s)
+        assert short.others is not None and len(short.words) < len(lex.words)
+        got = score_coded(coded_texts(docs, short, s, "doc_id", "text"), MaskedModel(short, weights, s), "doc_id")
+        assert got.columns == ["doc_id", "n_tokens", "pseudo_log_likelihood", "mean_log_probability"] and got.count() == len(rows)
+        assert sorted(map(str, ((r.doc_id, r.n_tokens, round(r.pseudo_log_likelihood, 4)) for r in got.where("doc_id is not null").collect()))) == want
+
+
 def test_no_rows(spark):
     assert lm_scores(spark.createDataFrame([], SCHEMA), SMALL).count() == 0
 
