@@ -103,7 +103,7 @@ def _key_chain(ttl: int):
     return run
 
 
-def query_reuse(events: DataFrame, key: str, ttl_seconds: int = 3600, bucket_ttls: int = 24) -> DataFrame:
+def query_reuse(events: DataFrame, key: str, ttl_seconds: int = 3600, bucket_ttls: int = 720) -> DataFrame:
     """``key, hits, misses``: lookups served from a result at most ``ttl_seconds`` old; a miss starts a new one (a hit does not prolong it).
 
     Two levels: lookups of one second are one row; a task follows the misses within a bucket of ``bucket_ttls`` times to live, from each of the
