@@ -373,8 +373,9 @@ def coded_texts(docs: DataFrame, lex: Lexicon, s: Settings, id_col: str, text_co
                 ends = np.cumsum([0, *map(len, codes)], dtype=np.int32)
                 columns = [part.column(0), part.column(1), pa.ListArray.from_arrays(ends, np.concatenate(codes))]
                 if more:
-                    rare = [[w[i] for i in np.flatnonzero(c >= coder.listed).tolist()] for w, c in zip(cut, codes, strict=True)]
-                    columns += [pa.array(rare, pa.list_(pa.string())), part.column(3)]
+                    at_ = [np.flatnonzero(c >= coder.listed) for c in codes]
+                    rare = [w[i] for w, places in zip(cut, at_, strict=True) for i in places.tolist()]
+                    columns += [pa.ListArray.from_arrays(np.cumsum([0, *map(len, at_)], dtype=np.int32), pa.array(rare, pa.string())), part.column(3)]
                 yield pa.RecordBatch.from_arrays(columns, names)
 
     return store(rows.mapInArrow(run, schema), "lm-codes")
