@@ -16,9 +16,10 @@ from .linking_queries import TERMS, dictionary
 
 
 def _stream(spark, sf, name) -> DataFrame:
-    """A table's file as a stream of new files."""
+    """A table's file, or the files of its folder, as a stream of new files."""
     kind = spark.read.parquet(f"{sf}/{name}.parquet").schema
-    rows = spark.readStream.schema(kind).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+    # as a pattern: a plain path of a stream must be a folder
+    rows = spark.readStream.schema(kind).parquet(f"{sf}/{name}.parque[t]")
     return rows.withColumns({f.name: F.col(f.name).cast("timestamp") for f in kind if f.dataType.simpleString() == "timestamp_ntz"})
 
 
@@ -40,13 +41,8 @@ def _finished(df: DataFrame, name: str) -> DataFrame:
 
 def interests(spark, sf):
     """Weights by user and concept, kept in state; the last update of each counts."""
-    before = spark.conf.get(jobs.STATE_STORE[0], None)
-    spark.conf.set(*jobs.STATE_STORE)
-    try:
-        touches = _stream(spark, sf, "events").select("user_id", F.get_json_object("props", "$.k").alias("cui"), "ts")
-        updates = _finished(jobs.interests(touches), "interests")
-    finally:
-        spark.conf.set(jobs.STATE_STORE[0], before) if before else spark.conf.unset(jobs.STATE_STORE[0])
+    touches = _stream(spark, sf, "events").select("user_id", F.get_json_object("props", "$.k").alias("cui"), "ts")
+    updates = _finished(jobs.interests(touches), "interests")
     return updates.groupBy("user_id", "cui").agg(F.round(F.max("weight"), 6).alias("weight"), F.date_format(F.max("last_accessed"), "yyyy-MM-dd HH:mm:ss").alias("last"))
 
 

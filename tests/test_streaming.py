@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillgraph.operators.memory import interests as batch_interests
+from quillgraph.plans import stream_queries
 from quillgraph.streaming import ingest, jobs
 from quillgraph.streaming import memories as memory_jobs
 
@@ -141,3 +142,24 @@ def test_progress_is_written_by_the_listener_and_outlives_a_restart(spark, tmp_p
     rows = jobs.progress_table(spark, str(tmp_path / "progress")).collect()
     assert sorted((r.batch, r.rows) for r in rows if r.stage == "batch" and r.rows) == [(0, 5), (1, 2)]
     assert len({r.run for r in rows}) == 2 and sorted(r.stage for r in rows if r.stage != "batch") == ["ended", "ended", "started", "started"]
+
+
+def test_interests_are_counted_before_the_shuffle(spark, tmp_path):
+    """No state store of Python processors is set: the state is Spark's own, of counts and times."""
+    spark.createDataFrame(ROWS, "user_id long, cui string, ts timestamp").write.parquet(str(tmp_path / "in"))
+    updates = jobs.interests(spark.readStream.schema("user_id long, cui string, ts timestamp").parquet(str(tmp_path / "in")))
+    got = {(r.user_id, r.cui): (round(r.weight, 9), r.last_accessed) for r in run(updates, spark, tmp_path, "update").collect()}
+    assert got == {(1, "a"): (2.71, dt.datetime(2024, 1, 3, 5)), (1, "b"): (1.0, dt.datetime(2024, 1, 1, 1)), (2, "a"): (1.0, dt.datetime(2024, 1, 1, 2))}
+
+
+@pytest.mark.parametrize("files", [1, 3])
+def test_a_table_is_a_file_or_a_folder(spark, tmp_path, files):
+    rows = spark.range(9).select(F.col("id").alias("event_id"))
+    rows.repartition(files).write.parquet(str(tmp_path / "events.parquet"))
+    if files == 1:
+        (one,) = (tmp_path / "events.parquet").glob("*.parquet")
+        one.rename(tmp_path / "one")
+        (tmp_path / "events.parquet").rename(tmp_path / "gone")
+        (tmp_path / "one").rename(tmp_path / "events.parquet")
+    got = stream_queries._finished(stream_queries._stream(spark, str(tmp_path), "events"), "files")
+    assert sorted(r.event_id for r in got.collect()) == list(range(9))
