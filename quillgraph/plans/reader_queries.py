@@ -35,7 +35,9 @@ def document_json(spark, sf):
     json = F.to_json(F.struct("doc_id", "language", "title", "sections"))
     path = _folder(spark, "documents")
     whole = F.when(F.col("broken"), F.concat(json, F.lit("]"))).otherwise(json)
-    rows.select(F.when(F.col("broken"), F.expr("substring(to_json(struct(doc_id, language, title, sections)), 1, 20)")).otherwise(whole).alias("value")).write.option("maxRecordsPerFile", 1).format("text").save(path)
+    files = rows.select(F.when(F.col("broken"), F.expr("substring(to_json(struct(doc_id, language, title, sections)), 1, 20)")).otherwise(whole).alias("value"))
+    # the rows are few bytes but each is a file, so that they are dealt to all cores; the number keeps Spark from drawing them together
+    files.repartition(4 * spark.sparkContext.defaultParallelism, "value").write.option("maxRecordsPerFile", 1).format("text").save(path)
     # the text sink names its files .txt; the reader takes .json
     docs, bad = s.document_json(spark, path, "*.txt")
     good = docs.select("doc_id", "title", F.size("sections").cast("long").alias("sections"), F.col("sections")[0]["content"].alias("content"))

@@ -1,5 +1,6 @@
 import json
 import uuid
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -142,3 +143,14 @@ def test_backfill(spark):
     parts = spark.createDataFrame([("s", "A", "short"), ("s", "A", "Full A")], "source_id string, section_path string, content string")
     got = {x.chunk_id: (x.parent_text, x.how) for x in t.parent_text_backfill(chunks, parts).collect()}
     assert got == {"c1": ("Full A", "section"), "c3": ("head\n\ntail", "fallback"), "c4": ("head\n\ntail", "fallback")}
+
+
+def test_document_files_are_written_by_all_cores(spark, tmp_path):
+    from quillgraph.functions.scratch import shared_dir
+    from quillgraph.plans import reader_queries
+
+    spark.range(1, 60).selectExpr("id as s_suppkey", "concat('S', id) as s_name").write.parquet(str(tmp_path / "supplier.parquet"))
+    before = set(Path(shared_dir(spark)).glob("source-documents-*"))
+    assert reader_queries.document_json(spark, str(tmp_path)).count() == 59
+    (made,) = set(Path(shared_dir(spark)).glob("source-documents-*")) - before
+    assert len(list(made.glob("*.txt"))) == 59 and len({f.name[:10] for f in made.glob("*.txt")}) > 4
