@@ -194,9 +194,11 @@ def edit_ratio(a: Column, b: Column) -> Column:
 
 def string_rerank(pairs: DataFrame, concepts: DataFrame, least: float = 0.70) -> DataFrame:
     """``text, cui, score``: of each text's candidates (text, cui) the one whose label, synonym or language label is most like it, from ``least``; ties to the smaller cui."""
-    named = pairs.select("text", "cui").distinct().join(aliases(concepts), "cui").withColumn("low_", F.lower("text"))
-    scored = named.withColumn("score", F.round(string_ratio("low_", "alias", least), 9)).groupBy("text", "cui").agg(F.max("score").alias("score"))
-    return best(scored.where(F.col("score") >= least), ["text"], [F.desc("score"), "cui"], 1).drop("rank")
+    # of concepts with one alias only the smallest cui can be chosen, so each text meets each spelling once
+    spelt = pairs.select("text", "cui").distinct().join(aliases(concepts), "cui").groupBy("text", "alias").agg(F.min("cui").alias("cui")).withColumn("low_", F.lower("text"))
+    scored = spelt.withColumn("score", F.round(string_ratio("low_", "alias", least), 9))
+    # filtered last: a filter on the score would be moved below the aggregate and compare every copy
+    return best(scored.select("text", "cui", "score"), ["text"], [F.desc("score"), "cui"], 1).where(F.col("score") >= least).drop("rank")
 
 
 def gold_found(gold: DataFrame, predicted: DataFrame) -> DataFrame:

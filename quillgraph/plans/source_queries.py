@@ -59,7 +59,7 @@ def string_rerank(spark, sf):
     p = table(spark, sf, "part").select(F.concat(F.lit("P"), "p_partkey").alias("cui"), "p_name", "p_type", "p_brand")
     concepts = p.select("cui", F.col("p_name").alias("label"), F.array("p_brand").alias("synonyms"), F.lit(None).cast("map<string,string>").alias("lang_labels"))
     asked = p.select(F.concat(F.substring("p_name", 1, 4), F.expr("substring(p_name, 6)")).alias("text"), "p_type", "p_brand")
-    pairs = asked.join(p, ["p_type", "p_brand"]).select("text", "cui")
+    pairs = asked.distinct().join(p, ["p_type", "p_brand"]).select("text", "cui")
     return l.string_rerank(pairs, concepts)
 
 
