@@ -90,6 +90,39 @@ def _automaton(terms: list[str]) -> ahocorasick.Automaton:
     return out
 
 
+#: Texts that a task turns into strings at once, and hits after which it hands them on.
+SCANNED, HELD_HITS = 256, 20_000
+
+
+def _hits(batch: pa.RecordBatch, automaton: ahocorasick.Automaton) -> Iterator[pa.RecordBatch]:
+    """The terms in a batch of (chunk_id, text), in batches of ``HELD_HITS`` and what is left of a text."""
+    at, starts, ends, texts, terms = [], [], [], [], []
+
+    def found() -> pa.RecordBatch:
+        columns = [batch.column(0).take(pa.array(at, pa.int64())), pa.array(starts, pa.int32()), pa.array(ends, pa.int32()), pa.array(texts, pa.string()), pa.array(terms, pa.string())]
+        return pa.RecordBatch.from_arrays(columns, ["chunk_id", "start", "end", "text", "term_"])
+
+    for n, text in enumerate(batch.column(1).to_pylist()):
+        low = _lowered(text)
+        last_one = len(low)
+        for last, term in automaton.iter(low):
+            start, end = last + 1 - len(term), last + 1
+            before, after = low[start - 1] if start else " ", low[end] if end < last_one else " "
+            # most places within a word are seen by the signs beside them
+            if before.isalnum() or after.isalnum() or not (before == after == " " or _stands_alone(low, start, end)):
+                continue
+            at.append(n)
+            starts.append(start)
+            ends.append(end)
+            texts.append(text[start:end])
+            terms.append(term)
+        if len(at) >= HELD_HITS:
+            yield found()
+            at, starts, ends, texts, terms = [], [], [], [], []
+    if at:
+        yield found()
+
+
 def recognise(chunks: DataFrame, dictionary: DataFrame, least_confidence: float = 0.25) -> DataFrame:
     """The default recogniser: terms of a dictionary (term, entity_type, confidence), of one word or several, with their places in chunks.
 
@@ -112,21 +145,9 @@ def recognise(chunks: DataFrame, dictionary: DataFrame, least_confidence: float
         shared = rows.sparkSession.sparkContext.broadcast(_automaton(terms.column(0).to_pylist()))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            automaton = shared.value
             for batch in batches:
-                at, starts, ends, texts, terms = [], [], [], [], []
-                for n, text in enumerate(batch.column(1).to_pylist() if len(automaton) else ()):
-                    low = _lowered(text)
-                    for last, term in automaton.iter(low):
-                        start, end = last + 1 - len(term), last + 1
-                        if _stands_alone(low, start, end):
-                            at.append(n)
-                            starts.append(start)
-                            ends.append(end)
-                            texts.append(text[start:end])
-                            terms.append(term)
-                columns = [batch.column(0).take(pa.array(at, pa.int64())), pa.array(starts, pa.int32()), pa.array(ends, pa.int32()), pa.array(texts, pa.string()), pa.array(terms, pa.string())]
-                yield pa.RecordBatch.from_arrays(columns, ["chunk_id", "start", "end", "text", "term_"])
+                for begin in range(0, batch.num_rows if len(shared.value) else 0, SCANNED):
+                    yield from _hits(batch.slice(begin, SCANNED), shared.value)
 
         hits = rows.mapInArrow(run, f"chunk_id {kind}, start int, end int, text string, term_ string")
         found = hits if found is None else found.unionByName(hits)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as t
 from ..functions import vocabulary as v
+from ..functions.scratch import store
 from ..operators import linking as l
 
 
@@ -27,9 +28,10 @@ def spans(spark, sf):
 
 def no_false_positives(spark, sf):
     """Found words, each tenth of them under the name of a greeting, without greetings and without five that start a text."""
-    first = [r.text.lower() for r in spans(spark, sf).where("start = 0").select("text").distinct().orderBy("text").limit(5).collect()]
+    found = store(spans(spark, sf), "spans")
+    first = [r.text.lower() for r in found.where("start = 0").select("text").distinct().orderBy("text").limit(5).collect()]
     greeting = F.element_at(F.array(*[F.lit(x) for x in (" Hi ", "HALLO", "Tschüss", "hit")]), (F.col("start") % 4 + 1).cast("int"))
-    named = spans(spark, sf).withColumn("text", F.when(F.col("start") % 10 == 0, greeting).otherwise(F.col("text")))
+    named = found.withColumn("text", F.when(F.col("start") % 10 == 0, greeting).otherwise(F.col("text")))
     return l.drop_false_positives(named, "text", first).groupBy("chunk_id").agg(F.count(F.lit(1)).alias("n"))
 
 
