@@ -96,3 +96,20 @@ def test_reuse_over_buckets_equals_one_scan(spark):
     df = spark.createDataFrame(rows, "k string, ts timestamp")
     for buckets in (1, 2, 24):
         assert {r.k: (r.hits, r.misses) for r in m.query_reuse(df, "k", 60, buckets).collect()} == want
+
+
+def test_a_batch_is_multiplied_in_parts(monkeypatch):
+    """Scores of a whole batch and of all queries are never held at once, and a batch keeps few candidates of a query."""
+    sizes, plain = [], r._block_scores
+    monkeypatch.setattr(r, "MULTIPLIED", 16)
+    monkeypatch.setattr(r, "_block_scores", lambda items, *rest: sizes.append(len(items[0])) or plain(items, *rest))
+    draw = np.random.default_rng(5)
+    x = draw.normal(size=(500, 4))
+    items = pd.DataFrame({"item_id": np.arange(500), "v": list(x)})
+    (got,) = r._parts_scores(items, r._by_length(np.arange(3), x[:3]), 2, True)
+    assert max(sizes) == 16 and sum(sizes) == 500 and (got.groupby("query_id").size() == 12).all()
+    cos = (x / np.linalg.norm(x, axis=1, keepdims=True)) @ (x[:3] / np.linalg.norm(x[:3], axis=1, keepdims=True)).T
+    for q in range(3):
+        cos[q, q] = -2
+        assert set(got[got.query_id == q].item_id) == set(np.argsort(-cos[:, q])[:12].tolist())
+    assert r._parts_scores(items[:0], {}, 2, True) == []
