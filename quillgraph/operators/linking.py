@@ -244,9 +244,14 @@ def link_mentions(mentions: DataFrame, concepts: DataFrame, accept: float = 0.75
     exact = store(exact, "link-exact")
     asked = every.join(exact, ["text", "entity_type"], "left_anti")
     left = asked.withColumn("g", _grams(F.col("text"))).select("text", "entity_type", F.size("g").alias("na"), F.explode("g").alias("gram"))
-    right = names.withColumn("g", _grams(F.col("alias"))).select("alias", "cui", F.size("g").alias("nb"), F.explode("g").alias("gram"))
-    shared = left.join(right, "gram").groupBy("text", "entity_type", "alias", "cui", "na", "nb").agg(F.count(F.lit(1)).alias("n"))
-    scored = shared.withColumn("score", F.col("n") / F.sqrt(F.col("na") * F.col("nb"))).groupBy("text", "entity_type", "cui").agg(F.max("score").alias("score"), F.max_by("alias", F.struct("score", "alias")).alias("alias"))
+    # spellings are compared once, whatever number of concepts shares them
+    spelt = names.select("alias").distinct().withColumn("g", _grams(F.col("alias")))
+    right = spelt.select("alias", F.size("g").alias("nb"), F.explode("g").alias("gram"))
+    shared = left.join(right, "gram").groupBy("text", "entity_type", "alias", "na", "nb").agg(F.count(F.lit(1)).alias("n"))
+    alike = shared.withColumn("score", F.col("n") / F.sqrt(F.col("na") * F.col("nb"))).drop("na", "nb", "n")
+    # a concept after the first ``pool`` of its spelling has as many smaller ones before it that score no less
+    first = best(names.select("alias", "cui"), ["alias"], ["cui"], pool).drop("rank")
+    scored = alike.join(first, "alias").groupBy("text", "entity_type", "cui").agg(F.max("score").alias("score"), F.max_by("alias", F.struct("score", "alias")).alias("alias"))
     pooled = best(scored, ["text", "entity_type"], [F.desc("score"), "cui"], pool).join(kinds, "cui")
     own = F.max(F.col("concept_type") == F.col("entity_type")).over(Window.partitionBy("text", "entity_type"))
     kept = pooled.withColumn("own", own).where("not own or concept_type = entity_type").withColumn("low", F.lower("text"))

@@ -100,3 +100,18 @@ def test_string_rerank_of_the_query(spark, monkeypatch):
         if score >= 0.70 and (-score, p.cui) < want.get(p.text, (0, "")):
             want[p.text] = (-score, p.cui)
     assert got == {t: (c, -s) for t, (s, c) in want.items()} and got
+
+
+def test_candidates_do_not_grow_with_the_concepts_of_a_spelling(spark, monkeypatch):
+    spellings = ["blue ring", "blue rings", "red ring", "hot bolt"]
+    rows = [(f"P{i}", spellings[i % 4], ("Drug", "Disease", "Gene")[i % 3], [spellings[i % 4 - 1]] if i % 5 == 0 else [], None) for i in range(600)]
+    concepts = spark.createDataFrame(rows, "cui string, label string, entity_type string, synonyms array<string>, lang_labels map<string,string>")
+    mentions = spark.createDataFrame([(x, k, 0.9) for x in ("bluering", "blu ring", "red rin", "hotbolt", "zz") for k in ("Drug", "Other")], "text string, entity_type string, confidence double")
+    counted, kept = [], l.best
+    monkeypatch.setattr(l, "best", lambda df, by, *rest: (counted.append(df.count()) if by == ["text", "entity_type"] else None) or kept(df, by, *rest))
+    got = l.link_mentions(mentions, concepts, pool=7).collect()
+    aliases, kinds = names(concepts.collect())
+    for r in got:
+        want = linked(r.text, r.entity_type, aliases, kinds, pool=7)
+        assert (r.cui, r.link_score and round(r.link_score, 9)) == ((want[0], round(want[1], 9)) if want else (None, None)), r
+    assert counted and max(counted) <= len(got) * len(spellings) * 7
