@@ -163,3 +163,41 @@ def test_a_table_is_a_file_or_a_folder(spark, tmp_path, files):
         (tmp_path / "one").rename(tmp_path / "events.parquet")
     got = stream_queries._finished(stream_queries._stream(spark, str(tmp_path), "events"), "files")
     assert sorted(r.event_id for r in got.collect()) == list(range(9))
+
+
+def test_a_key_costs_one_read_and_one_write_of_its_state():
+    """Rows instead of a frame for each key, and the watermark once for a batch."""
+    from pyspark.sql import Row
+
+    asked = []
+
+    class State:
+        held = {}
+
+        def get(self):
+            asked.append("get")
+            return self.held.get(self.key)
+
+        def update(self, value):
+            asked.append("update")
+            self.held[self.key] = value
+
+    class Handle:
+        def getValueState(self, *_):
+            return State()
+
+    class Timers:
+        def getCurrentWatermarkInMs(self):
+            asked.append("late")
+            return 2
+
+    of = memory_jobs.Reinforced()
+    of.init(Handle())
+    got = []
+    for i in range(3):
+        of.state.key = (1, f"q{i}", "a")
+        if i < 2:
+            of.handleInitialState(of.state.key, Row(weight=1, last_accessed=1000 * i), Timers())
+        got += [tuple(r) for r in of.handleInputRows(of.state.key, iter([Row(us=2000), Row(us=1999), Row(us=5000)]), Timers())]
+    assert got == [(1, f"q{i}", "a", pytest.approx(2.71), 5000, 2) for i in range(2)]
+    assert asked.count("get") == 3 and asked.count("update") == 4 and asked.count("late") == 1
