@@ -21,9 +21,11 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 from itertools import chain
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +41,9 @@ CUT = re.compile(rf" ?[{LETTER}]+|'s|'t|'re|'ve|'m|'ll|'d| ?[{DIGIT}]+| ?[^\s{LE
 LATIN = re.compile("[\t\n\r\x20-\x7e¡-ɏ]*")
 #: Cuts of one generation whose ids a worker remembers, about 200 bytes each; it keeps two generations.
 REMEMBERED = 300_000
+#: The letter that the byte-level pre-tokenizer writes for each byte: printable ones stay, the others follow from 256 on.
+PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_LETTERS = {b: b for b in PRINTED} | {b: 256 + i for i, b in enumerate(sorted({*range(256)} - {*PRINTED}))}
 
 
 class Encoder:
@@ -49,6 +54,7 @@ class Encoder:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}  # little-endian 32-bit ids
         self.older: dict[str, bytes] = {}
@@ -63,14 +69,20 @@ class Encoder:
         again = [w for w in unseen if w in self.older]
         self.known.update(zip(again, map(self.older.__getitem__, again), strict=True))
         fresh = [w for w in unseen if w not in self.known] if again else unseen
-        got = self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)
-        self.known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(fresh, got, strict=True))
-        get = self.known.__getitem__
+        self.known.update(zip(fresh, map(self.word, fresh), strict=True))
         return [
-            np.frombuffer(b"".join(map(get, c)), "<u4") if p else np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4")
+            np.frombuffer(self.joined(c), "<u4") if p else np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4")
             for t, c, p in zip(texts, cuts, plain, strict=True)
         ]
 
+    def word(self, cut: str) -> bytes:
+        """Ids of one cut: the pre-tokenizer would not cut it again, so it goes to the merges as it is."""
+        ids = [t.id for t in self.model.tokenize(cut.encode().decode("latin-1").translate(BYTE_LETTERS))]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def joined(self, cuts: list[str]) -> bytes:
+        return b"".join(itemgetter(*cuts)(self.known) if len(cuts) > 1 else map(self.known.__getitem__, cuts))
+
 
 #: A Python worker keeps its tokenizer over the tasks that it runs.
 _ENCODERS: dict[str, Encoder] = {}

@@ -85,3 +85,20 @@ def test_encoder_forgets_without_changing_ids(monkeypatch):
         for t, ids in zip(texts[at : at + 7], encoder.encode(texts[at : at + 7]), strict=True):
             assert ids.tolist() == encoder.tokenizer.encode(t, add_special_tokens=False).ids
     assert len(encoder.known) + len(encoder.older) < 150
+
+
+def test_latin_words_go_to_the_merges_only():
+    from quillgraph.llm import packing
+
+    rng = random.Random(5)
+    letters = [chr(x) for x in (9, 10, 13, *range(32, 127), *range(0xA1, 0x250))]
+    texts = ["".join(rng.choice(letters) + rng.choice(["", " ", "  ", "e", "'s", "12"]) for _ in range(rng.randrange(200))) for _ in range(150)]
+    want = [e.ids for e in Tokenizer.from_file(PATH).encode_batch(texts, add_special_tokens=False)]
+    encoder = packing.Encoder(PATH)
+    encoder.tokenizer = None
+    assert [i.tolist() for i in encoder.encode(texts)] == want
+    assert [i.tolist() for i in encoder.encode(["", "a", "\n"])] == [[], want_of("a"), want_of("\n")]
+
+
+def want_of(text):
+    return Tokenizer.from_file(PATH).encode(text, add_special_tokens=False).ids
