@@ -1,5 +1,8 @@
 """Queries whose job was cut: what the cuts left out is found."""
 
+import random
+
+from quillgraph.operators import graph as g
 from quillgraph.plans import graph_queries as gq
 
 
@@ -9,3 +12,20 @@ def test_parts_of_several_brands_are_linked(spark, tmp_path):
     spark.createDataFrame(rows, "p_partkey long, p_type string, p_size int, p_brand string").write.parquet(f"{tmp_path}/part.parquet")
     got = gq.QUERIES["path_exists_sparse"](spark, str(tmp_path))
     assert {x.a for x in got.where("connected").collect()} == {1}
+
+
+def test_a_hub_brings_all_its_neighbours(spark):
+    """A chunk of 400 entities: the start's neighbours are all of them, and each second one leads to another."""
+    edges = [(n, 0) for n in range(400)] + [(n, n + 1) for n in range(0, 400, 2)] + [(1000 + n, n + 1) for n in range(0, 400, 2)]
+    frame, starts = spark.createDataFrame(edges, "entity long, chunk long"), spark.createDataFrame([(7,), (7,), (5000,)], "entity long")
+    got = {hops: sorted(map(tuple, g.subgraph(frame, starts, hops).collect())) for hops in (0, 1, 2, 3)}
+    assert got[0] == got[1] == [(7, n) for n in range(400)] + [(5000, 5000)]
+    assert got[2] == got[3] == [(7, n) for n in range(400)] + [(7, 1000 + n) for n in range(0, 400, 2)] + [(5000, 5000)]
+
+
+def test_subgraph_against_plain_loops(spark):
+    draw = random.Random(10)
+    edges = sorted({(draw.randrange(30), draw.randrange(25)) for _ in range(60)})
+    near = lambda nodes: nodes | {y for x, c in edges if x in nodes for y, d in edges if c == d}
+    frame, starts = spark.createDataFrame(edges, "entity long, chunk long"), spark.createDataFrame([(n,) for n in range(32)], "entity long")
+    assert {tuple(r) for r in g.subgraph(frame, starts, 2).collect()} == {(s, e) for s in range(32) for e in near(near({s}))}
