@@ -2,8 +2,13 @@
 
 import random
 
+import duckdb
+from pyspark.sql import functions as F
+
 from quillgraph.operators import graph as g
+from quillgraph.operators import retrieval as r
 from quillgraph.plans import graph_queries as gq
+from quillgraph.plans import retrieval_queries as rq
 
 
 def test_parts_of_several_brands_are_linked(spark, tmp_path):
@@ -29,3 +34,35 @@ def test_subgraph_against_plain_loops(spark):
     near = lambda nodes: nodes | {y for x, c in edges if x in nodes for y, d in edges if c == d}
     frame, starts = spark.createDataFrame(edges, "entity long, chunk long"), spark.createDataFrame([(n,) for n in range(32)], "entity long")
     assert {tuple(r) for r in g.subgraph(frame, starts, 2).collect()} == {(s, e) for s in range(32) for e in near(near({s}))}
+
+
+def test_small_communities_count_too(spark, tmp_path):
+    """The 501st community by size is the only one that shares a word with the query: both queries over the lanes find it."""
+    spark.createDataFrame([(n, f"filler{n} filler") for n in range(500)] + [(500, "find me")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    texts = [(0, "compare across sources where to find it", "en", "s"), (1, "something else", "en", "s")]
+    spark.createDataFrame(texts, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    for t in ("benchmark", "documents"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    for name in ("retrieval_paths", "routed_lanes"):
+        got = rq.QUERIES[name](spark, str(tmp_path))
+        assert sorted(map(tuple, got.collect())) == sorted(con.sql(rq.SQL[name]).fetchall())
+    assert rq.QUERIES["retrieval_paths"](spark, str(tmp_path)).first().lanes == "community|graph|vector"
+
+
+def test_shared_words_against_plain_loops(spark, monkeypatch):
+    """In blocks and parts of any size, ties too; ids of text."""
+    monkeypatch.setattr(r, "MULTIPLIED_ITEMS", 5)
+    monkeypatch.setattr(r, "COLUMNS", 3)
+    draw = random.Random(8)
+    text = lambda: " ".join(draw.choice("abcdefghijklm") for _ in range(draw.randrange(9)))
+    communities, queries = [(f"c{n}", draw.randrange(5), text()) for n in range(80)], [(n, text()) for n in range(40)]
+    frames = spark.createDataFrame(communities, "community_id string, size int, summary string"), spark.createDataFrame(queries, "query_id long, text string")
+    want = set()
+    for q, a in queries:
+        a = set(a.split())
+        found = sorted((-round(len(a & set(b.split())) / len(a | set(b.split())), 9), c) for c, _, b in communities if a & set(b.split()))
+        want |= {(q, c, -s, n + 1) for n, (s, c) in enumerate(found[:4])}
+    assert {tuple(x) for x in r.community_rank(*frames, 4, None).collect()} == want
+    some = r._jaccard_search(frames[0].drop("size"), frames[1], 4, block_rows=7, words_at_once=60)
+    assert {tuple(x) for x in some.select("query_id", "community_id", F.col("score"), "rank").collect()} == want
