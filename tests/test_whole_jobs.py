@@ -3,6 +3,8 @@
 import random
 
 import duckdb
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from quillgraph.operators import graph as g
@@ -66,3 +68,29 @@ def test_shared_words_against_plain_loops(spark, monkeypatch):
     assert {tuple(x) for x in r.community_rank(*frames, 4, None).collect()} == want
     some = r._jaccard_search(frames[0].drop("size"), frames[1], 4, block_rows=7, words_at_once=60)
     assert {tuple(x) for x in some.select("query_id", "community_id", F.col("score"), "rank").collect()} == want
+
+
+def test_equal_vectors_are_not_all_held():
+    """A task sees 20 000 equal vectors and holds few of them; the smallest ids count."""
+    draw = np.random.default_rng(6)
+    asked = draw.normal(size=(50, 8))
+    nearest, most = r._Nearest(r._by_length(np.arange(50), list(asked)), 5, False), 0
+    for begin in range(0, 20_000, 1000):
+        nearest.add(pd.DataFrame({"item_id": np.arange(begin, begin + 1000)[::-1], "v": [asked[0]] * 1000}))
+        most = max(most, sum(len(x[0]) for x in nearest.held[8]))
+    assert most <= 2_000_000
+    got = pd.concat(nearest.found())
+    assert got.groupby("query_id").item_id.apply(sorted).tolist() == [[0, 1, 2, 3, 4]] * 50
+
+
+def test_far_items_are_not_held():
+    """Of later items a task holds only those that reach a query's best so far."""
+    asked = np.eye(4)
+    nearest = r._Nearest(r._by_length(np.arange(4), list(asked)), 300, False)
+    draw = np.random.default_rng(7)
+    x = draw.normal(size=(40_000, 4))
+    nearest.add(pd.DataFrame({"item_id": np.arange(len(x)), "v": list(x)}))
+    cosine = np.round(x / np.linalg.norm(x, axis=1, keepdims=True), 9)
+    got = pd.concat(nearest.found())
+    for q in range(4):
+        assert set(got[got.query_id == q].item_id) == set(np.lexsort((np.arange(len(x)), -cosine[:, q]))[:300].tolist())
