@@ -94,3 +94,33 @@ def test_far_items_are_not_held():
     got = pd.concat(nearest.found())
     for q in range(4):
         assert set(got[got.query_id == q].item_id) == set(np.lexsort((np.arange(len(x)), -cosine[:, q]))[:300].tolist())
+
+
+def test_retrieval_by_ids_equals_retrieval_with_texts(spark, monkeypatch):
+    """The lanes hold no texts, and none leaves the fusion, where before each lane carried them; ids of chunks and communities may be the same."""
+    draw = random.Random(1)
+    text = lambda: "  ".join(draw.choice(["compare", "sources", "across", "dose", "drug", "\n", "aspirin", "interaction"]) for _ in range(draw.randrange(1, 12)))
+    queries = spark.createDataFrame([(n, text(), n % 2 == 0) for n in range(12)], "query_id long, text string, linked boolean")
+    chunks = spark.createDataFrame([(n, None if n == 3 else text(), text() if n % 3 == 0 else "") for n in range(40)], "chunk_id long, text string, parent_text string")
+    communities = spark.createDataFrame([(n, text()) for n in range(6)], "community_id long, summary string")
+    some = lambda ids, n: [(q, i, round(draw.random(), 1)) for q in range(12) for i in draw.sample(range(ids), n)]
+    graph, vector = (spark.createDataFrame(some(40, n), "query_id long, chunk_id long, score double") for n in (10, 20))
+    found = spark.createDataFrame(some(6, 4), "query_id long, community_id long, score double")
+    want = r.retrieve_routed(queries, graph.join(chunks, "chunk_id"), vector.join(chunks, "chunk_id"), found.join(communities, "community_id"))
+    seen, drop = [], r.near_duplicate_drop
+    monkeypatch.setattr(r, "near_duplicate_drop", lambda ranked: seen.append(ranked.columns) or drop(ranked))
+    got = r.retrieve_ids(queries, graph, vector, found, chunks, communities)
+    assert "text" not in got.columns and "text" not in seen[0] and sorted(got.columns) == sorted(set(want.columns) - {"text"})
+    assert sorted(map(tuple, got.select(sorted(got.columns)).collect())) == sorted(map(tuple, want.select(sorted(got.columns)).collect()))
+
+
+def test_products_have_few_columns(monkeypatch):
+    """Matrices are never wider than ``COLUMNS``, however many words are shared; products are exact."""
+    monkeypatch.setattr(r, "COLUMNS", 16)
+    draw, wide, plain = np.random.default_rng(3), [], np.bincount
+    dense = draw.integers(0, 3, (20, 200)) * draw.integers(0, 2, (20, 200))
+    off, col = np.r_[0, np.cumsum((dense > 0).sum(1))], np.nonzero(dense)[1]
+    w = dense[dense > 0].astype(float)
+    monkeypatch.setattr(np, "bincount", lambda x, w, n: wide.append(n) or plain(x, w, n))
+    got = r._products(off, np.arange(5), col, off, np.arange(5, 20), col, np.arange(201), w, w)
+    assert (got == dense[:5] @ dense[5:].T).all() and max(wide) <= 16 * 15 and len(wide) == 26
