@@ -29,3 +29,12 @@ def test_both_ways_equal_best_chunks_and_store_little(spark, monkeypatch, k):
     monkeypatch.setattr(g, "ROUND_ROWS", 200)
     assert close(sorted(map(tuple, g.best_chunks_of_many(e, s, k, rounds=20).collect()))) == close(want)
     assert stored.count("ppr-best") > 0
+
+
+def test_pairs_of_entities_are_not_stored(spark, monkeypatch):
+    """A round goes through the chunks: what is stored beside the links are nodes of blocks."""
+    stored, store = {}, g.store
+    monkeypatch.setattr(g, "store", lambda df, name: stored.setdefault(name, df.columns) and store(df, name))
+    edges, seeds = graph(1)
+    g.best_chunks(spark.createDataFrame(edges, "entity long, chunk long"), spark.createDataFrame(seeds, "query_id long, entity long"), 3, rounds=4)
+    assert "ppr-walk" in stored and not any({"entity", "to"} <= set(columns) for columns in stored.values())
